@@ -4,25 +4,62 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codeloom.llm import minhash
+from codeloom.llm import bpe, line_dedup, minhash, mixing, toxicity
+
+#: Target weights of the mixture by source; a source not named has weight 1.
+WEIGHTS = {f"src{i}": 1 + i % 4 for i in range(20)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's block and its slot in the mixture of sources."""
+    return mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS).select("doc_id", "source", "block", "slot", "place")
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked at a similarity of 0.8 or more over 2-word shingles."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score; ``toxic`` is the decision by its language's threshold."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", "toxic"
+    )
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without lines that stand on three sites or more, as a digest."""
+    out = line_dedup.remove_boilerplate(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens and the text they decode to, as digests."""
+    return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_mixing": op2_mixing,
         "op4_minhash": op4_minhash,
+        "op8_toxicity": op8_toxicity,
+        "op9_line_dedup": op9_line_dedup,
+        "op10_bpe": op10_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_mixing": mixing.ORACLE,
+        "op9_line_dedup": line_dedup.ORACLE,
+    }
