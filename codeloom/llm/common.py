@@ -54,8 +54,12 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
         edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct(),
         "cc",
     )
-    seen = None
-    while True:
+
+    def mark_of(table: DataFrame) -> tuple:
+        return tuple(table.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    seen = mark_of(now)
+    while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -70,12 +74,12 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
             .distinct()
         )
         after = stage(small, "cc")
-        mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        mark = mark_of(after)
         discard(now)
         now = after
-        if seen == tuple(mark):
+        if seen == mark:
             break
-        seen = tuple(mark)
+        seen = mark
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 

@@ -6,8 +6,10 @@
   meets a filled one).
 * Documents with equal sets collapse to one representative through a digest of the set.
 * In each bucket every member is paired with the bucket's hub only, so a bucket of m members gives
-  m - 1 candidate edges. Members that turn out not to be linked to the hub stay in the bucket for
-  another round with another hub, until no bucket holds two of them.
+  m - 1 candidate edges: first with the hub that comes first in all buckets, then, for members that
+  are in another component than the hub by then, with a hub that each bucket draws for itself.
+* What is left in a bucket that still holds several components is compared by two-bit sketches of
+  the signatures, inside the join, and only pairs whose estimate is near the threshold come out.
 * Candidate edges are confirmed on the full sets, made anew from the whole texts.
 """
 
@@ -20,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import connected_components, discard, mix64, shingle_set, stage
+from codeloom.llm.common import connected_components, mix64, shingle_set, stage
 
 #: 32 bands of 6 rows: a pair at similarity 0.8 shares a bucket with probability 0.99994.
 BANDS, ROWS = 32, 6
+#: A sketch's estimate may fall short of the similarity by this many standard errors.
+SLACK = 4.5
 
 
 class Signer:
@@ -53,6 +57,12 @@ class Signer:
                 sig[e] = sig[there[int(mix64(np.array([e + 7919], np.uint64))[0]) % len(there)]]
         return sig
 
+    def sketch(self, sig: np.ndarray) -> np.ndarray:
+        """Two bits of each bin: a plane of low bits, then one of high bits, in 64-bit words."""
+        h = mix64(sig)
+        planes = [np.packbits(((h >> np.uint64(i)) & np.uint64(1)).astype(np.uint8)) for i in (0, 1)]
+        return np.concatenate([np.concatenate([x, np.zeros(-len(x) % 8, np.uint8)]) for x in planes]).view(np.int64)
+
     def band_keys(self, sig: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             mixed = mix64(sig.reshape(self.bands, self.rows)) * self.weights
@@ -60,7 +70,7 @@ class Signer:
 
 
 def signatures(docs: DataFrame, words: int = 2, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per row of ``docs`` (``doc_id``, ``text``): n_shingles, digest of the set, band keys.
+    """Per row of ``docs`` (``doc_id``, ``text``): n_shingles, digest of the set, band keys, sketch.
 
     A row without shingles has a digest of its own (its id), so it equals no other document.
     """
@@ -68,38 +78,40 @@ def signatures(docs: DataFrame, words: int = 2, bands: int = BANDS, rows: int =
     def run(batches):
         signer = Signer(bands, rows)
         for batch in batches:
-            ids, n, digests, keys = batch.column(0), [], [], []
+            ids, n, digests, keys, sketches = batch.column(0), [], [], [], []
             for i, text in enumerate(batch.column(1)):
                 s = shingle_set(text.as_py(), words)
                 n.append(len(s))
                 if len(s):
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    keys.append(signer.band_keys(signer.signature(s)))
+                    sig = signer.signature(s)
+                    keys.append(signer.band_keys(sig))
+                    sketches.append(signer.sketch(sig))
                 else:
                     digests.append(b"-" + str(ids[i].as_py()).encode())
                     keys.append(np.empty(0, np.int64))
+                    sketches.append(None)
             sizes = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))],
-                names=["doc_id", "n_shingles", "digest", "bands"],
+                [ids, pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat)), pa.array(sketches, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "digest", "bands", "sketch"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n_shingles long, digest binary, bands array<long>"
+        run, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>"
     )
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Of ``pairs`` (hub, doc), those with 100 * intersection >= percent * union of the full sets.
 
-    The hub's set is kept while consecutive rows name the same hub, which the join's order gives.
+    ``texts`` has (id, text). The hub's set is kept while consecutive rows name the same hub, which
+    the join's order gives.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     rows = (
-        pairs.join(texts.withColumnRenamed("text", "doc_text"), F.col("doc") == F.col("id"))
-        .drop("id")
-        .join(texts.withColumnRenamed("text", "hub_text"), F.col("hub") == F.col("id"))
+        pairs.join(texts.select(F.col("id").alias("doc"), F.col("text").alias("doc_text")), "doc")
+        .join(texts.select(F.col("id").alias("hub"), F.col("text").alias("hub_text")), "hub")
         .select("hub", "doc", "hub_text", "doc_text")
     )
 
@@ -120,7 +132,26 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
                 [pa.array(hubs, pa.int64()), pa.array(docs_, pa.int64()), pa.array(keep, pa.bool_())], names=["hub", "doc", "linked"]
             )
 
-    return rows.mapInArrow(run, "hub long, doc long, linked boolean")
+    return rows.mapInArrow(run, "hub long, doc long, linked boolean").where("linked").select(F.col("hub").alias("u"), F.col("doc").alias("v")).distinct()
+
+
+def _estimated(bands: int, rows: int, percent: int):
+    """Condition on columns a (a sketch) and b: the estimated similarity is near the threshold or above."""
+    bins, plane = bands * rows, -(-bands * rows // 64)
+    least = percent / 100
+    apart = (1 - least) * 3 / 4
+    least -= SLACK * 4 / 3 * (apart * (1 - apart) / bins) ** 0.5
+    differ = sum(
+        (F.bit_count(F.col("a")[i].bitwiseXOR(F.col("b")[i]).bitwiseOR(F.col("a")[plane + i].bitwiseXOR(F.col("b")[plane + i]))) for i in range(plane)), F.lit(0)
+    )
+    return differ <= int((1 - least) * 3 / 4 * bins)
+
+
+def _open_buckets(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """``buckets`` (key, rep) with ``class``, the component; only buckets that hold several."""
+    marked = buckets.join(classes, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("class"))
+    several = marked.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("key")
+    return marked.join(several, "key")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -131,34 +162,40 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     kept. Extra columns of ``docs`` are ignored; an empty table gives no rows.
     """
     signed = stage(signatures(docs, words, bands, rows), "minhash")
-    alike = signed.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    alike = stage(alike, "minhash-reps")
-    buckets = stage(
-        signed.join(alike, (signed.doc_id == alike.rep) & (signed.digest == alike.digest))
-        .select("rep", F.posexplode("bands").alias("band", "key"))
-        .distinct(),
-        "minhash-buckets",
+    alike = stage(signed.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "minhash-reps")
+    reps = signed.join(alike.withColumnRenamed("digest", "_d"), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("_d")))
+    keys = reps.select("rep", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").drop("last")
+    buckets = stage(keys.join(shared, "key").select("key", "rep", "hub").distinct(), "minhash-buckets")
+    wanted = buckets.select(F.col("rep").alias("id")).distinct()
+    texts = stage(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(wanted, "id", "left_semi"), "minhash-texts")
+
+    # a star around the first of each bucket: one order for all, so a group has few hubs
+    stars = buckets.where("rep <> hub").select("hub", F.col("rep").alias("doc")).distinct()
+    links = stage(confirm(stars, texts, words, percent), "minhash-links")
+    classes = stage(connected_components(links), "minhash-classes")
+
+    # a star around a hub of the bucket's own, for members that are not in its component yet
+    now = stage(_open_buckets(buckets.select("key", "rep"), classes), "minhash-open")
+    drawn = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "rep").alias("order"), "rep", "class")).alias("h"))
+    again = now.join(drawn, "key").where("class <> h.class").select(F.col("h.rep").alias("hub"), F.col("rep").alias("doc")).distinct()
+    links = stage(links.unionByName(confirm(again, texts, words, percent)), "minhash-links")
+    classes = stage(connected_components(links), "minhash-classes")
+
+    # members outside their bucket's largest component meet the other components' members
+    now = stage(_open_buckets(now.select("key", "rep"), classes).join(reps.select("rep", "sketch"), "rep"), "minhash-open")
+    sizes = now.groupBy("key", "class").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "class")).alias("top")).select("key", F.col("top.class").alias("top"))
+    few = now.join(largest, "key").where("class <> top").select("key", F.col("rep").alias("doc"), F.col("class").alias("mine"), F.col("sketch").alias("a"))
+    rest = (
+        few.join(now.withColumnRenamed("sketch", "b"), "key")
+        .where((F.col("mine") != F.col("class")) & _estimated(bands, rows, percent))
+        .select(F.greatest("doc", "rep").alias("doc"), F.least("doc", "rep").alias("hub"))
+        .distinct()
     )
-    links = None
-    while True:
-        # one order for all buckets, so that a group tends to have one hub and not one per bucket
-        hubs = buckets.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-        stars = stage(buckets.join(hubs, ["band", "key"]).where("rep <> hub").select("band", "key", "hub", F.col("rep").alias("doc")), "minhash-stars")
-        if stars.isEmpty():
-            discard(stars)
-            break
-        tried = stage(confirm(stars.select("hub", "doc").distinct(), docs, words, percent).groupBy("hub", "doc").agg(F.max("linked").alias("linked")), "minhash-tried")
-        found = tried.where("linked").select(F.col("hub").alias("u"), F.col("doc").alias("v"))
-        links = found if links is None else links.unionByName(found)
-        left = stage(stars.join(tried.where("not linked"), ["hub", "doc"], "left_semi").select(F.col("doc").alias("rep"), "band", "key"), "minhash-buckets")
-        discard(buckets)
-        discard(stars)
-        buckets = left
+    links = stage(links.unionByName(confirm(rest, texts, words, percent)), "minhash-links")
     result = signed.select("doc_id", "n_shingles", "digest").join(alike, "digest", "left")
-    if links is not None:
-        result = result.join(connected_components(links).select(F.col("node").alias("rep"), "component"), "rep", "left")
-    else:
-        result = result.withColumn("component", F.lit(None).cast("long"))
+    result = result.join(connected_components(links).select(F.col("node").alias("rep"), "component"), "rep", "left")
     return result.select(
         "doc_id",
         "n_shingles",

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, line_dedup, minhash, mixing, toxicity
+from codeloom.llm import bpe, html_extract, line_dedup, minhash, mixing, toxicity, warc
+from codeloom.llm.common import new_path
 
 #: Target weights of the mixture by source; a source not named has weight 1.
 WEIGHTS = {f"src{i}": 1 + i % 4 for i in range(20)}
@@ -18,6 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records and read back."""
+    path = new_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.index(spark, path).select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
+
+
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's block and its slot in the mixture of sources."""
     return mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS).select("doc_id", "source", "block", "slot", "place")
@@ -50,7 +63,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": op1_warc,
         "op2_mixing": op2_mixing,
+        "op3_html": op3_html,
         "op4_minhash": op4_minhash,
         "op8_toxicity": op8_toxicity,
         "op9_line_dedup": op9_line_dedup,
@@ -60,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_warc": warc.ORACLE,
         "op2_mixing": mixing.ORACLE,
         "op9_line_dedup": line_dedup.ORACLE,
     }
