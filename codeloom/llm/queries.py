@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, html_extract, line_dedup, minhash, mixing, toxicity, warc
+from codeloom.llm import bpe, embed_dedup, html_extract, line_dedup, minhash, mixing, secrets, topk, toxicity, warc
 from codeloom.llm.common import new_path
 
 #: Target weights of the mixture by source; a source not named has weight 1.
@@ -41,6 +41,21 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: named patterns, and tokens that test as random."""
+    return secrets.digest(secrets.find(table(spark, sf_dir, "documents")))
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector."""
+    return topk.search(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+def op7_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors linked at a cosine of 0.9 or more."""
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity score; ``toxic`` is the decision by its language's threshold."""
     docs = table(spark, sf_dir, "documents")
@@ -67,6 +82,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mixing": op2_mixing,
         "op3_html": op3_html,
         "op4_minhash": op4_minhash,
+        "op5_secrets": op5_secrets,
+        "op6_topk": op6_topk,
+        "op7_embed_dedup": op7_embed_dedup,
         "op8_toxicity": op8_toxicity,
         "op9_line_dedup": op9_line_dedup,
         "op10_bpe": op10_bpe,
@@ -77,5 +95,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": warc.ORACLE,
         "op2_mixing": mixing.ORACLE,
+        "op6_topk": topk.ORACLE,
         "op9_line_dedup": line_dedup.ORACLE,
     }
