@@ -46,25 +46,21 @@ def discard(df: DataFrame) -> None:
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """Smallest reachable id of every node that has an edge: columns ``node``, ``component``.
 
-    Alternates the large-star and small-star contractions until the edge set stops changing. A
-    hub's neighbours are never gathered: its minimum is a map-side-combined aggregate that is
-    joined back, and that join is one the adaptive planner can split when the hub is hot.
+    Alternates the large-star and small-star contractions until every node has one parent and no
+    parent has one. A hub's neighbours are never gathered: its minimum is a map-side-combined
+    aggregate that is joined back, and that join is one the adaptive planner can split.
     """
-    now = stage(
-        edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct(),
-        "cc",
-    )
-
-    def mark_of(table: DataFrame) -> tuple:
-        return tuple(table.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    seen = mark_of(now)
-    while seen[0]:
+    now = stage(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct(), "cc")
+    while True:
+        roles = F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("child")), F.struct(F.col("v").alias("node"), F.lit(0).alias("child")))).alias("r")
+        seen = now.select(roles).select("r.*").groupBy("node").agg(F.sum("child").alias("parents"), F.min("child").alias("least"))
+        if seen.where("parents > 1 or (parents = 1 and least = 0)").isEmpty():
+            break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # a node's own minimum, so that chains fold as well
-        large = large.unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).distinct()
+        large = large.unionByName(low.where("m < u").select("u", F.col("m").alias("v")))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(least, "u")
@@ -74,12 +70,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
             .distinct()
         )
         after = stage(small, "cc")
-        mark = mark_of(after)
         discard(now)
         now = after
-        if seen == mark:
-            break
-        seen = mark
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
