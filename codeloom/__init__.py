@@ -1,0 +1 @@
+"""Spark-native code-graph retrieval and analytics."""
