@@ -7,6 +7,7 @@ import fnmatch
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_FILE_BYTES = 2_000_000
 
@@ -63,7 +64,7 @@ def is_test_result(path: Column) -> Column:
     return F.lower(F.coalesce(path, F.lit(""))).rlike(r"/test/|/tests/|test_|_test\.|\.spec\.|/spec/|/specs/")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_leniently(content: pd.Series) -> pd.Series:
     """Bytes as UTF-8, bytes that are not left out: no built-in function drops them."""
     return content.map(lambda b: bytes(b).decode("utf-8", "ignore") if b is not None else None)
