@@ -8,8 +8,9 @@
 * In each bucket every member is paired with the bucket's hub only, so a bucket of m members gives
   m - 1 candidate edges: first with the hub that comes first in all buckets, then, for members that
   are in another component than the hub by then, with a hub that each bucket draws for itself.
-* What is left in a bucket that still holds several components is compared by two-bit sketches of
-  the signatures, inside the join, and only pairs whose estimate is near the threshold come out.
+* In a bucket that still holds several components, members outside the largest one are compared with
+  all others in blocks of bounded size: two-bit sketches of the signatures first, then the full sets.
+  Pairs never become rows, and a pair is compared in the first bucket that it shares.
 * Candidate edges are confirmed on the full sets, made anew from the whole texts.
 """
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -135,16 +137,71 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return rows.mapInArrow(run, "hub long, doc long, linked boolean").where("linked").select(F.col("hub").alias("u"), F.col("doc").alias("v")).distinct()
 
 
-def _estimated(bands: int, rows: int, percent: int):
-    """Condition on columns a (a sketch) and b: the estimated similarity is near the threshold or above."""
-    bins, plane = bands * rows, -(-bands * rows // 64)
-    least = percent / 100
-    apart = (1 - least) * 3 / 4
-    least -= SLACK * 4 / 3 * (apart * (1 - apart) / bins) ** 0.5
-    differ = sum(
-        (F.bit_count(F.col("a")[i].bitwiseXOR(F.col("b")[i]).bitwiseOR(F.col("a")[plane + i].bitwiseXOR(F.col("b")[plane + i]))) for i in range(plane)), F.lit(0)
-    )
-    return differ <= int((1 - least) * 3 / 4 * bins)
+#: Shingles of a bucket's members that one task compares at a time.
+BLOCK_SHINGLES = 2_000_000
+
+
+def compare_rest(open_: DataFrame, signed: DataFrame, texts: DataFrame, words: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """Links (u, v) between members of a bucket that are in different components: ``open_`` has key, rep, class."""
+    sizes = open_.groupBy("key", "class").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "class")).alias("top")).select("key", F.col("top.class").alias("top"))
+    members = open_.join(signed.select(F.col("doc_id").alias("rep"), "n_shingles"), "rep").join(largest, "key").withColumn("few", F.col("class") != F.col("top"))
+    blocks = F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int")
+    counts = members.groupBy("key").agg(blocks.alias("blocks"))
+    # every block of the few meets every block of all members; a row's block is drawn by its hash
+    placed = members.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    sent = placed.select("key", "rep", "class", "few", "block", F.explode(every).alias("other"))
+    sides = F.array(F.struct(F.col("block").alias("i"), F.col("other").alias("j"), F.lit(True).alias("left")), F.struct(F.col("other").alias("i"), F.col("block").alias("j"), F.lit(False).alias("left")))
+    sent = sent.select("key", "rep", "class", "few", F.explode(sides).alias("p")).where("few or not p.left").select("key", "rep", "class", "p.i", "p.j", "p.left")
+    full = signed.select(F.col("doc_id").alias("rep"), "bands", "sketch").join(texts.withColumnRenamed("id", "rep"), "rep")
+    keys = ["key", "i", "j"]
+    groups = sent.join(full, "rep").repartition(*keys).sortWithinPartitions(*keys, "rep", "left")
+    plane = -(-bands * rows // 64)
+    apart = (1 - percent / 100) * 3 / 4
+    most = int(((1 - percent / 100) + SLACK * 4 / 3 * (apart * (1 - apart) / (bands * rows)) ** 0.5) * 3 / 4 * bands * rows)
+
+    def links_of(group: pd.DataFrame) -> pd.DataFrame:
+        left, right = group[group.left], group[~group.left]
+        a, b = (np.stack(x.sketch.to_numpy()).view(np.uint64) if len(x) else np.empty((0, 2 * plane), np.uint64) for x in (left, right))
+        bands_a, bands_b = (np.stack(x.bands.to_numpy()) if len(x) else np.empty((0, bands), np.int64) for x in (left, right))
+        class_a, class_b, ids_a, ids_b = left["class"].to_numpy(), right["class"].to_numpy(), left.rep.to_numpy(), right.rep.to_numpy()
+        few_b = np.isin(ids_b, ids_a)
+        key, sets, out = group.key.iloc[0], {}, []
+        for f in range(len(left)):
+            differ = np.bitwise_count((a[f, :plane] ^ b[:, :plane]) | (a[f, plane:] ^ b[:, plane:])).sum(1)
+            near = np.flatnonzero((differ <= most) & (class_b != class_a[f]) & ~(few_b & (ids_b < ids_a[f])))
+            shared = bands_a[f] == bands_b[near]
+            near = near[(shared.any(1)) & (bands_a[f][shared.argmax(1)] == key)]
+            if not len(near):
+                continue
+            mine = shingle_set(left.text.iloc[f], words)
+            for i in near.tolist():
+                if i not in sets:
+                    sets[i] = shingle_set(right.text.iloc[i], words)
+            size = np.array([len(sets[i]) for i in near.tolist()])
+            flat = np.concatenate([sets[i] for i in near.tolist()])
+            at = np.minimum(np.searchsorted(mine, flat), max(len(mine) - 1, 0))
+            common = np.add.reduceat((mine[at] == flat).astype(np.int64), np.cumsum(size) - size)
+            linked = near[100 * common >= percent * (len(mine) + size - common)]
+            out += [(ids_a[f], ids_b[i]) for i in linked.tolist()]
+        return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+
+    def run(batches):
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            last = (pdf[keys] == pdf[keys].iloc[-1]).all(axis=1).to_numpy()
+            whole = int(last.argmax())  # rows of the last group may go on in the next batch
+            held = pdf.iloc[whole:]
+            for _, group in pdf.iloc[:whole].groupby(keys, sort=False):
+                yield links_of(group)
+        if held is not None and len(held):
+            yield links_of(held)
+
+    return groups.mapInPandas(run, "u long, v long").distinct()
 
 
 def _open_buckets(buckets: DataFrame, classes: DataFrame) -> DataFrame:
@@ -183,17 +240,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     classes = stage(connected_components(links), "minhash-classes")
 
     # members outside their bucket's largest component meet the other components' members
-    now = stage(_open_buckets(now.select("key", "rep"), classes).join(reps.select("rep", "sketch"), "rep"), "minhash-open")
-    sizes = now.groupBy("key", "class").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "class")).alias("top")).select("key", F.col("top.class").alias("top"))
-    few = now.join(largest, "key").where("class <> top").select("key", F.col("rep").alias("doc"), F.col("class").alias("mine"), F.col("sketch").alias("a"))
-    rest = (
-        few.join(now.withColumnRenamed("sketch", "b"), "key")
-        .where((F.col("mine") != F.col("class")) & _estimated(bands, rows, percent))
-        .select(F.greatest("doc", "rep").alias("doc"), F.least("doc", "rep").alias("hub"))
-        .distinct()
-    )
-    links = stage(links.unionByName(confirm(rest, texts, words, percent)), "minhash-links")
+    now = stage(_open_buckets(now.select("key", "rep"), classes), "minhash-open")
+    rest = compare_rest(now, reps.select("doc_id", "n_shingles", "bands", "sketch"), texts, words, percent, bands, rows)
+    links = stage(links.unionByName(rest), "minhash-links")
     result = signed.select("doc_id", "n_shingles", "digest").join(alike, "digest", "left")
     result = result.join(connected_components(links).select(F.col("node").alias("rep"), "component"), "rep", "left")
     return result.select(
