@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 
 #: Words compiled into the lexicon, most frequent first.
 LEXICON_WORDS = 50_000
+PLAIN_MARKS = frozenset(",.;:!?|")
 #: Entries of a worker's memory of words, which is emptied when full.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 
 
 def _byte_letters() -> list[str]:
@@ -52,6 +53,7 @@ class WordBpe:
         self.ranks = {(a, b): i for i, (a, b) in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.names = [self.tokens.get(i, "") for i in range(max(self.tokens, default=0) + 1)]
         self.letters = _byte_letters()
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.words_of = regex.compile(split).findall
@@ -77,15 +79,24 @@ class WordBpe:
         return self.words(text) if self.odd(text) else text.split()
 
     def piece_words(self, piece: str) -> list[str]:
-        return [piece.lower()] if piece.isascii() and piece.isalpha() else [piece] if piece in self.special else self.words_of(self.normalize(piece))
-
-    def merge_all(self, words: list[str]) -> list[np.ndarray]:
-        """``merge`` of many words together, one merge of each word at a time; long words singly."""
-        out: list = [None] * len(words)
+        """Words of a piece: letters alone, or letters and one closing mark, need no pattern."""
+        if self.letters_only(piece):
+            return [piece.lower()]
+        if piece[-1:] in PLAIN_MARKS and self.letters_only(piece[:-1]):
+            return [piece[:-1].lower(), piece[-1]]
+        return [piece] if piece in self.special else self.words_of(self.normalize(piece))
+
+    @staticmethod
+    def letters_only(piece: str) -> bool:
+        return piece.isalpha() and (piece.isascii() or "\u03a3" not in piece and unicodedata.is_normalized("NFC", piece) and piece.lower().isalpha())
+
+    def merge_all(self, words: list[str]) -> list[bytes]:
+        """Ids of many words, as bytes: one merge of each word at a time, for all together; long words singly."""
+        out: list = [b""] * len(words)
         raw = [w.encode("utf-8", "replace") for w in words]
         short = [i for i, b in enumerate(raw) if 0 < len(b) <= 48 and words[i] not in self.special]
         for i in set(range(len(words))).difference(short):
-            out[i] = np.array(self.merge(words[i]), "<u4") if raw[i] else np.empty(0, "<u4")
+            out[i] = np.array(self.merge(words[i]), "<u4").tobytes() if raw[i] else b""
         short.sort(key=lambda i: len(raw[i]))
         for at in range(0, len(short), 8192):
             rows = short[at : at + 8192]
@@ -95,8 +106,7 @@ class WordBpe:
             token[np.arange(width) >= size[:, None]] = -1
             last = np.array([raw[i][-1] for i in rows])
             token[np.arange(len(rows)), size - 1] = self.pairs.last_letters[last]
-            for i, ids in zip(rows, self.pairs.merged(token)):
-                out[i] = ids
+            self.pairs.merge_rows(token, rows, out)
         return out
 
     def merge(self, word: str) -> list[int]:
@@ -187,20 +197,22 @@ class PairTable:
             self._empty = int(np.flatnonzero(self.key < 0)[0])
         return self._empty
 
-    def merged(self, token: np.ndarray) -> list[np.ndarray]:
-        """Final ids of each row of ``token`` (padded by -1)."""
-        n, width = token.shape
-        out: list = [None] * n
-        rows = np.arange(n)
+    def merge_rows(self, token: np.ndarray, places: list[int], out: list[bytes]) -> None:
+        """Put the final ids of each row of ``token`` (padded by -1) at its place of ``out``."""
+        rows = np.array(places)
         slot = self.find(token[:, :-1], token[:, 1:])
         while len(rows):
             rank = self.rank[slot] if slot.shape[1] else np.full((len(rows), 1), self.NONE)
             best = rank.argmin(1)
             here = np.arange(len(rows))
             more = rank[here, best] < self.NONE
-            for i in np.flatnonzero(~more).tolist():
-                t = token[i]
-                out[rows[i]] = t[t >= 0].astype("<u4")
+            done = token[~more]
+            full = done >= 0
+            ends = 4 * np.cumsum(full.sum(1))
+            flat, begin = done[full].astype("<u4").tobytes(), 0
+            for i, end in zip(rows[~more].tolist(), ends.tolist()):
+                out[i] = flat[begin:end]
+                begin = end
             rows, token, slot, best = rows[more], token[more], slot[more], best[more]
             if not len(rows):
                 break
@@ -218,7 +230,6 @@ class PairTable:
             slot[here, left] = self.find(token[here, left], token[here, left + 1])
             right = np.minimum(best, width - 3)
             slot[here, right] = self.find(token[here, right], token[here, right + 1])
-        return out
 
 
 class Lexicon:
@@ -238,6 +249,8 @@ class Lexicon:
         self.root, at = int(head[-1]), 8 * len(head)
         for (name, kind), n in zip(self.FIELDS, head.tolist()):
             setattr(self, name, np.frombuffer(self.map, kind, n, at))
+            if name == "ids":
+                self.ids_at = at
             at += -(-n * np.dtype(kind).itemsize // 8) * 8
         owner = np.repeat(np.arange(len(self.first) - 1, dtype=np.int64), np.diff(self.first.astype(np.int64)))
         self._arc = owner * 256 + self.label  # sorted: a state's arcs are in the order of their labels
@@ -342,21 +355,27 @@ class Encoder:
         split = [self.bpe.piece_words(p) for p in pieces]
         words = list({w for ws in split for w in ws})
         ranks = self.lexicon.ranks([w.encode("utf-8", "replace") for w in words])
-        start, ids, found = self.lexicon.start, self.lexicon.ids, {}
-        unseen = []
-        for w, r in zip(words, ranks.tolist()):
-            if r >= 0:
-                found[w] = ids[start[r] : start[r + 1]].astype("<u4")
-            else:
-                unseen.append(w)
-        found.update(zip(unseen, self.bpe.merge_all(unseen)))
-        named = self.bpe.tokens
-        pair = {w: (x.tobytes(), " ".join([named[i] for i in x.tolist()])) for w, x in found.items()}
+        start, at, held = self.lexicon.start, self.lexicon.ids_at, self.lexicon.map
+        begins, ends = (at + 4 * start[ranks].astype(np.int64)).tolist(), (at + 4 * start[ranks + 1].astype(np.int64)).tolist()
+        got = [held[b:e] if r >= 0 else None for r, b, e in zip(ranks.tolist(), begins, ends)]
+        unseen = [i for i, g in enumerate(got) if g is None]
+        for i, ids in zip(unseen, self.bpe.merge_all([words[i] for i in unseen])):
+            got[i] = ids
+        named, flat = self.bpe.names.__getitem__, np.frombuffer(b"".join(got), "<u4").tolist()
+        pair, begin = {}, 0
+        for w, ids in zip(words, got):
+            end = begin + len(ids) // 4
+            pair[w] = (ids, " ".join(map(named, flat[begin:end])))
+            begin = end
         for p, ws in zip(pieces, split):
             self.known[p] = len(self.ids)
-            got = [pair[w] for w in ws]
-            self.ids.append(got[0][0] if len(got) == 1 else b"".join([g[0] for g in got]))
-            self.texts.append(got[0][1] if len(got) == 1 else " ".join([g[1] for g in got if g[0]]))
+            if len(ws) == 1:
+                ids, text = pair[ws[0]]
+            else:
+                some = [pair[w] for w in ws]
+                ids, text = b"".join([g[0] for g in some]), " ".join([g[1] for g in some if g[0]])
+            self.ids.append(ids)
+            self.texts.append(text)
 
     def encode_all(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """Of each text the ids as little-endian unsigned 32-bit integers, and their decoded text."""
