@@ -47,6 +47,8 @@ ARTICLE = frozenset(("article", "main"))
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+_WORD = re.compile(r"[A-Za-z]+")
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _SPACES = re.compile(r"\s+")
 
 
@@ -66,7 +68,7 @@ def _is_furniture(tag: str, attributes: str) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id") and tag not in ("html", "body") and NAMES.intersection(x.lower() for x in _NAME.findall(value)):
+        if name in ("class", "id") and tag not in ("html", "body") and NAMES.intersection(x.lower() for x in _NAME.findall(value) + _WORD.findall(value)):
             return True
     return False
 
@@ -147,8 +149,12 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
                 close_to(len(stack) - 1)
         elif tag in ARTICLE and not furniture:
             article = True
-        elif _is_furniture(tag, m[3]) and not (tag == "header" and article):
+        elif _is_furniture(tag, m[3]):
             furniture = True
+        elif tag in HEADINGS and furniture and article:
+            # the title in the article's own header belongs to it
+            cause = next(t for t, _, before, _ in reversed(stack[:-1]) if not before)
+            furniture = cause != "header"
     end_line()
     return lines
 

@@ -67,7 +67,8 @@ def schedule(sources: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: dict[str, int], default_weight: int = 1, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` with ``block`` (within its source), ``slot`` (in the whole mixture) and ``place``.
+    """``docs`` with ``block`` (within its source), ``slot`` (in the whole mixture) and ``place``; these
+    replace columns of the same names.
 
     No row is dropped: ``slot`` is the block's place in the mixture, and a source that ends early
     leaves its later slots empty. ``place`` is the row's first character within its source; rows
@@ -77,36 +78,43 @@ def mix(docs: DataFrame, weights: dict[str, int], default_weight: int = 1, block
     gives no rows. Weights are positive integers with a total of at most ``MAX_PERIOD``; so is the
     number of sources, which bounds the broadcast schedule.
     """
+    placed = _placed(docs, weights, default_weight, block_chars)
+    new = {"block": "_mix_block", "slot": "_mix_slot", "place": "_mix_place"}
+    return placed.select(*[F.col(c) for c in docs.columns if c not in new], *[F.col(c).alias(k) for k, c in new.items()])
+
+
+def _placed(docs: DataFrame, weights: dict[str, int], default_weight: int, block_chars: int) -> DataFrame:
+    """``docs`` with _mix_block, _mix_slot and _mix_place."""
     if any(not isinstance(w, int) or w < 1 for w in [*weights.values(), default_weight]):
         raise ValueError("weights must be positive integers")
     salted = (
-        docs.withColumn("_src", _key())
-        .withColumn("_salt", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 2))
-        .withColumn("_len", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+        docs.withColumn("_mix_src_", _key())
+        .withColumn("_mix_salt_", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 2))
+        .withColumn("_mix_len_", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
     )
-    totals = salted.groupBy("_src", "_salt").agg(F.sum("_len").alias("_sum"))
-    before = Window.partitionBy("_src").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_src", "_salt", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("_src", "_salt").orderBy("doc_id", F.md5(F.col("text").cast("binary"))).rowsBetween(Window.unboundedPreceding, -1)
+    totals = salted.groupBy("_mix_src_", "_mix_salt_").agg(F.sum("_mix_len_").alias("_mix_sum_"))
+    before = Window.partitionBy("_mix_src_").orderBy("_mix_salt_").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_mix_src_", "_mix_salt_", F.coalesce(F.sum("_mix_sum_").over(before), F.lit(0)).alias("_mix_base_"))
+    within = Window.partitionBy("_mix_src_", "_mix_salt_").orderBy("doc_id", F.md5(F.col("text").cast("binary"))).rowsBetween(Window.unboundedPreceding, -1)
     sources = docs.select("source").distinct().select(_key().alias("key"), _weight(weights, default_weight).alias("weight"))
-    period = schedule(sources).select(F.col("key").alias("_src"), F.col("seq").alias("_seq"), F.col("slot").alias("_slot"), F.col("period").alias("_period"))
+    period = schedule(sources).select(F.col("key").alias("_mix_src_"), F.col("seq").alias("_mix_seq_"), F.col("slot").alias("_mix_slot_"), F.col("period").alias("_mix_period_"))
     return (
-        salted.withColumn("_in", F.coalesce(F.sum("_len").over(within), F.lit(0)))
-        .join(offsets, ["_src", "_salt"])
-        .withColumn("place", F.col("_base") + F.col("_in"))
-        .withColumn("block", F.floor(F.col("place") / block_chars))
-        .withColumn("_weight", _weight(weights, default_weight))
-        .withColumn("_seq", F.col("block") % F.col("_weight"))
-        .join(F.broadcast(period), ["_src", "_seq"])
-        .withColumn("slot", F.floor(F.col("block") / F.col("_weight")) * F.col("_period") + F.col("_slot"))
-        .select(*docs.columns, "block", "slot", "place")
+        salted.withColumn("_mix_in_", F.coalesce(F.sum("_mix_len_").over(within), F.lit(0)))
+        .join(offsets, ["_mix_src_", "_mix_salt_"])
+        .withColumn("_mix_place", F.col("_mix_base_") + F.col("_mix_in_"))
+        .withColumn("_mix_block", F.floor(F.col("_mix_place") / block_chars))
+        .withColumn("_mix_weight_", _weight(weights, default_weight))
+        .withColumn("_mix_seq_", F.col("_mix_block") % F.col("_mix_weight_"))
+        .join(F.broadcast(period), ["_mix_src_", "_mix_seq_"])
+        .withColumn("_mix_slot", F.floor(F.col("_mix_block") / F.col("_mix_weight_")) * F.col("_mix_period_") + F.col("_mix_slot_"))
+        .select(*docs.columns, "_mix_block", "_mix_slot", "_mix_place")
     )
 
 
 def mixture(docs: DataFrame, weights: dict[str, int], default_weight: int = 1, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` in the order of the mixture, its own columns only."""
-    mixed = mix(docs, weights, default_weight, block_chars)
-    return mixed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place", "doc_id").select(*docs.columns)
+    mixed = _placed(docs, weights, default_weight, block_chars)
+    return mixed.repartitionByRange("_mix_slot", "_mix_place").sortWithinPartitions("_mix_slot", "_mix_place", "doc_id").select(*docs.columns)
 
 
 ORACLE = r"""
