@@ -48,7 +48,7 @@ def test_index_scans_what_it_should(engine):
 
 def test_queries(engine):
     assert [n["id"] for n in engine.search("create_inv")][:1] == ["symbol:billing.py:create_invoice"]
-    best = engine.semantic("invoice creation")[0]
+    best = engine.semantic("invoice creation", glob="billing.py")[0]
     assert best["name"] == "create_invoice" and best["score"] == 1.0 and best["score_source"] == "hybrid" and best["snippet"] == "Make an invoice."
     assert "terms" not in best["meta"] and engine.semantic("the and") == []
     assert [c["name"] for c in engine.callees("create_invoice")["callees"]] == ["tax"]
