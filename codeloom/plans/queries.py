@@ -146,7 +146,7 @@ def _target(name: str, value: str, condition: str):
 _target("resolve_targets_exact", "order_77", "id = 'order_77' OR path = 'order_77' OR name = 'order_77'")
 _target("resolve_targets_prefix", "supplier/7", "id = 'file:supplier/7' OR path = 'supplier/7'")
 _target("resolve_targets_path_symbol", "orders/5-LOW:order_0", "kind = 'symbol' AND path = 'orders/5-LOW' AND name = 'order_0'")
-_target("resolve_targets_fragment", "MENT/1", f"lower(path) LIKE '%ment/1%' OR lower(id) LIKE '%ment/1%' OR lower(name) LIKE '%ment/1%' ORDER BY {KIND_SQL}, name, id LIMIT 25")
+_target("resolve_targets_fragment", "TURE/1", f"lower(path) LIKE '%ture/1%' OR lower(id) LIKE '%ture/1%' OR lower(name) LIKE '%ture/1%' ORDER BY {KIND_SQL}, name, id LIMIT 25")
 
 
 # ---- neighbours -----------------------------------------------------------------------------------
