@@ -5,7 +5,8 @@ the number of its characters that are link text and a mark where an element is p
 its tag, role or class (menus, headers, footers, sidebars, adverts, forms, notices, comments). The
 lengths of ``WINDOW`` lines after one another are summed; furniture and link text weigh nothing.
 Where the sum surges the main text begins, where it falls to nothing it ends, and the lines between
-surge and dive are kept in page order.
+surge and dive are kept in page order. A class or id that only names the page's layout can enclose
+the article: an <article> or <main> opens again inside it.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ NAMES = frozenset(
     comment comments disqus replies reply respond discussion
     share sharing social related recommended recommendations trending popular tags form login search copyright disclaimer""".split()
 )
+#: First words of a class or id that says what a page has or lacks, not what the element is.
+FLAGS = frozenset("no not has have with without hide".split())
 #: Elements whose text is the article wherever they stand, unless furniture encloses them in it.
 ARTICLE = frozenset(("article", "main"))
 
@@ -52,34 +55,52 @@ HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _SPACES = re.compile(r"\s+")
 
 
-def _is_furniture(tag: str, attributes: str) -> bool:
+def _words(value: str) -> set[str]:
+    """Words of a class or id that name furniture; names such as no-sidebar or with-banner don't."""
+    out = set()
+    for name in value.split():
+        words = [x.lower() for x in _NAME.findall(name) + _WORD.findall(name)]
+        if words and words[0] not in FLAGS:
+            out |= NAMES.intersection(words)
+    return out
+
+
+def _furniture(tag: str, attributes: str) -> str:
+    """What makes an element furniture: "hard" by element, role or hiding, else "header" or "soft" by the words of class and id; "" if nothing."""
     if tag in FURNITURE:
-        return True
+        return "hard"
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False
+        return ""
+    words: set[str] = set()
     for m in _ATTRIBUTE.finditer(attributes):
         name = m[1].lower()
         if name == "hidden":
-            return True
+            return "hard"
         if name not in ("class", "id", "role", "aria-hidden", "style"):
             continue
         value = m[2] or m[3] or m[4] or ""
         if name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return "hard"
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if name in ("class", "id") and tag not in ("html", "body") and NAMES.intersection(x.lower() for x in _NAME.findall(value) + _WORD.findall(value)):
-            return True
-    return False
+            return "hard"
+        if name in ("class", "id") and tag not in ("html", "body"):
+            words |= _words(value)
+    return "" if not words else "header" if words == {"header"} else "soft"
+
 
+def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
+    """Lines of a page in order: text, characters of link text, furniture, and the article they are in.
 
-def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
-    """Lines of a page in order: text, characters of link text, furniture, within an article."""
-    lines: list[tuple[str, int, bool, bool]] = []
+    The last is 0 outside articles, else 1 and the number of elements around the article that are
+    furniture by class or id.
+    """
+    lines: list[tuple[str, int, bool, int]] = []
     parts: list[str] = []
     linked = at = 0
-    stack: list[tuple[str, bool, bool, bool]] = []  # element, silent, furniture, article
-    silent = furniture = article = False
+    # element, what makes it furniture, and around it: silent, furniture, article, hard, soft
+    stack: list[tuple[str, str, bool, bool, int, bool, int]] = []
+    silent = furniture = hard = False
+    article = soft = 0  # soft: elements around that are furniture by class or id
 
     def end_line() -> None:
         nonlocal linked
@@ -91,9 +112,17 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         linked = 0
 
     def close_to(n: int) -> None:
-        nonlocal silent, furniture, article
+        nonlocal silent, furniture, article, hard, soft
         while len(stack) > n:
-            _, silent, furniture, article = stack.pop()
+            _, _, silent, furniture, article, hard, soft = stack.pop()
+
+    def open_(tag: str, why: str) -> None:
+        nonlocal furniture, hard, soft
+        stack.append((tag, why, silent, furniture, article, hard, soft))
+        if why:
+            furniture = True
+            hard |= why == "hard"
+            soft += why != "hard"
 
     in_link = 0
     n = len(page)
@@ -117,10 +146,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         if tag == "a":
             in_link = 0 if m[1] else 1
         if tag in INLINE:
-            if not (m[1] or tag in VOID) and _is_furniture(tag, m[3]):
+            if not (m[1] or tag in VOID) and (why := _furniture(tag, m[3])):
                 end_line()
-                stack.append((tag, silent, furniture, article))
-                furniture = True
+                open_(tag, why)
             elif m[1] and stack and stack[-1][0] == tag:
                 end_line()
                 close_to(len(stack) - 1)
@@ -140,21 +168,28 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
             continue
         if tag == "body":
             close_to(0)
-        stack.append((tag, silent, furniture, article))
         if tag in SILENT:
+            open_(tag, "")
             silent = True
             if tag in ("script", "style", "textarea", "iframe", "noscript", "template"):  # no markup counts in them
                 end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else n
                 close_to(len(stack) - 1)
         elif tag in ARTICLE and not furniture:
-            article = True
-        elif _is_furniture(tag, m[3]):
-            furniture = True
-        elif tag in HEADINGS and furniture and article:
-            # the title in the article's own header belongs to it
-            cause = next(t for t, _, before, _ in reversed(stack[:-1]) if not before)
-            furniture = cause != "header"
+            open_(tag, "")
+            article = article or 1
+        elif tag in ARTICLE and not (article or hard or _furniture(tag, m[3])):
+            # furniture by words alone may be a wrapper of the layout; main_text decides
+            open_(tag, "")
+            furniture, article = False, 1 + soft
+        else:
+            why = _furniture(tag, m[3])
+            inside = furniture
+            open_(tag, why)
+            if tag in HEADINGS and inside and article and not why:
+                # the title in the article's own header belongs to it
+                cause, name = next((t, w) for t, w, _, before, *_ in reversed(stack[:-1]) if not before)
+                furniture = cause != "header" and name != "header"
     end_line()
     return lines
 
@@ -162,8 +197,15 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
 def main_text(page: str | None) -> str:
     """The article of a page: its lines joined by line feeds; empty for null, empty or bare pages."""
     lines = lines_of(page) if page else []
-    if any(x[3] and not x[2] for x in lines):  # text outside a marked article isn't part of it
-        lines = [(t, k, f or not a, a) for t, k, f, a in lines]
+    level = min((a for _, _, f, a in lines if a and not f), default=0)
+    if level > 1:  # all articles are inside furniture by words: they are the text unless other text outweighs them
+        inside = sum(len(t) for t, _, f, a in lines if a == level and not f)
+        if inside < sum(len(t) - k for t, k, f, a in lines if not a and not f):
+            level = 0
+    if level:  # text outside a marked article isn't part of it
+        lines = [(t, k, f or a != level, a == level) for t, k, f, a in lines]
+    else:
+        lines = [(t, k, f or a > 1, a == 1) for t, k, f, a in lines]
     weight = [0 if f or k > 0.6 * len(t) else len(t) - k for t, k, f, _ in lines]
     n = len(lines)
     window = [sum(weight[i : i + WINDOW]) for i in range(n)]

@@ -43,3 +43,22 @@ def test_table(spark):
     got = sorted((r.page_id or 0, r.url or "", r.n_chars) for r in html_extract.extract(pages).collect())
     assert got == [(0, "v", 199_999), (1, "u", len(LONG)), (2, "", 0), (2, "", 0)]
     assert html_extract.extract(pages.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("wrapper", ["class='no-sidebar'", "class='content with-sidebar'", "id='page' class='has-banner'", "class='sidebar-layout'", "id=banner class='page header'"])
+def test_articles_inside_wrappers_named_by_the_layout(wrapper):
+    noise = "<div class='sidebar'><p>Noise of a sidebar.</p></div><div class='related'><article>Teaser</article></div>"
+    for tag in ("article", "main"):
+        page = f"<body><p>Skip</p><div {wrapper}><{tag}><h1>Title</h1><p>{LONG}</p>{noise}<p>Short.</p></{tag}>{noise}</div></body>"
+        assert main_text(page) == f"Title\n{LONG}\nShort."
+    assert main_text(f"<div class='no-sidebar'><p>{LONG}</p></div>") == LONG
+    for tag in ("nav", "aside", "footer", "form"):
+        assert main_text(f"<{tag}><article><p>{LONG}</p></article></{tag}>") == ""
+    comment = f"<div id='comments'><article class='comment'><p>{LONG} {LONG}</p></article></div>"
+    assert main_text(f"<div><p>{LONG}</p></div>{comment}") == LONG
+    assert main_text(f"<article><p>{LONG}</p></article>{comment}") == LONG
+
+
+def test_title_under_a_div_of_the_class_header():
+    assert main_text(f"<article><div class='entry-header'><h1>Title</h1><p>Share</p></div><p>{LONG}</p></article>") == f"Title\n{LONG}"
+    assert main_text(f"<article><div class='ad'><h2>Buy</h2></div><p>{LONG}</p></article>") == LONG
