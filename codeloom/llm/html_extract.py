@@ -5,8 +5,9 @@ the number of its characters that are link text and a mark where an element is p
 its tag, role or class (menus, headers, footers, sidebars, adverts, forms, notices, comments). The
 lengths of ``WINDOW`` lines after one another are summed; furniture and link text weigh nothing.
 Where the sum surges the main text begins, where it falls to nothing it ends, and the lines between
-surge and dive are kept in page order. A class or id that only names the page's layout can enclose
-the article: an <article> or <main> opens again inside it.
+surge and dive are kept in page order; plain lines behind nothing but furniture go on with the run.
+Of a marked article every line that is no furniture is kept, links too. A class or id that only
+names the page's layout can enclose the article: an <article> or <main> opens again inside it.
 """
 
 from __future__ import annotations
@@ -202,17 +203,16 @@ def main_text(page: str | None) -> str:
         inside = sum(len(t) for t, _, f, a in lines if a == level and not f)
         if inside < sum(len(t) - k for t, k, f, a in lines if not a and not f):
             level = 0
-    if level:  # text outside a marked article isn't part of it
-        lines = [(t, k, f or a != level, a == level) for t, k, f, a in lines]
-    else:
-        lines = [(t, k, f or a > 1, a == 1) for t, k, f, a in lines]
+    if level:  # text outside a marked article isn't part of it, and all text in it is
+        return "\n".join(t for t, _, f, a in lines if a == level and not f)
+    lines = [(t, k, f or a > 1, a == 1) for t, k, f, a in lines]
     weight = [0 if f or k > 0.6 * len(t) else len(t) - k for t, k, f, _ in lines]
     n = len(lines)
     window = [sum(weight[i : i + WINDOW]) for i in range(n)]
     top = max(window, default=0)
     if not top:
         return ""
-    # within a marked article every line with text is a surge
+    # beside a marked article without text of its own every line with text is a surge
     surge = 1 if any(x[3] for x in lines) else min(SURGE_CHARS, SURGE_SHARE * top)
     kept: list[str] = []
     i = 0
@@ -223,12 +223,16 @@ def main_text(page: str | None) -> str:
         end = i
         while end < n and window[end] > 0:
             end += 1
+            if end < n and not window[end]:  # plain text behind nothing but furniture goes on with the run
+                beyond = next((j for j in range(end, n) if not lines[j][2]), n)
+                if beyond < n and weight[beyond]:
+                    end = beyond
         begin = i
         while begin and weight[begin - 1]:  # a heading or a short first line before the surge
             begin -= 1
         run = range(begin, end)
         # a run of short lines beside a long text, like a list of notes, is no main text
-        kept += [lines[j][0] for j in run if not lines[j][2] and (weight[j] or lines[j][3])]
+        kept += [lines[j][0] for j in run if weight[j]]
         i = end
     return "\n".join(kept)
 

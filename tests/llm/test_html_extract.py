@@ -62,3 +62,16 @@ def test_articles_inside_wrappers_named_by_the_layout(wrapper):
 def test_title_under_a_div_of_the_class_header():
     assert main_text(f"<article><div class='entry-header'><h1>Title</h1><p>Share</p></div><p>{LONG}</p></article>") == f"Title\n{LONG}"
     assert main_text(f"<article><div class='ad'><h2>Buy</h2></div><p>{LONG}</p></article>") == LONG
+
+
+def test_links_of_a_marked_article_stay():
+    links = "".join(f"<li><a href='/{i}'>Reference {i}</a></li>" for i in range(5))
+    page = f"<article><h1><a href='/'>Title</a></h1><p>{LONG}</p><ul>{links}</ul><p>Short.</p><p><a href='/x'>Source</a></p></article>"
+    assert main_text(page) == "\n".join(["Title", LONG, *(f"Reference {i}" for i in range(5)), "Short.", "Source"])
+
+
+def test_short_end_of_a_text_after_furniture():
+    end = "A closing paragraph of about sixty characters, no more here."
+    advert = "<div class='ad'><p>Buy</p><p>this</p><p>now</p><p>please</p></div>"
+    for tail in (advert, "", "<ul>" + "<li><a href='/'>More links of the site</a></li>" * 4 + "</ul><p>Imprint</p>"):
+        assert main_text(f"<div><p>{LONG * 9}</p>{advert}<p>{end}</p></div>{tail}") == f"{LONG * 9}\n{end}"
