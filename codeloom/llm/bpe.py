@@ -447,12 +447,12 @@ def load_spec(path: str) -> dict:
         return json.load(f)
 
 
-def encode(docs: DataFrame, tokenizer: str, lexicon_words: int = LEXICON_WORDS, with_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, lexicon_words: int = LEXICON_WORDS, with_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``docs`` (``doc_id``, ``text``): n_tokens, ids_sha256, decoded_sha256; with
-    ``with_ids`` also ids (array<int>) and decoded.
+    ``with_ids`` also ids (array<int>) and decoded; then the columns of ``docs`` that ``keep`` names.
 
     A null or empty text has no tokens, and decodes to the empty string. Special tokens' strings in
-    a text are special tokens, as in the library. Repeated rows are encoded each; extra columns are
+    a text are special tokens, as in the library. Repeated rows are encoded each; other columns are
     ignored; an empty table gives no rows.
     """
     sc = docs.sparkSession.sparkContext
@@ -476,7 +476,9 @@ def encode(docs: DataFrame, tokenizer: str, lexicon_words: int = LEXICON_WORDS,
                         texts.append(decoded)
             out = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             more = [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())] if with_ids else []
-            yield pa.RecordBatch.from_arrays(out + more, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(out) + len(more)])
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(out) + len(more)]
+            yield pa.RecordBatch.from_arrays(out + more + batch.columns[2:], names=[*names, *keep])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    schema += "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *keep).mapInArrow(run, schema)

@@ -2,6 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns a
 DataFrame; every stage's result is written as Parquet and read again as the next one's ``docs``.
+Parquet keeps no order, so the last stage works out the mixture from its rows, or takes the ``slot``
+and ``place`` that ``run`` carries to it, and returns its rows in that order.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.llm import bpe, line_dedup, minhash, mixing, toxicity
-from codeloom.llm.common import stage
+from codeloom.llm.common import discard, stage
 from codeloom.llm.queries import WEIGHTS
 
 
@@ -35,8 +37,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens of every document: doc_id, n_tokens, and digests of the ids and of the decoded text."""
-    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Tokens of every document: doc_id, n_tokens, and digests of the ids and of the decoded text; in the order of the mixture."""
+    mixed = stage(mixing.mix(docs, WEIGHTS), "mixed")
+    out = encode_mixed(mixed).drop("slot", "place")
+    discard(mixed)
+    return out
+
+
+def encode_mixed(mixed: DataFrame) -> DataFrame:
+    """``encode`` of documents that have slot and place, which stay, ordered by (slot, place, doc_id)."""
+    # written before the sort, which would otherwise encode twice to find its ranges
+    tokens = stage(bpe.encode(mixed, public_tokenizers.path("word_bpe_49k.json"), keep=("slot", "place")), "tokens")
+    return tokens.orderBy("slot", "place", "doc_id")
 
 
 STAGES = [
@@ -52,7 +64,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's columns, and every document's slot and place in the mixture, in that order."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, function in STAGES[:-1]:
+    for name, function in STAGES[:-2]:
         docs = stage(function(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return encode_mixed(stage(mixing.mix(docs, WEIGHTS), "mixing"))

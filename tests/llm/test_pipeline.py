@@ -1,3 +1,5 @@
+from hashlib import md5
+
 import corpus_pipeline
 
 
@@ -14,3 +16,38 @@ def test_stages_run_in_order_and_keep_columns(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert last.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and last.count() == before
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def plain_order(rows, weights):
+    """doc_ids in the order of the Pfair schedule over blocks of 65,536 characters, by hand."""
+    total, done, slots = sum(weights.values()), dict.fromkeys(weights, 0), {}
+    for t in range(20 * total):
+        ready = [(-(-(done[k] + 1) * total // w), done[k] * total // w, "=" + k, k) for k, w in weights.items() if done[k] * total // w <= t]
+        k = min(ready)[3]
+        slots[k, done[k]] = t
+        done[k] += 1
+    out = []
+    for source in weights:
+        at = 0
+        for i, text, _ in sorted((r for r in rows if r[2] == source), key=lambda r: (md5(str(r[0]).encode()).hexdigest()[:2], r[0])):
+            out.append((slots[source, at // 65_536], at, i))
+            at += len(text)
+    return [i for _, _, i in sorted(out)]
+
+
+def test_result_is_in_the_order_of_the_mixture(spark, tmp_path):
+    rows = [(i, f"word{i} " * 2_000, f"src{i % 3}") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = plain_order(rows, {f"src{i}": 1 + i for i in range(3)})
+    assert len({i // 15 for i in want}) > 1 and want != sorted(want)
+    mixed = corpus_pipeline.mix_sources(spark, docs, "")
+    mixed.repartition(3).write.parquet(f"{tmp_path}/mixed")
+    out = corpus_pipeline.encode(spark, spark.read.parquet(f"{tmp_path}/mixed"), "")
+    assert [r.doc_id for r in out.collect()] == want
+
+
+def test_run_returns_the_places_of_the_mixture(spark):
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "slot", "place"]
+    got = [(r.slot, r.place, r.doc_id) for r in out.collect()]
+    assert got == sorted(got) and len({s for s, _, _ in got}) > 1
