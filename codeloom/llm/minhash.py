@@ -2,15 +2,16 @@
 
 * One pass hashes each document's whole shingle set into ``bands * rows`` bins (one permutation: a
   shingle's high bits choose its bin, its rank within the bin is its value) and fills empty bins by
-  the optimal densification (an empty bin probes bins in a pseudo-random order of its own until it
-  meets a filled one).
+  the optimal densification (an empty bin takes the filled one that comes first in an order of all
+  bins of its own, so short texts' bins agree as independently as long ones').
 * Documents with equal sets collapse to one representative through a digest of the set.
 * In each bucket every member is paired with the bucket's hub only, so a bucket of m members gives
   m - 1 candidate edges: first with the hub that comes first in all buckets, then, for members that
   are in another component than the hub by then, with a hub that each bucket draws for itself.
 * In a bucket that still holds several components, members outside the largest one are compared with
-  all others in blocks of bounded size: two-bit sketches of the signatures first, then the full sets.
-  Pairs never become rows, and a pair is compared in the first bucket that it shares.
+  all others in blocks of bounded size: an upper bound of the common shingles from bitmaps first, which
+  rules out no pair that is similar enough, then the full sets. Pairs never become rows, and a pair
+  is compared in the first bucket that it shares.
 * Candidate edges are confirmed on the full sets, made anew from the whole texts.
 """
 
@@ -28,17 +29,16 @@ from codeloom.llm.common import connected_components, mix64, shingle_set, stage
 
 #: 32 bands of 6 rows: a pair at similarity 0.8 shares a bucket with probability 0.99994.
 BANDS, ROWS = 32, 6
-#: A sketch's estimate may fall short of the similarity by this many standard errors.
-SLACK = 4.5
+#: Bits of a set's bitmap: each bit that only one of two sets has is a shingle of its own at least.
+BITMAP_BITS = 1_024
 
 
 class Signer:
-    """Signature bands of shingle sets; the probing orders are tables of fixed size."""
+    """Signature bands of shingle sets; the probing orders are a table of fixed size."""
 
     def __init__(self, bands: int = BANDS, rows: int = ROWS):
         self.bands, self.rows, self.bins = bands, rows, bands * rows
-        tries = np.arange(64 * self.bins, dtype=np.uint64)
-        self.probes = (mix64(tries + np.uint64(0xC0DE)) % np.uint64(self.bins)).astype(np.int64).reshape(self.bins, 64)
+        self.orders = mix64(np.arange(self.bins * self.bins, dtype=np.uint64) + np.uint64(0xC0DE)).reshape(self.bins, self.bins)
         self.weights = mix64(np.arange(1, self.bins + 1, dtype=np.uint64)).reshape(bands, rows) | np.uint64(1)
 
     def signature(self, shingles: np.ndarray) -> np.ndarray:
@@ -49,30 +49,30 @@ class Signer:
         np.minimum.at(sig, bin_of.astype(np.int64), (h & np.uint64(0xFFFFFFFF)) << np.uint64(16) | bin_of)
         full = sig != np.iinfo(np.uint64).max
         if not full.all():
-            empty = np.flatnonzero(~full)
-            ok = full[self.probes[empty]]
-            first = ok.argmax(1)
-            hit = ok[np.arange(len(empty)), first]
-            sig[empty[hit]] = sig[self.probes[empty[hit], first[hit]]]
-            there = np.flatnonzero(full)
-            for e in empty[~hit]:  # few bins filled: the same kind of order goes on over the filled ones
-                sig[e] = sig[there[int(mix64(np.array([e + 7919], np.uint64))[0]) % len(there)]]
+            empty, there = np.flatnonzero(~full), np.flatnonzero(full)
+            sig[empty] = sig[there[self.orders[np.ix_(empty, there)].argmin(1)]]
         return sig
 
-    def sketch(self, sig: np.ndarray) -> np.ndarray:
-        """Two bits of each bin: a plane of low bits, then one of high bits, in 64-bit words."""
-        h = mix64(sig)
-        planes = [np.packbits(((h >> np.uint64(i)) & np.uint64(1)).astype(np.uint8)) for i in (0, 1)]
-        return np.concatenate([np.concatenate([x, np.zeros(-len(x) % 8, np.uint8)]) for x in planes]).view(np.int64)
-
     def band_keys(self, sig: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             mixed = mix64(sig.reshape(self.bands, self.rows)) * self.weights
             return mix64(mixed.sum(axis=1, dtype=np.uint64)).view(np.int64)
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """Bits that the shingles of a set hit, in 64-bit words."""
+    bits = np.zeros(BITMAP_BITS, np.uint8)
+    bits[(mix64(shingles) % np.uint64(BITMAP_BITS)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.uint64)
+
+
+def most_common(n_a: int, a: np.ndarray, n_b: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Upper bounds of the shingles that a set of ``n_a`` with bitmap ``a`` has in common with each of ``b``."""
+    return np.minimum(n_a - np.bitwise_count(a & ~b).sum(1, dtype=np.int64), n_b - np.bitwise_count(b & ~a).sum(1, dtype=np.int64))
+
+
 def signatures(docs: DataFrame, words: int = 2, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per row of ``docs`` (``doc_id``, ``text``): n_shingles, digest of the set, band keys, sketch.
+    """Per row of ``docs`` (``doc_id``, ``text``): n_shingles, digest of the set, band keys, bitmap.
 
     A row without shingles has a digest of its own (its id), so it equals no other document.
     """
@@ -80,28 +80,27 @@ def signatures(docs: DataFrame, words: int = 2, bands: int = BANDS, rows: int =
     def run(batches):
         signer = Signer(bands, rows)
         for batch in batches:
-            ids, n, digests, keys, sketches = batch.column(0), [], [], [], []
+            ids, n, digests, keys, bitmaps = batch.column(0), [], [], [], []
             for i, text in enumerate(batch.column(1)):
                 s = shingle_set(text.as_py(), words)
                 n.append(len(s))
                 if len(s):
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    sig = signer.signature(s)
-                    keys.append(signer.band_keys(sig))
-                    sketches.append(signer.sketch(sig))
+                    keys.append(signer.band_keys(signer.signature(s)))
+                    bitmaps.append(bitmap(s).view(np.int64))
                 else:
                     digests.append(b"-" + str(ids[i].as_py()).encode())
                     keys.append(np.empty(0, np.int64))
-                    sketches.append(None)
+                    bitmaps.append(None)
             sizes = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat)), pa.array(sketches, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "digest", "bands", "sketch"],
+                [ids, pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat)), pa.array(bitmaps, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "digest", "bands", "bitmap"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>"
+        run, "doc_id long, n_shingles long, digest binary, bands array<long>, bitmap array<long>"
     )
 
 
@@ -141,7 +140,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
 BLOCK_SHINGLES = 2_000_000
 
 
-def compare_rest(open_: DataFrame, signed: DataFrame, texts: DataFrame, words: int, percent: int, bands: int, rows: int) -> DataFrame:
+def compare_rest(open_: DataFrame, signed: DataFrame, texts: DataFrame, words: int, percent: int, bands: int) -> DataFrame:
     """Links (u, v) between members of a bucket that are in different components: ``open_`` has key, rep, class."""
     sizes = open_.groupBy("key", "class").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "class")).alias("top")).select("key", F.col("top.class").alias("top"))
@@ -154,23 +153,22 @@ def compare_rest(open_: DataFrame, signed: DataFrame, texts: DataFrame, words: i
     sent = placed.select("key", "rep", "class", "few", "block", F.explode(every).alias("other"))
     sides = F.array(F.struct(F.col("block").alias("i"), F.col("other").alias("j"), F.lit(True).alias("left")), F.struct(F.col("other").alias("i"), F.col("block").alias("j"), F.lit(False).alias("left")))
     sent = sent.select("key", "rep", "class", "few", F.explode(sides).alias("p")).where("few or not p.left").select("key", "rep", "class", "p.i", "p.j", "p.left")
-    full = signed.select(F.col("doc_id").alias("rep"), "bands", "sketch").join(texts.withColumnRenamed("id", "rep"), "rep")
+    full = signed.select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "bitmap").join(texts.withColumnRenamed("id", "rep"), "rep")
     keys = ["key", "i", "j"]
     groups = sent.join(full, "rep").repartition(*keys).sortWithinPartitions(*keys, "rep", "left")
-    plane = -(-bands * rows // 64)
-    apart = (1 - percent / 100) * 3 / 4
-    most = int(((1 - percent / 100) + SLACK * 4 / 3 * (apart * (1 - apart) / (bands * rows)) ** 0.5) * 3 / 4 * bands * rows)
 
     def links_of(group: pd.DataFrame) -> pd.DataFrame:
         left, right = group[group.left], group[~group.left]
-        a, b = (np.stack(x.sketch.to_numpy()).view(np.uint64) if len(x) else np.empty((0, 2 * plane), np.uint64) for x in (left, right))
+        a, b = (np.stack(x.bitmap.to_numpy()).view(np.uint64) if len(x) else np.empty((0, BITMAP_BITS // 64), np.uint64) for x in (left, right))
+        n_a, n_b = left.n_shingles.to_numpy(), right.n_shingles.to_numpy()
         bands_a, bands_b = (np.stack(x.bands.to_numpy()) if len(x) else np.empty((0, bands), np.int64) for x in (left, right))
         class_a, class_b, ids_a, ids_b = left["class"].to_numpy(), right["class"].to_numpy(), left.rep.to_numpy(), right.rep.to_numpy()
         few_b = np.isin(ids_b, ids_a)
         key, sets, out = group.key.iloc[0], {}, []
         for f in range(len(left)):
-            differ = np.bitwise_count((a[f, :plane] ^ b[:, :plane]) | (a[f, plane:] ^ b[:, plane:])).sum(1)
-            near = np.flatnonzero((differ <= most) & (class_b != class_a[f]) & ~(few_b & (ids_b < ids_a[f])))
+            near = np.flatnonzero((class_b != class_a[f]) & ~(few_b & (ids_b < ids_a[f])))
+            # of n_a and n_b shingles so many must be common at the least
+            near = near[(100 + percent) * most_common(n_a[f], a[f], n_b[near], b[near]) >= percent * (n_a[f] + n_b[near])]
             shared = bands_a[f] == bands_b[near]
             near = near[(shared.any(1)) & (bands_a[f][shared.argmax(1)] == key)]
             if not len(near):
@@ -241,7 +239,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
 
     # members outside their bucket's largest component meet the other components' members
     now = stage(_open_buckets(now.select("key", "rep"), classes), "minhash-open")
-    rest = compare_rest(now, reps.select("doc_id", "n_shingles", "bands", "sketch"), texts, words, percent, bands, rows)
+    rest = compare_rest(now, reps.select("doc_id", "n_shingles", "bands", "bitmap"), texts, words, percent, bands)
     links = stage(links.unionByName(rest), "minhash-links")
     result = signed.select("doc_id", "n_shingles", "digest").join(alike, "digest", "left")
     result = result.join(connected_components(links).select(F.col("node").alias("rep"), "component"), "rep", "left")

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from codeloom.llm import minhash
 from codeloom.llm.common import shingle_set, word_hashes
@@ -87,3 +88,32 @@ def test_signatures_estimate_the_similarity():
             true = n / (800 - n)
             off.append((signer.signature(x) == signer.signature(y)).mean() - true)
         assert abs(np.mean(off)) < 0.02 and np.std(off) < 0.06
+
+
+def test_short_sets_share_a_band_and_pass_the_bound():
+    rng, signer = np.random.default_rng(5), minhash.Signer()
+    for small, large in ((4, 5), (5, 6), (8, 10), (9, 10)):
+        missed = 0
+        for _ in range(2_000):
+            x = rng.integers(0, 2**63, large).astype(np.uint64)
+            a, b = np.sort(x[:small]), np.sort(x)
+            missed += not (signer.band_keys(signer.signature(a)) == signer.band_keys(signer.signature(b))).any()
+            assert minhash.most_common(small, minhash.bitmap(a), np.array([large]), minhash.bitmap(b)[None])[0] >= small
+        assert missed <= 2
+
+
+def test_short_texts_of_one_bucket_are_compared_on_full_sets(spark):
+    rng = random.Random(6)
+    rows, want = [], set()
+    for k in range(300):  # pairs of 4 to 10 shingles, both in one bucket of all
+        n = rng.choice([4, 5, 8, 9])
+        text = [f"w{k}x{i}" for i in range(n + 1)]
+        more = [*text, f"w{k}y"] if n != 8 else [*text, f"w{k}y", f"w{k}z"]
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(more))]
+        want.add((2 * k, 2 * k + 1))
+    texts = spark.createDataFrame(rows, "id long, text string")
+    signed = minhash.signatures(texts.withColumnRenamed("id", "doc_id"), 2).drop("digest")
+    shared = spark.createDataFrame([(r.doc_id, k) for r in signed.collect() for k in r.bands], "rep long, key long").withColumn("class", F.col("rep"))
+    links = minhash.compare_rest(shared, signed, texts, 2, 80, minhash.BANDS)
+    got = {(min(r.u, r.v), max(r.u, r.v)) for r in links.collect()}
+    assert got <= want and len(want - got) <= 1
