@@ -5,6 +5,9 @@ stands on. An estimate well above the threshold settles the line; lines whose es
 the sketch's error of the threshold get an exact distinct count. Lines on ``min_sites`` sites or
 more are boilerplate: the first occurrence (smallest doc_id, then position) stays, so no text is
 lost from the corpus, and all other occurrences go.
+
+Long lines repeat by no chance: ``remove_passages`` cuts those that stand in two documents, whatever
+their sites. It is for documents without near copies among them, whose texts it would cut down.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from codeloom.llm.common import stage
 MIN_SITES = 3
 #: Shorter lines repeat by chance in ordinary prose, and are left alone.
 MIN_WORDS = 3
+#: Lines of so many words are passages.
+PASSAGE_WORDS = 50
 #: 2**8 registers: a relative error of about 1.04 / 16 = 6.5 %.
 LOG_K = 8
 ERROR = 1.04 / 2 ** (LOG_K / 2)
@@ -67,7 +72,18 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: i
     Rows with a null doc_id take no part and come back whole. Rows that share a doc_id lose lines
     at the same places. All columns of ``docs`` stay; an empty table gives no rows.
     """
-    known = stage(boilerplate(docs, min_sites, min_words), "boilerplate")
+    return _cut(docs, stage(boilerplate(docs, min_sites, min_words), "boilerplate"), min_words)
+
+
+def remove_passages(docs: DataFrame, min_words: int = PASSAGE_WORDS) -> DataFrame:
+    """``remove_boilerplate`` of the lines of ``min_words`` words or more that stand in two documents or more."""
+    spread = _lines(docs, min_words).groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max("doc_id").alias("last"))
+    known = spread.where("first.doc_id < last").select("h1", "h2", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos"))
+    return _cut(docs, stage(known, "passages"), min_words)
+
+
+def _cut(docs: DataFrame, known: DataFrame, min_words: int) -> DataFrame:
+    """``docs`` without the lines of ``known`` but their first occurrences."""
     gone = (
         _lines(docs, min_words)
         .drop("source")

@@ -27,8 +27,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return minhash.keep_one_of_each(docs)
+    """One document of each group of near duplicates stays; then passages that other documents repeat are cut out of these."""
+    kept = stage(minhash.keep_one_of_each(docs), "kept")
+    return line_dedup.remove_passages(kept).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

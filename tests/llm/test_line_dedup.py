@@ -41,3 +41,11 @@ def test_many_sites_near_the_threshold(spark):
 
 def test_empty_table(spark):
     assert line_dedup.remove_boilerplate(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_passages_on_one_site(spark):
+    long, short = " ".join(f"w{i}" for i in range(50)), " ".join(f"w{i}" for i in range(49))
+    rows = [(3, f"a\n{long}\n{short}\n{long}", "s"), (5, f"{long}\nb\n{short}", "s"), (7, f"{long} x\n{long} x", "s"), (8, None, "s"), (None, long, None)]
+    out = line_dedup.remove_passages(spark.createDataFrame([(*r, 0, "") for r in rows], SCHEMA))
+    want = {3: (f"a\n{long}\n{short}", 4, 1), 5: (f"b\n{short}", 3, 1), 7: (f"{long} x\n{long} x", 2, 0), 8: (None, 0, 0), None: (long, 1, 0)}
+    assert {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in out.collect()} == want

@@ -51,3 +51,13 @@ def test_run_returns_the_places_of_the_mixture(spark):
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "slot", "place"]
     got = [(r.slot, r.place, r.doc_id) for r in out.collect()]
     assert got == sorted(got) and len({s for s, _, _ in got}) > 1
+
+
+def test_passages_of_one_source_stand_once(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, "\n".join([passage, " ".join(f"d{i}w{k}" for k in range(80))]), "src0") for i in range(4)]
+    docs = spark.createDataFrame([*rows, (9, rows[0][1], "src0")], "doc_id long, text string, source string")
+    for stage in (corpus_pipeline.dedup_lines, corpus_pipeline.dedup_documents):
+        docs = stage(spark, docs, "")
+    got = {r.doc_id: r.text for r in docs.collect()}
+    assert got == {i: t if i == 0 else t.split("\n")[1] for i, t, _ in rows}
