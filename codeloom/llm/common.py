@@ -7,18 +7,25 @@ reach, so a lost executor costs at most the tasks it was running.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests on one machine.
+T = TypeVar("T")
+
+#: Used only where the session names no shared folder and runs on one machine, as in tests.
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
+    """The folder that driver and executors share; a session on a cluster must name one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or LOCAL_CHECKPOINTS).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -43,6 +50,63 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_HELD: dict[str, object] = {}
+
+
+def held_by_worker(token: str, make: Callable[[], T]) -> T:
+    """``make()`` once in each Python worker: tasks that it runs later find the result again.
+
+    One result is held at a time, that of the last ``token``, so what an earlier job has left goes.
+    """
+    if token not in _HELD:
+        _HELD.clear()
+        _HELD[token] = make()
+    return _HELD[token]
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with underscores in front until no column has it, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose ``doc_id`` is in ``gone`` (doc_id); null ids stay, all columns stay."""
+    name = fresh(docs.columns, "_gone")
+    return docs.join(gone.select(F.col("doc_id").alias(name)).distinct(), F.col("doc_id").cast("long") == F.col(name), "left_anti")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once although ``body`` uses it often or in inner functions."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def chunked_walk(items: Column, state: Column, step: Callable[[Column, Column], Column], kind: str, chunk: int = 512) -> Column:
+    """(state, out): ``step(state, item)`` of each of ``items`` gives the next state and an output of type ``kind``.
+
+    An append to an array copies it, so outputs are gathered in chunks: n items copy n * chunk / 2
+    entries and n * n / chunk / 2 chunks.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(acc: Column, item: Column) -> Column:
+        return let(step(acc.state, item), lambda now: F.struct(now.state.alias("state"), F.concat(acc.out, F.array(now.out)).alias("out")))
+
+    def many(acc: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(acc.state.alias("state"), none.alias("out")), one)
+        return let(inner, lambda now: F.struct(now.state.alias("state"), F.concat(acc.out, F.array(now.out)).alias("out")))
+
+    def walk(all_: Column) -> Column:
+        starts = F.when(F.size(all_) > 0, F.sequence(F.lit(1), F.size(all_), F.lit(chunk))).otherwise(F.array().cast("array<int>"))
+        parts = F.transform(starts, lambda at: F.slice(all_, at, chunk))
+        start = F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        return F.aggregate(parts, start, many, lambda acc: F.struct(acc.state.alias("state"), F.flatten(acc.out).alias("out")))
+
+    return let(items, walk)
+
+
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """Smallest reachable id of every node that has an edge: columns ``node``, ``component``.
 

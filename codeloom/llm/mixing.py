@@ -6,20 +6,28 @@ In each slot the released block with the earliest deadline runs, which keeps eve
 less than one block of its share at all times. The schedule repeats after W slots, so one period of
 it, W entries long, is all that has to be worked out.
 
-Rows are numbered within a source by two levels of prefix sums: within (source, salt) groups, and
-over the groups' totals, so no task ever holds a whole source.
+Sources of one weight have the same releases and deadlines, so they take turns in the order of their
+names: the schedule walks a queue per weight, not per source. A period of any length goes through in
+segments of ``SEGMENT`` slots, each a row that takes up the state that the one before it left.
+
+Rows are numbered within a source by two levels of prefix sums: within (source, salt, range of ids)
+groups, and over the groups' totals, so no task ever holds a whole source.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.llm.common import chunked_walk, let, stage
+
 BLOCK_CHARS = 65_536
-#: Bound on one period: sources times slots are worked through once, in one row.
-MAX_PERIOD = 4_096
+#: Slots of a period that one row holds at a time.
+SEGMENT = 1 << 18
+#: Ids that a group of rows spans at most.
+ID_RANGE = 1 << 26
 
 
 def _key(source: str = "source") -> Column:
@@ -27,43 +35,69 @@ def _key(source: str = "source") -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))
 
 
-def _weight(weights: dict[str, int], default_weight: int) -> Column:
-    named = reduce(lambda c, kv: c.when(F.col("source") == kv[0], F.lit(kv[1])), weights.items(), F.when(F.lit(False), F.lit(0)))
-    return F.coalesce(named, F.lit(default_weight)).cast("long")
+def _div(a: Column, b: Column) -> Column:
+    """Whole division of numbers that aren't negative, exact for all longs."""
+    return F.call_function("div", a, b)
+
+
+def weighted(docs: DataFrame, weights: dict[str, int], default_weight: int) -> DataFrame:
+    """(key, weight) of each source of ``docs``."""
+    named = docs.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(weights)), "map<string,bigint>")).alias("name", "weight"))
+    named = named.select(F.concat(F.lit("="), "name").alias("key"), "weight")
+    return docs.select(_key().alias("key")).distinct().join(named, "key", "left").select("key", F.coalesce("weight", F.lit(default_weight).cast("long")).alias("weight"))
 
 
 def schedule(sources: DataFrame) -> DataFrame:
     """``sources`` (key, weight; a row each) to one period: key, seq (its block), slot, period.
 
-    One aggregate() walks the slots over an array of the sources' states; ties go to the earlier
-    release, then the smaller key. Fails if the weights add up to more than ``MAX_PERIOD``.
+    Ties of deadlines go to the earlier release, then the smaller key. The time grows with the
+    period's slots times the number of different weights; the memory doesn't grow with the period.
     """
-    total = F.sum("weight")
-    checked = F.when(total > MAX_PERIOD, F.raise_error(F.lit(f"the weights add up to more than {MAX_PERIOD}"))).otherwise(total)
-    packed = sources.agg(F.sort_array(F.collect_list(F.struct("key", "weight"))).alias("s"), checked.cast("long").alias("period")).where("period > 0")
-    states = F.transform("s", lambda x, i: F.struct(i.cast("long").alias("k"), x.weight.alias("w"), F.lit(0).cast("long").alias("done")))
+    keys = F.sort_array(F.collect_list("key")).alias("members")
+    queues = sources.groupBy("weight").agg(keys).agg(
+        F.sort_array(F.collect_list(F.struct("weight", "members"))).alias("queues"), F.sum(F.col("weight") * F.size("members")).alias("period")
+    )
+    state = stage(queues.where("period > 0").withColumn("done", F.transform("queues", lambda _: F.lit(0).cast("long"))), "mix-queues")
+    first = state.select("period").first()
+    if first is None:
+        return sources.select("key", F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("slot"), F.lit(0).cast("long").alias("period")).limit(0)
+    out = None
+    for begin in range(0, first.period, SEGMENT):
+        walked = stage(state.withColumn("walk", _segment(begin, min(SEGMENT, first.period - begin))), "mix-segment")
+        ran = walked.select("period", F.posexplode("walk.out").alias("slot", "o")).select(
+            F.col("o.weight").alias("weight"), F.col("o.n").alias("n"), (F.col("slot") + F.lit(begin)).cast("long").alias("slot"), "period"
+        )
+        out = ran if out is None else out.unionByName(ran)
+        state = walked.select("queues", "period", F.col("walk.state").alias("done"))
+    by_weight = Window.partitionBy("weight")
+    turns = sources.select("key", "weight", (F.row_number().over(by_weight.orderBy("key")) - 1).cast("long").alias("turn"), F.count("*").over(by_weight).alias("of"))
+    of = F.col("of")
+    return out.join(turns, (out.weight == turns.weight) & (out.n % of == turns.turn)).select("key", _div(F.col("n"), of).alias("seq"), "slot", "period")
+
+
+def _segment(begin: int, slots: int) -> Column:
+    """The walk over slots begin .. begin + slots: (state, out) from the columns queues, period, done."""
     period = F.col("period")
 
-    def step(acc: Column, t: Column) -> Column:
-        released = F.filter(acc.st, lambda x: F.floor(x.done * period / x.w) <= t)
-        best = F.array_min(
-            F.transform(
-                released,
-                lambda x: F.struct(
-                    F.ceil((x.done + 1) * period / x.w).alias("due"), F.floor(x.done * period / x.w).alias("release"), x.k.alias("k"), x.done.alias("seq")
-                ),
-            )
-        )
-        return F.struct(
-            F.transform(acc.st, lambda x: F.struct(x.k.alias("k"), x.w.alias("w"), F.when(x.k == best.k, x.done + 1).otherwise(x.done).alias("done"))).alias("st"),
-            F.concat(acc.out, F.array(F.struct(best.k.alias("k"), best.seq.alias("seq")))).alias("out"),
+    def step(done: Column, t: Column) -> Column:
+        def head(q: Column, i: Column) -> Column:
+            def of(n: Column) -> Column:
+                seq = _div(n, F.size(q.members).cast("long"))
+                release = _div(seq * period, q.weight)
+                due = _div((seq + 1) * period + q.weight - 1, q.weight)
+                key = F.get(q.members, (n % F.size(q.members)).cast("int"))
+                return F.when(release <= t, F.struct(due.alias("due"), release.alias("release"), key.alias("key"), i.alias("i"), q.weight.alias("weight"), n.alias("n")))
+
+            return let(F.get(done, i), of)
+
+        return let(
+            F.array_min(F.transform("queues", head)),
+            lambda best: F.struct(
+                F.transform(done, lambda n, i: n + (i == best.i).cast("long")).alias("state"), F.struct(best.weight.alias("weight"), best.n.alias("n")).alias("out")
+            ),
         )
 
-    start = F.struct(states.alias("st"), F.array().cast("array<struct<k:bigint,seq:bigint>>").alias("out"))
-    walked = packed.select("s", "period", F.aggregate(F.sequence(F.lit(0).cast("long"), period - 1), start, step, lambda acc: acc.out).alias("out"))
-    return walked.select("s", "period", F.posexplode("out").alias("slot", "o")).select(
-        F.get("s", F.col("o.k").cast("int")).getField("key").alias("key"), F.col("o.seq").alias("seq"), F.col("slot").cast("long").alias("slot"), "period"
-    )
+    return chunked_walk(F.sequence(F.lit(begin).cast("long"), F.lit(begin + slots - 1).cast("long")), F.col("done"), step, "struct<weight:bigint,n:bigint>")
 
 
 def mix(docs: DataFrame, weights: dict[str, int], default_weight: int = 1, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -75,8 +109,8 @@ def mix(docs: DataFrame, weights: dict[str, int], default_weight: int = 1, block
     read in the order (slot, place, doc_id) are the mixture. A source that ``weights`` doesn't name
     has ``default_weight``; a null source is a source of its own. Null and empty texts have length
     0 and fall into the block that is open. Repeated rows and ties are all kept; an empty table
-    gives no rows. Weights are positive integers with a total of at most ``MAX_PERIOD``; so is the
-    number of sources, which bounds the broadcast schedule.
+    gives no rows. Weights are positive integers of any total. The sources' names have to fit in one
+    row of a table.
     """
     placed = _placed(docs, weights, default_weight, block_chars)
     new = {"block": "_mix_block", "slot": "_mix_slot", "place": "_mix_place"}
@@ -87,32 +121,39 @@ def _placed(docs: DataFrame, weights: dict[str, int], default_weight: int, block
     """``docs`` with _mix_block, _mix_slot and _mix_place."""
     if any(not isinstance(w, int) or w < 1 for w in [*weights.values(), default_weight]):
         raise ValueError("weights must be positive integers")
+    group = ["_mix_src_", "_mix_salt_", "_mix_range_"]
     salted = (
         docs.withColumn("_mix_src_", _key())
         .withColumn("_mix_salt_", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 2))
+        .withColumn("_mix_range_", F.coalesce(F.floor(F.col("doc_id") / ID_RANGE), F.lit(-(1 << 62))).cast("long"))
         .withColumn("_mix_len_", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
     )
-    totals = salted.groupBy("_mix_src_", "_mix_salt_").agg(F.sum("_mix_len_").alias("_mix_sum_"))
-    before = Window.partitionBy("_mix_src_").orderBy("_mix_salt_").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_mix_src_", "_mix_salt_", F.coalesce(F.sum("_mix_sum_").over(before), F.lit(0)).alias("_mix_base_"))
-    within = Window.partitionBy("_mix_src_", "_mix_salt_").orderBy("doc_id", F.md5(F.col("text").cast("binary"))).rowsBetween(Window.unboundedPreceding, -1)
-    sources = docs.select("source").distinct().select(_key().alias("key"), _weight(weights, default_weight).alias("weight"))
-    period = schedule(sources).select(F.col("key").alias("_mix_src_"), F.col("seq").alias("_mix_seq_"), F.col("slot").alias("_mix_slot_"), F.col("period").alias("_mix_period_"))
+    totals = salted.groupBy(*group).agg(F.sum("_mix_len_").alias("_mix_sum_"))
+    before = Window.partitionBy("_mix_src_").orderBy("_mix_salt_", "_mix_range_").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*group, F.coalesce(F.sum("_mix_sum_").over(before), F.lit(0)).alias("_mix_base_"))
+    within = Window.partitionBy(*group).orderBy("doc_id", F.md5(F.col("text").cast("binary"))).rowsBetween(Window.unboundedPreceding, -1)
+    sources = stage(weighted(docs, weights, default_weight), "mix-sources")
+    period = stage(schedule(sources), "mix-period").select(
+        F.col("key").alias("_mix_src_"), F.col("seq").alias("_mix_seq_"), F.col("slot").alias("_mix_slot_"), F.col("period").alias("_mix_period_")
+    )
     return (
         salted.withColumn("_mix_in_", F.coalesce(F.sum("_mix_len_").over(within), F.lit(0)))
-        .join(offsets, ["_mix_src_", "_mix_salt_"])
+        .join(offsets, group)
         .withColumn("_mix_place", F.col("_mix_base_") + F.col("_mix_in_"))
         .withColumn("_mix_block", F.floor(F.col("_mix_place") / block_chars))
-        .withColumn("_mix_weight_", _weight(weights, default_weight))
+        .join(sources.select(F.col("key").alias("_mix_src_"), F.col("weight").alias("_mix_weight_")), "_mix_src_")
         .withColumn("_mix_seq_", F.col("_mix_block") % F.col("_mix_weight_"))
-        .join(F.broadcast(period), ["_mix_src_", "_mix_seq_"])
-        .withColumn("_mix_slot", F.floor(F.col("_mix_block") / F.col("_mix_weight_")) * F.col("_mix_period_") + F.col("_mix_slot_"))
+        .join(period, ["_mix_src_", "_mix_seq_"])
+        .withColumn("_mix_slot", _div(F.col("_mix_block"), F.col("_mix_weight_")) * F.col("_mix_period_") + F.col("_mix_slot_"))
         .select(*docs.columns, "_mix_block", "_mix_slot", "_mix_place")
     )
 
 
 def mixture(docs: DataFrame, weights: dict[str, int], default_weight: int = 1, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs`` in the order of the mixture, its own columns only."""
+    """The rows of ``docs`` in the order of the mixture, its own columns only.
+
+    Nulls, empty texts, repeated rows and empty tables are as in ``mix``: every row comes back once.
+    """
     mixed = _placed(docs, weights, default_weight, block_chars)
     return mixed.repartitionByRange("_mix_slot", "_mix_place").sortWithinPartitions("_mix_slot", "_mix_place", "doc_id").select(*docs.columns)
 

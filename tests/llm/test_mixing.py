@@ -55,5 +55,23 @@ def test_empty_table_and_bad_weights(spark):
     assert mixing.mix(docs.drop("slot"), {"a": 1}).collect() == []
     with pytest.raises(ValueError):
         mixing.mix(docs, {"a": 0})
-    with pytest.raises(Exception, match="add up"):
-        mixing.mix(spark.createDataFrame([(1, "x", "a", "", 1)], SCHEMA).drop("slot"), {"a": 5000}).agg(F.count("*")).collect()
+
+
+@pytest.mark.parametrize("weights", [{"a": 5000, "b": 1, "c": 4999}, {f"s{i:02}": 1 + i % 7 for i in range(40)}])
+def test_segments_give_the_schedule_of_one_row(spark, weights, monkeypatch):
+    monkeypatch.setattr(mixing, "SEGMENT", 3000 if "a" in weights else 37)
+    sources = spark.createDataFrame(list(weights.items()), "key string, weight long")
+    got = sorted((r.slot, r.key, r.seq) for r in mixing.schedule(sources).collect())
+    if "a" not in weights:
+        assert [(k, s, t) for t, k, s in got] == plain_schedule(weights)
+    total = sum(weights.values())
+    assert [t for t, _, _ in got] == list(range(total))
+    assert all(s * total // weights[k] <= t < -(-(s + 1) * total // weights[k]) for t, k, s in got)  # released, and within its deadline
+
+
+def test_ten_thousand_sources(spark):
+    docs = spark.range(20_000).select("id", F.concat(F.lit("s"), F.col("id") % 10_000).alias("source")).withColumn("text", F.lit("x" * 30)).withColumnRenamed("id", "doc_id")
+    weights = {f"s{i}": 1 + i % 4 for i in range(9_000)}
+    got = mixing.mix(docs, weights, block_chars=20)
+    assert got.count() == 20_000 and got.where("source = 's3'").agg(F.max("slot")).first()[0] < sum(weights.values()) + 1_000
+    assert got.groupBy("slot").agg(F.countDistinct("source").alias("n")).where("n > 1").isEmpty()
