@@ -3,7 +3,7 @@
 The words that the corpus uses most are encoded once and compiled into a minimal acyclic automaton
 over their UTF-8 bytes: words that share an ending share its states. Each accepted word has a rank
 (the number of accepted words before it in byte order, summed along its path), which points to its
-ids. The automaton is a flat file that every Python worker maps into memory. Words that it doesn't
+ids. One task compiles it; every Python worker maps it into memory as a flat file, once. Words that it doesn't
 hold are merged exactly by the tokenizer's own merge ranks.
 
 The tokenizer's file is a parameter: JSON of the public ``tokenizers`` library whose model is BPE with
@@ -21,14 +21,17 @@ import os
 import re
 import tempfile
 import unicodedata
+import uuid
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Words compiled into the lexicon, most frequent first.
+from codeloom.llm.common import discard, held_by_worker, stage
+
+#: Bound on the words compiled into the lexicon, most frequent first.
 LEXICON_WORDS = 50_000
 PLAIN_MARKS = frozenset(",.;:!?|")
 #: Entries of a worker's memory of words, which is emptied when full.
@@ -411,22 +414,18 @@ def portions(column) -> list[list[str]]:
         yield now
 
 
-def frequent_words(docs: DataFrame, bpe_spec, limit: int = LEXICON_WORDS) -> list[str]:
-    """The ``limit`` words that ``docs`` uses most, counted over all its texts; ties by the word.
+def word_counts(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+    """(word, n) of all texts of ``docs``, staged.
 
-    Each task counts its own words first and passes on a bounded part at a time, so a frequent word
-    is a few rows and not a row for each use.
+    Each task counts its own pieces first and passes on a bounded part at a time, so a frequent piece
+    is a few rows and not a row for each use; a piece is cut into words once, when its count is known.
     """
 
-    def run(batches):
-        bpe, counts = WordBpe(bpe_spec.value), collections.Counter()
+    def pieces(batches):
+        bpe, counts = tokenizer.here(), collections.Counter()
 
         def counted():
-            words = collections.Counter()
-            for p, n in counts.items():
-                for w in bpe.piece_words(p):
-                    words[w] += n
-            return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], names=["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["piece", "n"])
 
         for batch in batches:
             for texts in portions(batch.column(0)):
@@ -437,9 +436,34 @@ def frequent_words(docs: DataFrame, bpe_spec, limit: int = LEXICON_WORDS) -> lis
                     counts = collections.Counter()
         yield counted()
 
-    found = docs.select(F.col("text").cast("string")).mapInArrow(run, "word string, n long")
-    top = found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(limit)
-    return [r.word for r in top.select("word").collect()]
+    def words(batches):
+        bpe = tokenizer.here()
+        for batch in batches:
+            counts = collections.Counter()
+            for p, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for w in bpe.piece_words(p):
+                    counts[w] += n
+            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
+
+    found = docs.select(F.col("text").cast("string")).mapInArrow(pieces, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    return stage(found.mapInArrow(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "bpe-words")
+
+
+#: Counts are sorted into so many bins for each doubling.
+BINS = 32
+
+
+def frequent_words(counts: DataFrame, limit: int = LEXICON_WORDS) -> DataFrame:
+    """The words (word) in the highest bins of ``counts`` (word, n), as many whole bins as have at most ``limit`` words.
+
+    A histogram of at most 64 * ``BINS`` rows finds the lowest of these bins, so no task sorts or sends
+    words that don't go into the lexicon.
+    """
+    bin_of = F.floor(F.log2(F.col("n").cast("double")) * BINS).cast("int")
+    histogram = counts.groupBy(bin_of.alias("bin")).agg(F.count("*").alias("words"))
+    upto = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
+    lowest = histogram.withColumn("upto", F.sum("words").over(upto)).where(F.col("upto") <= limit).agg(F.min("bin")).first()[0]
+    return counts.where(bin_of >= lowest if lowest is not None else F.lit(False)).select("word")
 
 
 def load_spec(path: str) -> dict:
@@ -447,6 +471,32 @@ def load_spec(path: str) -> dict:
         return json.load(f)
 
 
+class Tokenizer:
+    """A tokenizer's file on its way to the workers, each of which reads it once."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        with open(path, "rb") as f:
+            self.shared = spark.sparkContext.broadcast(f.read())
+        self.token = uuid.uuid4().hex
+
+    def here(self) -> WordBpe:
+        return held_by_worker(self.token, lambda: WordBpe(json.loads(self.shared.value)))
+
+
+def compiled(words: DataFrame, tokenizer: Tokenizer) -> bytes:
+    """The lexicon of ``words`` (word; a bounded number), compiled by one task."""
+
+    def run(batches):
+        bpe = tokenizer.here()
+        all_words = [w for batch in batches for w in batch.column(0).to_pylist()]
+        ids = bpe.merge_all(all_words)
+        entries = {w.encode("utf-8", "replace"): np.frombuffer(i, "<u4").tolist() for w, i in zip(all_words, ids)}
+        yield pa.RecordBatch.from_arrays([pa.array([Lexicon.build(entries)], pa.binary())], names=["lexicon"])
+
+    got = words.coalesce(1).mapInArrow(run, "lexicon binary").first()
+    return got.lexicon if got else Lexicon.build({})
+
+
 def encode(docs: DataFrame, tokenizer: str, lexicon_words: int = LEXICON_WORDS, with_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``docs`` (``doc_id``, ``text``): n_tokens, ids_sha256, decoded_sha256; with
     ``with_ids`` also ids (array<int>) and decoded; then the columns of ``docs`` that ``keep`` names.
@@ -456,14 +506,13 @@ def encode(docs: DataFrame, tokenizer: str, lexicon_words: int = LEXICON_WORDS,
     ignored; an empty table gives no rows.
     """
     sc = docs.sparkSession.sparkContext
-    spec = load_spec(tokenizer)
-    shared_spec = sc.broadcast(spec)
-    bpe = WordBpe(spec)
-    words = frequent_words(docs, shared_spec, lexicon_words)
-    lexicon = sc.broadcast(Lexicon.build({w.encode("utf-8", "replace"): bpe.merge(w) for w in words}))
+    shared = Tokenizer(docs.sparkSession, tokenizer)
+    counts = word_counts(docs, shared)
+    lexicon, token = sc.broadcast(compiled(frequent_words(counts, lexicon_words), shared)), uuid.uuid4().hex
+    discard(counts)
 
     def run(batches):
-        encoder = Encoder(WordBpe(shared_spec.value), lexicon.value)
+        encoder = held_by_worker(token, lambda: Encoder(WordBpe(json.loads(shared.shared.value)), lexicon.value))
         for batch in batches:
             n, ids_sha, text_sha, ids, texts = [], [], [], [], []
             for some in portions(batch.column(1)):
