@@ -12,10 +12,10 @@ their sites. It is for documents without near copies among them, whose texts it
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import stage
+from codeloom.llm.common import chunked_walk, fresh, let, stage
 
 MIN_SITES = 3
 #: Shorter lines repeat by chance in ordinary prose, and are left alone.
@@ -26,6 +26,9 @@ PASSAGE_WORDS = 50
 LOG_K = 8
 ERROR = 1.04 / 2 ** (LOG_K / 2)
 
+#: A line near the threshold is counted in so many parts, by a hash of the document.
+SALTS = 16
+
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -53,8 +56,11 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MI
         .select("h1", "h2", "first", (F.col("sites") > min_sites * near).alias("sure")),
         "lines",
     )
+    # a line of very many documents is spread over tasks; each of them passes on every site once
+    unsure = spread.where("not sure").select("h1", "h2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     exact = (
-        lines.join(spread.where("not sure"), ["h1", "h2"], "left_semi")
+        lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).cast("int"))
+        .join(unsure, ["h1", "h2", "salt"], "left_semi")
         .select("h1", "h2", "source")
         .distinct()
         .groupBy("h1", "h2")
@@ -66,7 +72,8 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MI
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with boilerplate lines cut out of ``text``, and ``n_lines``, ``n_removed`` (int).
+    """``docs`` with boilerplate lines cut out of ``text``, and ``n_lines``, ``n_removed`` (int); where ``docs``
+    has these names, with underscores in front of the new ones.
 
     Null texts stay null, with 0 lines; an empty text is one empty line. A null source is no site.
     Rows with a null doc_id take no part and come back whole. Rows that share a doc_id lose lines
@@ -84,24 +91,34 @@ def remove_passages(docs: DataFrame, min_words: int = PASSAGE_WORDS) -> DataFram
 
 def _cut(docs: DataFrame, known: DataFrame, min_words: int) -> DataFrame:
     """``docs`` without the lines of ``known`` but their first occurrences."""
-    gone = (
+    doc, gone, n_lines, n_removed = (fresh(docs.columns, c) for c in ("_doc", "_gone", "n_lines", "n_removed"))
+    cut = (
         _lines(docs, min_words)
         .drop("source")
         .join(known, ["h1", "h2"])
         .where("doc_id <> first_doc or pos <> first_pos")
         .groupBy("doc_id")
-        .agg(F.collect_set("pos").alias("_gone"))
-        .withColumnRenamed("doc_id", "_doc")
+        .agg(F.collect_set("pos").alias(gone))
+        .withColumnRenamed("doc_id", doc)
     )
     lines = F.split("text", "\n")
-    kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull())
-    return (
-        docs.join(gone, F.col("doc_id").cast("long") == F.col("_doc"), "left")
-        .withColumn("n_lines", F.when(F.col("text").isNotNull(), F.size(lines)).otherwise(0))
-        .withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)))
-        .withColumn("n_removed", F.greatest("n_removed", F.lit(0)))
-        .withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-        .drop("_gone", "_doc")
+
+    def kept(places: Column) -> Column:
+        """The lines whose number isn't the next of ``places``, which are in order."""
+
+        def step(at: Column, x: Column) -> Column:
+            drop = F.coalesce(F.get(places, at) == x.i, F.lit(False))
+            return F.struct((at + drop.cast("int")).alias("state"), F.struct(x.line.alias("line"), drop.alias("drop")).alias("out"))
+
+        numbered = F.transform(lines, lambda x, i: F.struct(x.alias("line"), i.alias("i")))
+        return F.filter(chunked_walk(numbered, F.lit(0), step, "struct<line:string,drop:boolean>").out, lambda x: ~x.drop)
+
+    cut_text = F.array_join(F.transform(let(F.sort_array(gone), kept), lambda x: x.line), "\n")
+    shortened = F.when(F.col(gone).isNull(), F.col("text")).otherwise(cut_text)
+    return docs.join(cut, F.col("doc_id").cast("long") == F.col(doc), "left").select(
+        *[shortened.alias(c) if c == "text" else F.col(c) for c in docs.columns],
+        F.when(F.col("text").isNotNull(), F.size(lines)).otherwise(0).alias(n_lines),
+        F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).alias(n_removed),
     )
 
 

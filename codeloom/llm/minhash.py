@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import connected_components, mix64, shingle_set, stage
+from codeloom.llm.common import connected_components, mix64, shingle_set, stage, without
 
 #: 32 bands of 6 rows: a pair at similarity 0.8 shares a bucket with probability 0.99994.
 BANDS, ROWS = 32, 6
@@ -251,7 +251,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents that are near copies of one with a smaller doc_id."""
-    classes = near_duplicates(docs, words, percent)
-    drop = classes.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(drop, docs.doc_id == F.col("_gone"), "left_anti")
+    """``docs`` without the documents that are near copies of one with a smaller doc_id, all columns kept.
+
+    Rows that share a doc_id go together; rows with a null doc_id, null or empty texts stay. An empty
+    table gives no rows.
+    """
+    return without(docs, near_duplicates(docs, words, percent).where("not kept"))

@@ -49,3 +49,16 @@ def test_passages_on_one_site(spark):
     out = line_dedup.remove_passages(spark.createDataFrame([(*r, 0, "") for r in rows], SCHEMA))
     want = {3: (f"a\n{long}\n{short}", 4, 1), 5: (f"b\n{short}", 3, 1), 7: (f"{long} x\n{long} x", 2, 0), 8: (None, 0, 0), None: (long, 1, 0)}
     assert {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in out.collect()} == want
+
+
+def test_clashing_names_and_long_texts(spark):
+    names = "doc_id long, text string, source string, n_lines string, n_removed string, _doc string, _gone string, salt int, h1 int"
+    pool = [f"this line stands on many sites {i}" for i in range(20_000)]
+    rows = [(i, "\n".join(pool if i < 3 else [*pool[:3], f"an own line {i}"]), f"s{i}", "a", "b", "c", "d", 1, 2) for i in range(4)]
+    docs = spark.createDataFrame(rows, names)
+    out = line_dedup.remove_boilerplate(docs)
+    assert out.columns == [*docs.columns, "_n_lines", "_n_removed"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert (got[0].text, got[0]._n_removed) == (rows[0][1], 0)
+    assert (got[1].text, got[1]._n_lines, got[1]._n_removed) == ("", 20_000, 20_000)
+    assert (got[3].text, got[3].n_lines, got[3]._gone) == ("an own line 3", "a", "d")

@@ -117,3 +117,12 @@ def test_short_texts_of_one_bucket_are_compared_on_full_sets(spark):
     links = minhash.compare_rest(shared, signed, texts, 2, 80, minhash.BANDS)
     got = {(min(r.u, r.v), max(r.u, r.v)) for r in links.collect()}
     assert got <= want and len(want - got) <= 1
+
+
+def test_keeps_one_of_each_beside_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, text, "a", "b"), (1, text, "a", "b"), (2, text + " more", "a", "b"), (2, "alone here", "a", "b"), (None, text, "a", "b"), (7, None, "a", "b"), (8, "", "a", "b"), (9, "other words", "a", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone string, component_id string")
+    kept = minhash.keep_one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "7", "8", "9", "None"]
+    assert minhash.keep_one_of_each(docs.limit(0)).collect() == []
