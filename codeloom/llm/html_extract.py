@@ -1,19 +1,24 @@
 """Main text of web pages by line-block distribution.
 
 A page's markup is cut away in one scan that leaves lines: the text of one block element each, with
-the number of its characters that are link text and a mark where an element is page furniture by
-its tag, role or class (menus, headers, footers, sidebars, adverts, forms, notices, comments). The
-lengths of ``WINDOW`` lines after one another are summed; furniture and link text weigh nothing.
-Where the sum surges the main text begins, where it falls to nothing it ends, and the lines between
-surge and dive are kept in page order; plain lines behind nothing but furniture go on with the run.
-Of a marked article every line that is no furniture is kept, links too. A class or id that only
-names the page's layout can enclose the article: an <article> or <main> opens again inside it.
+the number of its characters that are link text and what the tags around it say. The lengths of
+``WINDOW`` lines after one another are summed, less their link text. Where the sum surges the main
+text begins, where it falls to nothing it ends, and the lines between surge and dive are kept.
+
+Tags are weights of the lengths. Furniture by its element, role or hiding (menus, headers, footers,
+sidebars, forms) weighs nothing. A class or id that names furniture leaves ``SOFT`` of a line's
+length for each element that has one; so does standing outside the articles that a page marks,
+``OUTSIDE``. Such lines are summed among their like, and surge only at a share of the page's largest
+sum: a name alone doesn't hide the text that a page consists of. A line of a marked article weighs
+as much as a surge at least, links too. Short lines go on with a run as long as the box stays the
+same: the nearest element around them that lays out blocks.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +29,14 @@ WINDOW = 3
 #: A surge: so many characters in a window, or this share of the page's largest window if less.
 SURGE_CHARS, SURGE_SHARE = 86, 0.2
 
+#: What is left of a line's length in an element that a class or id names as furniture, and outside
+#: marked articles.
+SOFT, OUTSIDE = 0.02, 0.1
+#: Characters that a window must have, whatever the page's largest, in an element named as furniture.
+SOFT_CHARS = 200
+#: A line with more link text than this share is a link.
+LINK_SHARE = 0.6
+
 #: Elements of HTML by their part in a page.
 SILENT = frozenset("script style template noscript iframe object svg math canvas select textarea head audio video map".split())
 FURNITURE = frozenset("nav header footer aside form menu dialog button fieldset search".split())
@@ -45,6 +58,8 @@ NAMES = frozenset(
 )
 #: First words of a class or id that says what a page has or lacks, not what the element is.
 FLAGS = frozenset("no not has have with without hide".split())
+#: Elements that lay out blocks.
+BOXES = frozenset("div section article main body td center blockquote".split())
 #: Elements whose text is the article wherever they stand, unless furniture encloses them in it.
 ARTICLE = frozenset(("article", "main"))
 
@@ -89,37 +104,53 @@ def _furniture(tag: str, attributes: str) -> str:
     return "" if not words else "header" if words == {"header"} else "soft"
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
-    """Lines of a page in order: text, characters of link text, furniture, and the article they are in.
+class Line(NamedTuple):
+    """A block's text, and the number of its characters that are link text.
 
-    The last is 0 outside articles, else 1 and the number of elements around the article that are
-    furniture by class or id.
+    ``article`` is 0 outside articles, else 1 and the number of elements around the article that are
+    furniture by class or id. ``box`` numbers the element that lays the block out, 0 for the page.
     """
-    lines: list[tuple[str, int, bool, int]] = []
+
+    text: str
+    linked: int
+    furniture: bool
+    article: int
+    hard: bool
+    soft: int
+    box: int
+    heading: bool
+
+
+def lines_of(page: str) -> list[Line]:
+    """Lines of a page in order."""
+    lines: list[Line] = []
     parts: list[str] = []
-    linked = at = 0
-    # element, what makes it furniture, and around it: silent, furniture, article, hard, soft
-    stack: list[tuple[str, str, bool, bool, int, bool, int]] = []
+    linked = at = boxes = 0
+    # element, what makes it furniture, and around it: silent, furniture, article, hard, soft, box
+    stack: list[tuple[str, str, bool, bool, int, bool, int, int]] = []
     silent = furniture = hard = False
-    article = soft = 0  # soft: elements around that are furniture by class or id
+    article = soft = box = 0  # soft: elements around that are furniture by class or id
 
     def end_line() -> None:
         nonlocal linked
         if parts:
             text = _SPACES.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
-                lines.append((text, min(linked, len(text)), furniture, article))
+                lines.append(Line(text, min(linked, len(text)), furniture, article, hard, soft, box, any(x[0] in HEADINGS for x in stack[-2:])))
             parts.clear()
         linked = 0
 
     def close_to(n: int) -> None:
-        nonlocal silent, furniture, article, hard, soft
+        nonlocal silent, furniture, article, hard, soft, box
         while len(stack) > n:
-            _, _, silent, furniture, article, hard, soft = stack.pop()
+            _, _, silent, furniture, article, hard, soft, box = stack.pop()
 
     def open_(tag: str, why: str) -> None:
-        nonlocal furniture, hard, soft
-        stack.append((tag, why, silent, furniture, article, hard, soft))
+        nonlocal furniture, hard, soft, box, boxes
+        stack.append((tag, why, silent, furniture, article, hard, soft, box))
+        if tag in BOXES and tag != "body":
+            boxes += 1
+            box = boxes
         if why:
             furniture = True
             hard |= why == "hard"
@@ -191,50 +222,76 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
                 # the title in the article's own header belongs to it
                 cause, name = next((t, w) for t, w, _, before, *_ in reversed(stack[:-1]) if not before)
                 furniture = cause != "header" and name != "header"
+                hard = hard and furniture
     end_line()
     return lines
 
 
-def main_text(page: str | None) -> str:
-    """The article of a page: its lines joined by line feeds; empty for null, empty or bare pages."""
-    lines = lines_of(page) if page else []
-    level = min((a for _, _, f, a in lines if a and not f), default=0)
-    if level > 1:  # all articles are inside furniture by words: they are the text unless other text outweighs them
-        inside = sum(len(t) for t, _, f, a in lines if a == level and not f)
-        if inside < sum(len(t) - k for t, k, f, a in lines if not a and not f):
-            level = 0
-    if level:  # text outside a marked article isn't part of it, and all text in it is
-        return "\n".join(t for t, _, f, a in lines if a == level and not f)
-    lines = [(t, k, f or a > 1, a == 1) for t, k, f, a in lines]
-    weight = [0 if f or k > 0.6 * len(t) else len(t) - k for t, k, f, _ in lines]
-    n = len(lines)
-    window = [sum(weight[i : i + WINDOW]) for i in range(n)]
-    top = max(window, default=0)
-    if not top:
-        return ""
-    # beside a marked article without text of its own every line with text is a surge
-    surge = 1 if any(x[3] for x in lines) else min(SURGE_CHARS, SURGE_SHARE * top)
-    kept: list[str] = []
-    i = 0
+def _runs(lines: list[Line], weight: list[float], own: list[float], window: list[float], surge: float) -> list[int]:
+    """Places of the lines between surge and dive: a run begins by the sums within a box, ``own``."""
+    kept: list[int] = []
+    n, i = len(lines), 0
     while i < n:
-        if window[i] < surge or not weight[i]:
+        if own[i] < surge or not weight[i]:
             i += 1
             continue
-        end = i
-        while end < n and window[end] > 0:
-            end += 1
-            if end < n and not window[end]:  # plain text behind nothing but furniture goes on with the run
-                beyond = next((j for j in range(end, n) if not lines[j][2]), n)
-                if beyond < n and weight[beyond]:
-                    end = beyond
         begin = i
-        while begin and weight[begin - 1]:  # a heading or a short first line before the surge
+        while begin and weight[begin - 1] and (lines[begin - 1].box == lines[begin].box or lines[begin - 1].heading):  # a heading or a short first line
             begin -= 1
-        run = range(begin, end)
-        # a run of short lines beside a long text, like a list of notes, is no main text
-        kept += [lines[j][0] for j in run if weight[j]]
+        end = i + 1
+        while end < n and window[end] > 0 and (window[end] >= surge or lines[end].box == lines[end - 1].box or lines[end].heading):
+            end += 1
+        kept += [j for j in range(begin, end) if weight[j]]
         i = end
-    return "\n".join(kept)
+    return kept
+
+
+def _whole_boxes(lines: list[Line], weight: list[float], kept: list[int]) -> set[int]:
+    """``kept``, and of each box that holds some of it all lines up to its last one that is no link."""
+    first: dict[int, int] = {}
+    for i in kept:
+        first.setdefault(lines[i].box, i)
+    last = {line.box: i for i, line in enumerate(lines) if weight[i]}
+    return {*kept, *(i for i, line in enumerate(lines) if line.box and first.get(line.box, len(lines)) <= i <= last.get(line.box, -1))}
+
+
+def main_text(page: str | None) -> str:
+    """The article of a page: its lines joined by line feeds; empty for null, empty or bare pages."""
+    lines = lines_of(page) if page else []
+    level = min((x.article for x in lines if x.article and not x.furniture), default=0)
+    if level > 1:  # all articles are inside furniture by words: they are the text unless other text outweighs them
+        inside = sum(len(x.text) for x in lines if x.article == level and not x.furniture)
+        if inside < sum(len(x.text) - x.linked for x in lines if not x.article and not x.furniture):
+            level = 0
+    # lines that tags speak of alike are summed among themselves
+    kinds: dict[tuple[bool, int], list[int]] = {}
+    for i, x in enumerate(lines):
+        if not x.hard:
+            inside = bool(level) and x.article == level and not x.furniture
+            depth = 0 if inside else max(x.soft, int(x.furniture)) + max(0, x.article - 1 if not level else 0)
+            kinds.setdefault((bool(level) and not inside, depth), []).append(i)
+    summed = {}
+    for (outside, depth), places in kinds.items():
+        some, factor = [lines[i] for i in places], (OUTSIDE if outside else 1) * SOFT**depth
+        if level and not outside:
+            weight = [float(max(len(x.text), SURGE_CHARS)) for x in some]
+        else:
+            weight = [0.0 if x.linked > LINK_SHARE * len(x.text) else factor * (len(x.text) - x.linked) for x in some]
+        own = [sum(w for x, w in zip(some[i : i + WINDOW], weight[i : i + WINDOW]) if x.box == some[i].box) for i in range(len(some))]
+        # what names itself furniture stands for itself: no window reaches out of its box
+        window = own if depth else [sum(weight[i : i + WINDOW]) for i in range(len(some))]
+        summed[outside, depth] = some, weight, own, window
+    top = max((w for *_, window in summed.values() for w in window), default=0)
+    kept: list[int] = []
+    for (outside, depth), (some, weight, own, window) in summed.items():
+        surge = SURGE_SHARE * top
+        if not outside and not depth:
+            surge = min(SURGE_CHARS, surge)
+        elif depth:
+            surge = max(surge, SOFT_CHARS * (OUTSIDE if outside else 1) * SOFT**depth)
+        if top:
+            kept += [kinds[outside, depth][i] for i in _whole_boxes(some, weight, _runs(some, weight, own, window, surge))]
+    return "\n".join(lines[i].text for i in sorted(kept))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -75,3 +75,41 @@ def test_short_end_of_a_text_after_furniture():
     advert = "<div class='ad'><p>Buy</p><p>this</p><p>now</p><p>please</p></div>"
     for tail in (advert, "", "<ul>" + "<li><a href='/'>More links of the site</a></li>" * 4 + "</ul><p>Imprint</p>"):
         assert main_text(f"<div><p>{LONG * 9}</p>{advert}<p>{end}</p></div>{tail}") == f"{LONG * 9}\n{end}"
+
+
+def page_texts():
+    """Pages of the test table, and the text between their <article> tags."""
+    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist():
+        inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+        lines = (" ".join(unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.sub(r"</?(?:p|h\d|br)\b[^>]*>", "\n", inner).split("\n"))
+        yield page, "\n".join(x for x in lines if x)
+
+
+@pytest.mark.parametrize("mark", ["", "<div>", "<div class='post'>", "<section class='social-history'>", "<div class='related-work'>", "<main>"])
+def test_pages_without_an_article_mark(mark):
+    end = mark.split(" ")[0].rstrip(">").replace("<", "</") + ">" if mark else ""
+    for page, want in page_texts():
+        assert len(want) < 600 or main_text(page.replace("<article>", mark).replace("</article>", end)) == want
+
+
+def test_windows_decide(monkeypatch):
+    """Long text beside a marked article of teasers, and short text outside one, are told apart by their sums."""
+    teasers = "".join(f"<article><p>Teaser {i}</p></article>" for i in range(4))
+    long_page = f"<div>{''.join(f'<p>{LONG * 9} {i}</p>' for i in range(6))}</div>{teasers}"
+    short_page = f"<div><p>Outside.</p></div><article><p>{LONG}</p></article>"
+    unmarked = f"<div><p>Short one.</p></div><div><a href='/'>Link</a></div><div>{''.join(f'<p>{LONG} {i}</p>' for i in range(6))}</div>"
+    assert LONG * 9 in main_text(long_page) and main_text(short_page) == LONG
+    assert main_text(unmarked).startswith(f"{LONG} 0")
+    monkeypatch.setattr(html_extract, "SURGE_SHARE", 0.0)
+    assert "Outside." in main_text(short_page)
+    assert main_text(unmarked).startswith("Short one.")
+
+
+def test_link_lists_inside_a_text_without_a_mark():
+    links = "".join(f"<li><a href='/{i}'>Reference {i}</a></li>" for i in range(6))
+    page = f"<ul>{links}</ul><div><h1>Title</h1><p>{LONG}</p><ul>{links}</ul><p>Tail.</p></div><ul>{links}</ul>"
+    assert main_text(page) == "\n".join(["Title", LONG, *(f"Reference {i}" for i in range(6)), "Tail."])
+
+
+def test_title_in_the_header_of_an_article():
+    assert main_text(f"<article><header><h1>Title</h1><p>By line</p></header><p>{LONG}</p></article>") == f"Title\n{LONG}"
