@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +55,35 @@ def doc_stats(index: DataFrame) -> DataFrame:
     return index.groupBy("node_id").agg(F.sum("tf").cast("long").alias("n_tokens"))
 
 
+def doc_lengths(documents: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """``doc_stats`` of the plain ``fields`` straight from the documents: no posting is made, nothing shuffled."""
+    sizes = [F.size(fts_tokens(F.col(f"f_{f}"))) for f in fields]
+    return documents.select("node_id", reduce(Column.__add__, sizes).cast("long").alias("n_tokens")).where("n_tokens > 0")
+
+
+#: Folders that stored postings are spread over by their term.
+BUCKETS = 64
+
+
+def bucket_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def bucketed(index: DataFrame) -> DataFrame:
+    """``index`` with the folder (bucket) of each posting, one file or few per folder."""
+    return index.withColumn("bucket", bucket_of(F.col("term"))).repartition(F.col("bucket"), F.pmod(F.xxhash64("node_id"), F.lit(4)))
+
+
+def of_terms(index: DataFrame, terms: list[str]) -> DataFrame:
+    """Postings of ``terms``; of an index stored by bucket only their folders are read."""
+    hits = index.where(F.col("term").isin(terms))
+    if "bucket" not in index.columns:
+        return hits
+    spark = index.sparkSession
+    folders = sorted({r.b for r in spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in terms])).alias("t")).select(bucket_of(F.col("t")).alias("b")).collect()}) if terms else []
+    return hits.where(F.col("bucket").isin(folders))
+
+
 def bm25(index: DataFrame, stats: DataFrame, terms: list[str], weights: dict[str, float] | None = None, kinds: str | None = None, n_docs: int | None = None) -> DataFrame:
     """(node_id, bm25) of documents with any of ``terms``: only the terms' postings are read.
 
@@ -60,7 +91,7 @@ def bm25(index: DataFrame, stats: DataFrame, terms: list[str], weights: dict[str
     """
     weights = weights or WEIGHTS
     weight = F.coalesce(*[F.when(F.col("field") == f, float(w)) for f, w in weights.items()], F.lit(1.0))
-    hits = index.where(F.col("term").isin(terms)).groupBy("node_id", "kind", "term").agg(F.sum(weight * F.col("tf")).alias("tf"))
+    hits = of_terms(index, terms).groupBy("node_id", "kind", "term").agg(F.sum(weight * F.col("tf")).alias("tf"))
     total = F.lit(float(n_docs)) if n_docs is not None else stats.agg(F.count("*").cast("double")).scalar()
     average = stats.agg(F.sum("n_tokens").cast("double")).scalar() / total
     found = hits.groupBy("term").agg(F.count("*").alias("df"))  # a query's few terms
@@ -101,7 +132,7 @@ def name_hits(nodes: DataFrame, query: str) -> DataFrame:
 def reference_hits(index: DataFrame, query: str) -> DataFrame:
     """node_id of documents in which all the query's words occur, in any field."""
     terms = reference_terms(query)
-    found = index.where(F.col("term").isin(terms)).groupBy("node_id").agg(F.count_distinct("term").alias("n"))
+    found = of_terms(index, terms).groupBy("node_id").agg(F.count_distinct("term").alias("n"))
     return found.where(F.col("n") == len(set(terms))).where(F.lit(bool(terms))).select("node_id")
 
 
@@ -129,3 +160,11 @@ def window_snippet(text: Column, terms: list[str], width: int = 18) -> Column:
     begin = F.greatest(F.lit(1), F.least(first.cast("int"), F.size(tokens) - width + 1))
     cut = F.array_join(F.slice(tokens, begin, width), " ")
     return F.concat(F.when(begin > 1, "... ").otherwise(""), cut, F.when(begin + width <= F.size(tokens), " ...").otherwise(""))
+
+
+def hit_snippet(terms: list[str], meta: str = "meta") -> Column:
+    """The window of the body, else the docstring, else the signature that begins at a hit; without one, ``snippet``."""
+    m = F.col(meta)
+    asked = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
+    windows = [F.when(F.arrays_overlap(fts_tokens(x), asked), window_snippet(x, terms)) for x in (m.body_preview, m.docstring, m.signature)]
+    return F.coalesce(*windows, snippet(meta))

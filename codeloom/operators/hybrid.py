@@ -41,19 +41,15 @@ def group_by_file(results: DataFrame, limit: int, shown: int = 5, collapse_all:
     """
     is_symbol = (F.col("kind") == "symbol") & (F.coalesce("path", F.lit("")) != "")
     key = F.when(is_symbol, F.concat(F.lit("p:"), "path")).otherwise(F.concat(F.lit("i:"), "id"))
-    by_path = Window.partitionBy("key").orderBy("place")
-    everything = by_path.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    item = F.struct("name", "line", "id", "score")
-    rows = (
-        results.withColumn("key", key)
-        .withColumn("nth", F.row_number().over(by_path))
-        .withColumn("siblings", F.count("*").over(Window.partitionBy("key")))
-        .withColumn("first", F.slice(F.collect_list(item).over(everything), 1, shown))
-    )
+    numbered = results.withColumn("key", key).withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("place")))
+    # of a path's symbols only the first ones are gathered
+    item = F.when(F.col("nth") <= shown, F.struct("nth", F.struct("name", "line", "id", "score").alias("item")))
+    paths = numbered.groupBy("key").agg(F.count("*").alias("siblings"), F.transform(F.sort_array(F.collect_list(item)), lambda x: x.item).alias("first"))
     leads = (F.col("nth") == 1) | (F.col("nth") > shown) & F.lit(not collapse_all)
     many = F.col("siblings") > 1
     return (
-        rows.where(leads)
+        numbered.where(leads)
+        .join(paths, "key")
         .withColumn("co_located_symbols", F.when(many, F.filter("first", lambda x: x.id != F.col("id"))))
         .withColumn("co_located_total", F.when(many, F.col("siblings") - 1))
         .withColumn("co_located_truncated", F.when(many & (F.col("siblings") > shown), F.lit(True)))

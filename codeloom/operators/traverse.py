@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.operators.fts import contains
 from codeloom.schema import kind_order, kind_rank
+from codeloom.sources.staging import stage
 
 MAX_HOPS = 10
 PREFIXES = ("symbol:", "file:", "route:")
@@ -88,7 +91,7 @@ def dependencies(nodes: DataFrame, edges: DataFrame, ids: DataFrame, limit: int
 
 def impact(nodes: DataFrame, edges: DataFrame, value: str, limit: int = 50, vendor: bool = False) -> DataFrame:
     """Dependents and dependencies of a target, told apart by ``direction``."""
-    ids = impact_ids(resolve_targets(nodes, value))
+    ids = stage(impact_ids(resolve_targets(nodes, value)), "impact")
     columns = ["direction", "id", "kind", "name", "path", "line", "meta", "edge_kind"]
     up = dependents(nodes, edges, ids, limit, vendor).withColumn("direction", F.lit("dependent")).select(columns)
     return up.unionByName(dependencies(nodes, edges, ids, limit, vendor).withColumn("direction", F.lit("dependency")).select(columns))
@@ -119,28 +122,28 @@ def ordered_calls(nodes: DataFrame, edges: DataFrame, vendor: bool = False) -> D
     return rows.select("src", "dst", F.row_number().over(order).alias("r"), "call_line", F.col("p").alias("dst_path"))
 
 
-def trace_paths(calls: DataFrame, start: DataFrame, max_hops: int = 3) -> DataFrame:
-    """All simple call paths from ``start`` (id, place) of up to ``max_hops`` edges: hops, path, call_lines,
-    ord, dst_path. Sorted by (hops, ord) they come in breadth-first order.
+def trace_hops(nodes: DataFrame, edges: DataFrame, start: DataFrame, max_hops: int = 3, vendor: bool = False) -> list[DataFrame]:
+    """All simple call paths from ``start`` (id, place), a staged table for each number of hops up to ``max_hops``:
+    path, call_lines, ord, last, dst_path. Sorted by ord a table's paths come in breadth-first order.
 
-    Ten joins at most, each by the last node; a hot node is split by the adaptive planner. Every hop reads the
-    last one's rows only, from the shuffle files of that join.
+    A hop reads the last one's table and puts in order only the calls of the nodes that its paths end in; a hot
+    node is split by the adaptive planner.
     """
-    max_hops = max(1, min(int(max_hops), MAX_HOPS))
-    frontier = start.select(
-        F.lit(0).alias("hops"), F.array("id").alias("path"), F.array().cast("array<int>").alias("call_lines"), F.array("place").alias("ord"), F.col("id").alias("last"), F.lit(None).cast("string").alias("dst_path")
-    )
-    out = None
-    for hop in range(1, max_hops + 1):
-        frontier = (
-            frontier.drop("dst_path").join(calls, F.col("last") == F.col("src"))
+    frontier = start.select(F.array("id").alias("path"), F.array().cast("array<int>").alias("call_lines"), F.array("place").alias("ord"), F.col("id").alias("last"))
+    out: list[DataFrame] = []
+    for _ in range(max(1, min(int(max_hops), MAX_HOPS))):
+        ends = frontier.select(F.col("last").alias("src")).distinct()
+        calls = ordered_calls(nodes, edges.join(ends, "src", "left_semi"), vendor)
+        step = (
+            frontier.join(calls, F.col("last") == F.col("src"))
             .where(~F.array_contains("path", F.col("dst")))
             .select(
-                F.lit(hop).alias("hops"), F.concat("path", F.array("dst")).alias("path"), F.concat("call_lines", F.array("call_line")).alias("call_lines"),
+                F.concat("path", F.array("dst")).alias("path"), F.concat("call_lines", F.array("call_line")).alias("call_lines"),
                 F.concat("ord", F.array("r")).alias("ord"), F.col("dst").alias("last"), "dst_path",
             )
         )
-        out = frontier if out is None else out.unionByName(frontier)
+        out.append(stage(step, "trace"))
+        frontier = out[-1].drop("dst_path")
     return out
 
 
@@ -153,21 +156,18 @@ def trace(nodes: DataFrame, edges: DataFrame, source: str, target: str | None =
     """
     max_hops = max(1, min(int(max_hops), MAX_HOPS))
     limit = default_trace_limit(max_hops) if limit is None else max(1, int(limit))
-    targets = resolve_targets(nodes, source)
-    starts = symbol_ids(targets).join(nodes.select("id", "kind", "path", "name"), "id")
+    starts = symbol_ids(stage(resolve_targets(nodes, source), "trace-source")).join(nodes.select("id", "kind", "path", "name"), "id")
     start = starts.withColumn("place", F.row_number().over(Window.partitionBy().orderBy(kind_rank(), F.coalesce("path", F.lit("")), "name", "id")))
-    explored = trace_paths(ordered_calls(nodes, edges, vendor), start.select("id", "place"), max_hops)
-    hit = explored
+    explored = hits = trace_hops(nodes, edges, stage(start.select("id", "place"), "trace-start"), max_hops, vendor)
     if target:
-        goals = resolve_targets(nodes, target)
-        any_goal = goals.agg(F.count("*")).scalar()
-        goal = explored.join(goals.select(F.col("id").alias("last")), "last", "left_semi").unionByName(
-            explored.join(goals.where("kind = 'file'").select(F.col("path").alias("dst_path")).distinct(), "dst_path", "left_semi").select(explored.columns)
-        )
-        hit = goal.dropDuplicates(["hops", "ord"]).unionByName(explored.where(any_goal == 0))
-    ranked = hit.withColumn("nth", F.row_number().over(Window.partitionBy("hops").orderBy("ord")))
-    paths = ranked.where(F.col("nth") <= limit).select("hops", "path", "call_lines", "ord").orderBy("hops", "ord")
-    total = explored.agg(F.count("*").alias("paths_explored"))
-    rest = ranked.agg(F.count(F.when(F.col("nth") > limit, 1)).alias("paths_remaining"))
+        goals = stage(resolve_targets(nodes, target).select("id", "kind", "path"), "trace-target")
+        if not goals.isEmpty():
+            ids = goals.select(F.col("id").alias("last"))
+            files = goals.where("kind = 'file'").select(F.col("path").alias("dst_path")).distinct()
+            hits = [x.join(ids, "last", "left_semi").unionByName(x.join(files, "dst_path", "left_semi").select("last", *[c for c in x.columns if c != "last"])).dropDuplicates(["ord"]) for x in explored]
+    first = [x.orderBy("ord").limit(limit).select(F.lit(hop).alias("hops"), "path", "call_lines", "ord") for hop, x in enumerate(hits, 1)]
+    paths = reduce(DataFrame.unionByName, first).orderBy("hops", "ord")
+    total = reduce(DataFrame.unionByName, [x.agg(F.count("*").alias("n")) for x in explored]).agg(F.sum("n").alias("paths_explored"))
+    rest = reduce(DataFrame.unionByName, [x.agg(F.greatest(F.count("*") - limit, F.lit(0)).alias("n")) for x in hits]).agg(F.sum("n").alias("paths_remaining"))
     counts = total.select("paths_explored", rest.select("paths_remaining").scalar().alias("paths_remaining")).withColumn("truncated", F.col("paths_remaining") > 0)
     return paths, counts

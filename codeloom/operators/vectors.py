@@ -6,7 +6,10 @@ import hashlib
 import os
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,49 +32,85 @@ def semantic_text(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.col("id").alias("node_id"), F.array_join(parts, " ").alias("text")).withColumn("content_sha1", F.sha1(F.encode("text", "UTF-8")))
 
 
-def features(token: Column) -> Column:
-    """A token's features: itself, and the three- and four-letter pieces of it between ``^`` and ``$``."""
-    padded = F.concat(F.lit("^"), token, F.lit("$"))
-    n = F.length(padded)
+class HashedWords:
+    """A worker's memory of words: the buckets and signs of their features, in one array each."""
+
+    REMEMBERED = 200_000
+
+    def __init__(self, model: str, dimensions: int):
+        self.key, self.dimensions = model.encode()[:16] or b"codeloom", dimensions
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.starts, self.bucket, self.sign = [0], [], []
+
+    def features(self, word: str) -> list[str]:
+        """The word itself, and the three- and four-letter pieces of it between ``^`` and ``$``."""
+        padded = f"^{word}$"
+        return [f"t:{word}", *(f"{n}:{padded[i : i + n]}" for n in (3, 4) for i in range(len(padded) - n + 1))]
+
+    def places(self, words: list[str]) -> np.ndarray:
+        if len(self.place) + len(words) > self.REMEMBERED:
+            self.forget()
+        for w in words:
+            if w not in self.place:
+                for f in self.features(w):
+                    digest = hashlib.blake2b(f.encode(), digest_size=8, key=self.key).digest()
+                    self.bucket.append(int.from_bytes(digest[:4], "little") % self.dimensions)
+                    self.sign.append(1.0 if digest[4] & 1 else -1.0)
+                self.place[w] = len(self.starts) - 1
+                self.starts.append(len(self.bucket))
+        return np.array([self.place[w] for w in words], np.int64)
+
+    def vectors(self, words: pa.ListArray) -> np.ndarray:
+        """A unit vector of each list of words: signed counts of hashed features; zeros for an empty list."""
+        n, sizes = len(words), np.diff(words.offsets.to_numpy())
+        coded = words.flatten().dictionary_encode()
+        places = self.places(coded.dictionary.to_pylist())
+        document = np.repeat(np.arange(n), sizes)
+        pair, count = np.unique(document * max(1, len(places)) + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        document, word = np.divmod(pair, max(1, len(places)))
+        starts = np.array(self.starts)
+        begin, size = starts[places[word]], starts[places[word] + 1] - starts[places[word]]
+        at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        cell = np.repeat(document, size) * self.dimensions + np.array(self.bucket, np.int64)[at]
+        sums = np.bincount(cell, np.repeat(count, size) * np.array(self.sign, float)[at], n * self.dimensions).astype(float).reshape(n, self.dimensions)
+        norm = np.sqrt((sums * sums).sum(1, keepdims=True))
+        return np.divide(sums, norm, out=np.zeros_like(sums), where=norm > 0)
+
+
+#: Words of documents whose features are spread out at a time.
+PORTION = 100_000
 
-    def pieces(size: int) -> Column:
-        at = F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.concat(F.lit(f"{size}:"), F.substring(padded, i, F.lit(size))))
-
-    return F.concat(F.array(F.concat(F.lit("t:"), token)), pieces(3), pieces(4))
 
+def embed(documents: DataFrame, model: str = MODEL, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(node_id, vector): signed counts of hashed features, of unit length; zeros for a text without tokens.
 
-def hash_features(vocabulary: DataFrame, model: str = MODEL, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(feature, bucket, sign) of distinct features. The keyed hash is no built-in function, so Python runs
-    over the vocabulary, not over the corpus."""
-    key = model.encode()[:16] or b"codeloom"
+    The keyed hash is no built-in function. Words are split in the JVM and go through Python in Arrow
+    batches, once, without a shuffle; each worker hashes a word once.
+    """
+    dimensions = dimensions if dimensions > 0 else DIMENSIONS
 
     def run(batches):
-        for pdf in batches:
-            digests = [hashlib.blake2b(f.encode(), digest_size=8, key=key).digest() for f in pdf.feature]
-            yield pd.DataFrame(
-                {"feature": pdf.feature, "bucket": [int.from_bytes(d[:4], "little") % dimensions for d in digests], "sign": [1.0 if d[4] & 1 else -1.0 for d in digests]}
-            )
-
-    return vocabulary.select("feature").distinct().mapInPandas(run, "feature string, bucket int, sign double")
-
-
-def embed(documents: DataFrame, model: str = MODEL, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(node_id, vector): signed counts of hashed features, of unit length; zeros for a text without tokens."""
-    dimensions = dimensions if dimensions > 0 else DIMENSIONS
-    tokens = documents.select("node_id", F.explode(vector_tokens(F.col("text"))).alias("token")).groupBy("node_id", "token").agg(F.count("*").alias("n"))
-    vocabulary = tokens.select("token").distinct().select("token", F.explode(features(F.col("token"))).alias("feature"))
-    hashed = vocabulary.join(hash_features(vocabulary, model, dimensions), "feature").groupBy("token", "bucket").agg(F.sum("sign").alias("sign"))
-    sums = tokens.join(hashed, "token").groupBy("node_id", "bucket").agg(F.sum(F.col("n") * F.col("sign")).alias("v"))
-    packed = sums.groupBy("node_id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    cells = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    unit = F.when(F.col("norm") > 0, F.transform(cells, lambda x: x / F.col("norm"))).otherwise(F.array_repeat(F.lit(0.0), dimensions))
-    return documents.select("node_id").join(packed, "node_id", "left").select("node_id", F.coalesce(unit, F.array_repeat(F.lit(0.0), dimensions)).cast("array<float>").alias("vector"))
+        words = HashedWords(model, dimensions)
+        for batch in batches:
+            ids, lists = batch.column(0), batch.column(1)
+            ends = np.searchsorted(np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)), np.arange(PORTION, len(lists.flatten()) + PORTION, PORTION))
+            edges = np.unique([0, *np.minimum(ends + 1, len(lists)), len(lists)]).tolist()
+            for a, b in zip(edges, edges[1:]):
+                flat = words.vectors(pa.concat_arrays([lists.slice(a, b - a)])).astype(np.float32).ravel()
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, dimensions), pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), vectors], names=["node_id", "vector"])
+
+    return documents.select("node_id", F.coalesce(vector_tokens(F.col("text")), F.array().cast("array<string>")).alias("words")).mapInArrow(
+        run, f"node_id {documents.schema['node_id'].dataType.simpleString()}, vector array<float>"
+    )
 
 
 def embed_query(spark: SparkSession, text: str, model: str = MODEL, dimensions: int = DIMENSIONS) -> list[float]:
-    one = spark.createDataFrame([("query", text)], "node_id string, text string")
-    return list(embed(one, model, dimensions).first().vector)
+    words = spark.range(1).select(vector_tokens(F.lit(text)).alias("words")).first().words
+    return HashedWords(model, dimensions).vectors(pa.array([words], pa.list_(pa.string())))[0].astype(np.float32).tolist()
 
 
 def _dot(a: Column, b: Column) -> Column:

@@ -7,8 +7,9 @@ import json
 import sys
 import time
 
+from codeloom.operators import providers, vectors
 from codeloom.plans import server
-from codeloom.plans.engine import Engine
+from codeloom.plans.engine import SHORT, Engine, brief
 from codeloom.schema import NODE_KINDS
 from codeloom.sources import catalog
 
@@ -47,7 +48,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--path-glob")
     p.add_argument("--no-group", action="store_true")
     p.add_argument("--term-only", action="store_true", help="the local ranker, whatever vectors there are")
+    p.add_argument("--provider", choices=sorted(vectors.MODELS))
+    p.add_argument("--model")
     p = add("embed", "make vectors")
+    p.add_argument("--provider", choices=sorted(vectors.MODELS))
     p.add_argument("--model")
     p.add_argument("--dimensions", type=int)
     p.add_argument("--force", action="store_true")
@@ -99,6 +103,13 @@ def text_of(payload) -> str:
     return "\n".join(out)
 
 
+def _embed(engine: Engine, args: argparse.Namespace) -> dict:
+    name, model, size = vectors.provider_choice(args.provider, args.model, args.dimensions)
+    if name == "local":
+        return engine.embed(model, size, args.force)
+    return engine.embed(force=args.force, dimensions=size or 0, provider=providers.connect(name, model, size))
+
+
 def run(args: argparse.Namespace, spark=None):
     """The command's result; a string for one that fails."""
     repo = args.repo or catalog.find_root(".")
@@ -143,15 +154,15 @@ def run(args: argparse.Namespace, spark=None):
     return {
         "status": lambda: engine.status(),
         "search": lambda: engine.search(args.term, args.limit),
-        "semantic": lambda: engine.semantic(args.query, args.limit, args.kind, args.path_glob, not args.no_group),
-        "embed": lambda: engine.embed(**{k: v for k, v in (("model", args.model), ("dimensions", args.dimensions)) if v}, force=args.force),
+        "semantic": lambda: engine.ask(args.query, args.limit, args.kind, args.path_glob, not args.no_group, args.provider, args.model, args.term_only),
+        "embed": lambda: _embed(engine, args),
         "symbol": lambda: engine.symbols(args.name, args.limit),
         "impact": lambda: engine.impact(args.target, args.limit, vendor),
         "callers": lambda: engine.callers(args.target, args.limit, vendor),
         "callees": lambda: engine.callees(args.target, args.limit, vendor),
         "trace": lambda: engine.trace(args.source, args.to, args.max_hops, args.limit, vendor),
         "tests": lambda: engine.tests(args.path, args.limit),
-        "explain": lambda: engine.explain(args.topic, args.limit, args.depth),
+        "explain": lambda: brief(engine.explain(args.topic, args.limit, args.depth), SHORT),
     }[args.command]()
 
 

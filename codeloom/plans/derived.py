@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.schema import edge_meta, node_meta
+from codeloom.sources.staging import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,15 @@ CUSTOMER, SUPPLIER = ("=file:customer/", "c_mktsegment", "=/", "c_custkey"), ("=
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph's nodes, written once in an application as an index run would."""
+    return stored(spark, f"nodes of {sf_dir}", lambda: _nodes(spark, sf_dir))
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, f"edges of {sf_dir}", lambda: _edges(spark, sf_dir))
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
     host = F.regexp_extract("url", HOST, 1)
     out = [
@@ -54,7 +64,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
     orders, customer, part, supplier, nation, region = (t(n) for n in ("orders", "customer", "part", "supplier", "nation", "region"))
     lines = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")

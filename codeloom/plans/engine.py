@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import expand_query
-from codeloom.operators import extract, fts, graph, hybrid, traverse, vectors
+from codeloom.operators import extract, fts, graph, hybrid, providers, traverse, vectors
 from codeloom.schema import EDGES, EMBEDDINGS, NODES, compact_meta
 from codeloom.sources import catalog, files
 
@@ -19,6 +19,21 @@ def _checked(limit: int) -> int:
     return limit
 
 
+#: What is left of a node in a short list: on the command line, and in a tool's answer.
+SHORT = ("kind", "name", "path", "line", "edge")
+LONG = ("kind", "name", "path", "line", "id", "edge", "call_line", "call_name", "call_qualifier", "score")
+
+
+def brief(payload: dict, keys: tuple[str, ...]) -> dict:
+    """``payload`` with its lists of nodes reduced to ``keys``; keys that a node lacks are null."""
+    names = {"edge": "edge_kind"}
+
+    def short(x):
+        return {k: x.get(names.get(k, k)) for k in keys} if isinstance(x, dict) and "id" in x else x
+
+    return {k: [short(x) for x in v] if isinstance(v, list) else v for k, v in payload.items()}
+
+
 class Engine:
     def __init__(self, spark: SparkSession, config: catalog.Config):
         self.spark, self.config = spark, config
@@ -146,9 +161,27 @@ class Engine:
         if self.tables.get("embedded_snapshot") != self.tables.state()["snapshots"].get("nodes"):
             self.embed()
         near = vectors.search(self.nodes, self.embeddings.where(local), vectors.embed_query(self.spark, query), max(candidates * 8, 100), kind=kind, glob=glob).where(F.col("rank") <= candidates)
-        fused = hybrid.fuse(self.nodes, lexical, near, limit * 3).withColumn("snippet", fts.snippet())
+        fused = hybrid.fuse(self.nodes, lexical, near, limit * 3).withColumn("snippet", fts.hit_snippet(expand_query(query)))
         return self._rows(self._shape(fused, limit, group))
 
+    def ask(self, query: str, limit: int = 8, kind: str | None = None, glob: str | None = None, group: bool = True, provider: str | None = None, model: str | None = None, term_only: bool = False) -> list[dict]:
+        """``semantic`` as a user asks it: by the vectors of the provider that embedded the nodes last (or of the
+        one that is named), else by the local ranker, which ``term_only`` asks for. If the provider fails, the
+        local ranker's results say so."""
+        last = self.tables.get("last_embed", {}) or {}
+        named = (provider, model) if provider or model else (last.get("provider"), last.get("model"))
+        failure = None
+        if not term_only:
+            name, chosen, size = vectors.provider_choice(*named)
+            if name != "local" and not self.embeddings.where((F.col("provider") == name) & (F.col("model") == chosen)).isEmpty():
+                try:
+                    vector = providers.connect(name, chosen, size).embed([query])[0]
+                    return self.semantic(query, limit, kind, glob, group, vector)
+                except Exception as e:  # noqa: BLE001  any failure of a remote service is a reason to go on locally
+                    failure = str(e)
+        found = self.semantic(query, limit, kind, glob, group)
+        return [x | {"score_source": "bm25_fallback", "embedding_error": failure} for x in found] if failure else [{"score_source": "bm25"} | x for x in found]
+
     def _shape(self, found: DataFrame, limit: int, group: bool) -> DataFrame:
         return (hybrid.group_by_file(found, limit) if group else found.orderBy("place").limit(limit)).drop("place")
 

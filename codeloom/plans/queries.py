@@ -13,6 +13,7 @@ from codeloom.plans import derived
 from codeloom.plans.derived import SQL as G
 from codeloom.plans.derived import table
 from codeloom.schema import kind_order, node_meta
+from codeloom.sources.staging import new_path, stored
 from codeloom.sources.files import has_extension, is_test_path, matches_glob, not_ignored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -268,10 +269,18 @@ def fts_text_split(spark, sf_dir):
     return c.select("c_custkey", text.fts_text(F.concat_ws("/", "c_name", F.concat("c_mktsegment", F.lit("_camelCase")))).alias("indexed"))
 
 
+def _doc_fields(spark, sf_dir) -> DataFrame:
+    """Documents with two fields: the source as name, the text as body."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("node_id"), F.lit("file").alias("kind"), F.coalesce("source", F.lit("")).alias("f_name"), F.coalesce("text", F.lit("")).alias("f_body"))
+
+
 def _doc_index(spark, sf_dir) -> DataFrame:
-    """Postings of documents with two fields: the source as name, the text as body."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("node_id"), F.lit("file").alias("kind"), F.coalesce("source", F.lit("")).alias("f_name"), F.coalesce("text", F.lit("")).alias("f_body"))
-    return fts.postings(docs, ("name", "body"))
+    """Their postings, indexed once in an application and stored by term."""
+    return stored(spark, f"postings of {sf_dir}", lambda: fts.bucketed(fts.postings(_doc_fields(spark, sf_dir), ("name", "body"))), "bucket")
+
+
+def _doc_stats(spark, sf_dir) -> DataFrame:
+    return stored(spark, f"lengths of {sf_dir}", lambda: fts.doc_lengths(_doc_fields(spark, sf_dir), ("name", "body")))
 
 
 FOLD = f"translate(lower({{c}}), '{text.ACCENTED}', '{text.PLAIN}')"
@@ -291,16 +300,16 @@ IN_TERMS = ", ".join(f"'{t}'" for t in TERMS)
 
 @query("fts_docs_stats", f"WITH {INDEX} SELECT (SELECT n FROM tot) AS n_docs, round((SELECT avgdl FROM tot), 6) AS avgdl, (SELECT count(DISTINCT term) FROM post) AS n_terms, CAST((SELECT sum(tf) FROM post) AS BIGINT) AS n_tokens")
 def fts_docs_stats(spark, sf_dir):
-    index = _doc_index(spark, sf_dir)
-    stats = fts.doc_stats(index)
+    index = fts.postings(_doc_fields(spark, sf_dir), ("name", "body"))
+    stats = fts.doc_lengths(_doc_fields(spark, sf_dir), ("name", "body"))
     one = stats.agg(F.count("*").alias("n_docs"), F.round(F.sum("n_tokens") / F.count("*"), 6).alias("avgdl"))
-    return one.select("n_docs", "avgdl", index.agg(F.count_distinct("term")).scalar().alias("n_terms"), index.agg(F.sum("tf")).scalar().alias("n_tokens"))
+    terms = index.groupBy("term").agg(F.sum("tf").alias("tf")).agg(F.count("*").alias("n_terms"), F.sum("tf").alias("n_tokens"))
+    return terms.select(one.select("n_docs").scalar().alias("n_docs"), one.select("avgdl").scalar().alias("avgdl"), "n_terms", "n_tokens")
 
 
 def _bm25(name: str, weights: dict[str, float], weight_sql: str):
     def run(spark, sf_dir):
-        index = _doc_index(spark, sf_dir)
-        found = fts.bm25(index, fts.doc_stats(index), list(TERMS), weights)
+        found = fts.bm25(_doc_index(spark, sf_dir), _doc_stats(spark, sf_dir), list(TERMS), weights)
         return found.select("node_id", F.round("bm25", 6).alias("score")).orderBy(F.desc("score"), "node_id").limit(25)
 
     query(name, "WITH " + BM25.replace("@weight@", weight_sql).replace("@terms@", IN_TERMS) + " SELECT node_id, round(score, 6) AS score FROM sc ORDER BY score DESC, node_id LIMIT 25")(run)
@@ -322,19 +331,19 @@ FIRST_VECTOR = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
 
 def _first_vector(spark, sf_dir):
     """The query vector: one row."""
-    return vectors.literal(table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first().embedding)
+    return table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first().embedding
 
 
 @query("knn_cosine", f"SELECT vec_id, round(list_cosine_similarity([CAST(x AS DOUBLE) for x in embedding], [CAST(x AS DOUBLE) for x in {FIRST_VECTOR}]), 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 20")
 def knn_cosine(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", F.round(vectors.cosine(F.col("embedding"), _first_vector(spark, sf_dir)), 6).alias("score")).where("score > 0").orderBy(F.desc("score"), "vec_id").limit(20)
+    return vectors.knn(e, _first_vector(spark, sf_dir), 20, "cosine", "vec_id", "embedding").select("vec_id", F.round("score", 6).alias("score"))
 
 
 @query("knn_l2", f"SELECT vec_id, round(list_distance([CAST(x AS DOUBLE) for x in embedding], [CAST(x AS DOUBLE) for x in {FIRST_VECTOR}]), 6) AS distance FROM embeddings ORDER BY distance, vec_id LIMIT 20")
 def knn_l2(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", F.round(vectors.euclidean(F.col("embedding"), _first_vector(spark, sf_dir)), 6).alias("distance")).orderBy("distance", "vec_id").limit(20)
+    return vectors.knn(e, _first_vector(spark, sf_dir), 20, "l2", "vec_id", "embedding").select("vec_id", F.round("distance", 6).alias("distance"))
 
 
 @query(
@@ -347,8 +356,7 @@ def knn_l2(spark, sf_dir):
     SELECT id, round(raw / max(raw) OVER (), 4) AS score, CASE WHEN k > 1 THEN 'hybrid' ELSE one END AS score_source FROM s""",
 )
 def rrf_fusion(spark, sf_dir):
-    index = _doc_index(spark, sf_dir)
-    a = fts.bm25(index, fts.doc_stats(index), list(TERMS), {"name": 1, "body": 1}).select(F.col("node_id").alias("id"), F.round("bm25", 6).alias("s")).orderBy(F.desc("s"), "id").limit(50)
+    a = fts.bm25(_doc_index(spark, sf_dir), _doc_stats(spark, sf_dir), list(TERMS), {"name": 1, "body": 1}).select(F.col("node_id").alias("id"), F.round("bm25", 6).alias("s")).orderBy(F.desc("s"), "id").limit(50)
     a = a.select("id", F.lit("bm25").alias("source"), F.row_number().over(Window.partitionBy().orderBy(F.desc("s"), "id")).alias("rank"))
     b = table(spark, sf_dir, "documents").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(50)
     b = b.select(F.col("doc_id").cast("string").alias("id"), F.lit("length").alias("source"), F.row_number().over(Window.partitionBy().orderBy(F.desc("n_chars"), "doc_id")).alias("rank"))
@@ -363,7 +371,7 @@ def rrf_fusion(spark, sf_dir):
 )
 def group_by_path(spark, sf_dir):
     n = derived.nodes(spark, sf_dir).where("path like 'part/%'").withColumn("score", F.lit(1.0))
-    placed = n.withColumn("place", F.row_number().over(Window.partitionBy().orderBy("name", "id")))
+    placed = n.withColumn("place", F.struct("name", "id"))  # an order, not a number: no task ranks all nodes
     return hybrid.group_by_file(placed, 40).select("id", "path", "co_located_total")
 
 
@@ -389,21 +397,42 @@ def _doc_nodes(spark, sf_dir) -> DataFrame:
 @query("semantic_search")
 def semantic_search(spark, sf_dir):
     """Both branches of hybrid search over the documents, and their fusion."""
-    nodes = _doc_nodes(spark, sf_dir)
-    index = fts.postings(fts.index_documents(nodes), ("name", "path", "body"))
-    lexical = fts.search_bm25(nodes, index, fts.doc_stats(index), "create nation thing", fts.over_fetch(8))
-    store = vectors.embed(vectors.semantic_text(nodes))
+    nodes, fields = _doc_nodes(spark, sf_dir), ("name", "path", "body")
+    index = stored(spark, f"node postings of {sf_dir}", lambda: fts.bucketed(fts.postings(fts.index_documents(nodes), fields)), "bucket")
+    lengths = stored(spark, f"node lengths of {sf_dir}", lambda: fts.doc_lengths(fts.index_documents(nodes), fields))
+    lexical = fts.search_bm25(nodes, index, lengths, "create nation thing", fts.over_fetch(8))
+    store = stored(spark, f"node vectors of {sf_dir}", lambda: vectors.embed(vectors.semantic_text(nodes)))
     near = vectors.search(nodes, store, vectors.embed_query(spark, "create nation thing"), 64)
     return hybrid.group_by_file(hybrid.fuse(nodes, lexical, near, 24), 8).select("id", "kind", "name", "path", "score", "score_source")
 
 
-@query("explain_anchor")
+WORDS_SQL = "[lower(x) for x in regexp_extract_all(regexp_replace(translate({c}, '_-/', '   '), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[A-Za-z][A-Za-z0-9]{{2,}}')]"
+NAME_STOPS = ", ".join(f"'{w}'" for w in ("and", "for", "from", "the", "with", "file", "symbol"))
+VERBS = ", ".join(f"'{w}'" for w in hybrid.ENTRY_VERBS)
+
+
+@query(
+    "explain_anchor",
+    f"""WITH {G}, h AS (SELECT *, [w for w in {WORDS_SQL.format(c="concat_ws(' ', name, path, id)")} if w NOT IN ({NAME_STOPS})] AS words FROM nodes
+      WHERE lower(name) LIKE '%widget%' OR lower(path) LIKE '%widget%' OR lower(id) LIKE '%widget%')
+    SELECT id, kind, name, path, line FROM h ORDER BY CASE WHEN kind = 'symbol' THEN 0 WHEN kind IN ('file', 'test') THEN 1 ELSE 2 END, CAST(kind = 'test' AS INTEGER),
+      CAST(list_contains(words, 'create') AS INTEGER) + CAST(list_contains(words, 'red') AS INTEGER) + CAST(list_contains(words, 'widget') AS INTEGER) DESC,
+      CAST(list_has_any(words, ['convert', 'conversion']) AS INTEGER), CAST(list_has_any(words, [{VERBS}]) AS INTEGER) DESC, coalesce(path, ''), coalesce(line, 0), name, id LIMIT 1""",
+)
 def explain_anchor(spark, sf_dir):
     hits = fts.name_hits(derived.nodes(spark, sf_dir), "widget").withColumn("score", F.lit(1.0))
     return hybrid.anchor(hits, "create red widget").select(*NODE)
 
 
-@query("term_cosine", None)
+BAG_STOPS = ", ".join(f"'{w}'" for w in ("and", "are", "for", "from", "import", "into", "not", "the", "this", "true", "where", "with"))
+
+
+@query(
+    "term_cosine",
+    f"""WITH t AS (SELECT doc_id, unnest({WORDS_SQL.format(c="text")}) AS term FROM documents WHERE doc_id IN (1, 2)), c AS (SELECT doc_id, term, count(*) AS n FROM t WHERE term NOT IN ({BAG_STOPS}) GROUP BY ALL)
+    SELECT round(coalesce((SELECT sum(a.n * b.n) FROM c a JOIN c b ON a.term = b.term WHERE a.doc_id = 1 AND b.doc_id = 2), 0)
+      / ((SELECT sqrt(sum(n * n)) FROM c WHERE doc_id = 1) * (SELECT sqrt(sum(n * n)) FROM c WHERE doc_id = 2)), 9) AS cosine""",
+)
 def term_cosine(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(text.bag_terms(F.col("text"))).alias("term"))
     return vectors.sparse_cosine(d.groupBy("id", "term").agg(F.count("*").alias("n")), 1, 2).select(F.round("cosine", 9).alias("cosine"))
@@ -431,7 +460,11 @@ def js_import_extract(spark, sf_dir):
     return records.select(F.regexp_extract("path", r"^(\d+)", 1).cast("long").alias("page_id"), F.explode("imports").alias("i")).select("page_id", F.col("i.raw").alias("target"))
 
 
-@query("header_extract")
+@query(
+    "header_extract",
+    r"""WITH l AS (SELECT doc_id, list_filter(string_split('// ' || replace(text, chr(10), chr(10) || '// '), chr(10))[1:12], lambda x: NOT contains(lower(x), 'coding:') AND NOT contains(x, '-*-')) AS lines FROM documents)
+    SELECT doc_id || '.js' AS path, array_to_string(list_filter(list_transform(lines, lambda x: trim(trim(x), '#/*''" ')), lambda x: x <> ''), chr(10)) AS header FROM l""",
+)
 def header_extract(spark, sf_dir):
     files = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".js")).alias("path"), F.concat(F.lit("// "), F.regexp_replace("text", "\n", "\n// ")).alias("content"))
     return extract.extract(files).select("path", "header")
@@ -527,6 +560,51 @@ def test_link_by_stem(spark, sf_dir):
     return resolve.tests(_tree(spark)[0].select("path"))
 
 
+# A tree of Python files over the suppliers: each module calls one of another module under a name of its own,
+# and a helper of its own; every tenth has a test file. It grows with the tables.
+MODULE = "(s_suppkey * 7 + 3) % (SELECT count(*) FROM supplier)"
+
+
+def _supplier_tree(spark, sf_dir) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").select("s_suppkey")
+    n = s.agg(F.count("*")).scalar()
+    key, other = F.col("s_suppkey").cast("string"), F.col("other").cast("string")
+    s = s.withColumn("other", ((F.col("s_suppkey") * 7 + 3) % n).cast("long"))
+    content = F.concat(
+        F.lit("from pkg.m"), other, F.lit(" import work"), other, F.lit(" as borrowed\nimport json\n\ndef work"), key, F.lit("():\n    borrowed()\n    helper"), key,
+        F.lit("()\n    json.dumps(1)\n\ndef helper"), key, F.lit("():\n    return work"), key, F.lit("()\n"),
+    )
+    modules = s.select(F.concat(F.lit("pkg/m"), key, F.lit(".py")).alias("path"), content.alias("content"))
+    tests = s.where("s_suppkey % 10 = 0").select(F.concat(F.lit("tests/test_m"), key, F.lit(".py")).alias("path"), F.concat(F.lit("from pkg.m"), key, F.lit(" import work"), key, F.lit("\n\ndef test_work():\n    work"), key, F.lit("()\n")).alias("content"))
+    return modules.unionByName(tests)
+
+
+@query(
+    "import_resolve_tree",
+    f"""SELECT 'pkg/m' || s_suppkey || '.py' AS path, 'file:pkg/m' || ({MODULE}) || '.py' AS dst FROM supplier UNION ALL SELECT 'pkg/m' || s_suppkey || '.py', 'package:json' FROM supplier
+    UNION ALL SELECT 'tests/test_m' || s_suppkey || '.py', 'file:pkg/m' || s_suppkey || '.py' FROM supplier WHERE s_suppkey % 10 = 0""",
+)
+def import_resolve_tree(spark, sf_dir):
+    files = _supplier_tree(spark, sf_dir)
+    return resolve.imports(extract.extract(files), files.select("path")).select("path", "dst").distinct()
+
+
+@query(
+    "call_resolve_tree",
+    f"""WITH s AS (SELECT s_suppkey AS k, {MODULE} AS o, 'symbol:pkg/m' || s_suppkey || '.py:' AS own FROM supplier)
+    SELECT DISTINCT own || 'work' || k AS src, 'symbol:pkg/m' || o || '.py:work' || o AS dst FROM s UNION SELECT own || 'work' || k, own || 'helper' || k FROM s UNION SELECT own || 'helper' || k, own || 'work' || k FROM s
+    UNION SELECT 'symbol:tests/test_m' || k || '.py:test_work', own || 'work' || k FROM s WHERE k % 10 = 0""",
+)
+def call_resolve_tree(spark, sf_dir):
+    files = _supplier_tree(spark, sf_dir)
+    return resolve.calls(extract.extract(files), files.select("path")).select("src", "dst").distinct()
+
+
+@query("test_link_tree", "SELECT 'file:tests/test_m' || s_suppkey || '.py' AS src, 'file:pkg/m' || s_suppkey || '.py' AS dst FROM supplier WHERE s_suppkey % 10 = 0")
+def test_link_tree(spark, sf_dir):
+    return resolve.tests(_supplier_tree(spark, sf_dir).select("path"))
+
+
 @query("feature_edges", f"WITH {G}, f AS (SELECT path FROM nodes WHERE kind = 'file') SELECT 'feature:cars' AS src, 'file:' || path AS dst FROM f WHERE regexp_matches(path, '^customer/AUTO.*$') OR regexp_matches(path, '^.*99$') UNION ALL SELECT 'feature:sites', 'file:' || path FROM f WHERE regexp_matches(path, '^pages/.*$')")
 def feature_edges(spark, sf_dir):
     files = derived.nodes(spark, sf_dir).where("kind = 'file'").select("path")
@@ -554,11 +632,9 @@ def enclosing_scope(spark, sf_dir):
 @query("incremental_watch", "SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY ALL")
 def incremental_watch(spark, sf_dir):
     """The events as a file stream, merged batch by batch into snapshots: last event of each user and type."""
-    import uuid
-
     from codeloom.streaming import watch
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/") + f"/codeloom-watch-{uuid.uuid4().hex}"
+    base = new_path(spark, "watch")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/event[s].parquet")
     state = {"path": None}

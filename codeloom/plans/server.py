@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+import os
 import sys
 from collections.abc import Callable
 from typing import TextIO
 
-from codeloom.plans.engine import Engine
+from codeloom.plans.engine import LONG, Engine, brief
 from codeloom.sources import catalog
 
 PROTOCOL = "2024-11-05"
@@ -15,7 +16,7 @@ PROTOCOL = "2024-11-05"
 #: Tools: description, required arguments, optional arguments with their JSON types.
 TOOLS = {
     "search": ("Find nodes whose name, path or id contains a text, or that refer to it.", {"query": "string"}, {"limit": "number", "fallback": "boolean"}),
-    "semantic": ("Rank nodes by full text and hashed vectors together.", {"query": "string"}, {"limit": "number", "kind": "string", "path_glob": "string", "group_by_file": "boolean"}),
+    "semantic": ("Rank nodes by full text and hashed vectors together.", {"query": "string"}, {"limit": "number", "kind": "string", "path_glob": "string", "group_by_file": "boolean", "provider": "string", "model": "string"}),
     "symbol": ("Find symbols by a part of their name.", {"name": "string"}, {"limit": "number"}),
     "impact": ("What depends on a target and what it depends on.", {"target": "string"}, {"limit": "number", "include_vendor": "boolean"}),
     "callers": ("What calls a symbol or file.", {"target": "string"}, {"limit": "number", "include_vendor": "boolean"}),
@@ -44,7 +45,12 @@ class Server:
     def call(self, name: str, args: dict):
         if name == "repos":
             r = catalog.Registry(self.registry)
-            return {"repos": r.repos, "default": r.default}
+            try:
+                current = r.route(args.get("repo"), self.pinned)
+            except KeyError:
+                current = None
+            rows = [{"name": k, **v, "indexed": catalog.Tables(self.spark, v["tables"]).exists()} for k, v in sorted(r.repos.items())]
+            return {"repos": rows, "default": r.default, "current": current, "pinned": self.pinned, "spawn_cwd": os.getcwd()}
         try:
             repo = catalog.Registry(self.registry).route(args.get("repo"), self.pinned)
         except KeyError as e:
@@ -69,14 +75,14 @@ class Server:
         vendor = lambda a: bool(a.get("include_vendor", False))
         return {
             "search": search,
-            "semantic": lambda e, a: e.semantic(a["query"], limit(a, 8), a.get("kind"), a.get("path_glob"), a.get("group_by_file", True)),
+            "semantic": lambda e, a: e.ask(a["query"], limit(a, 8), a.get("kind"), a.get("path_glob"), a.get("group_by_file", True), a.get("provider"), a.get("model")),
             "symbol": lambda e, a: e.symbols(a["name"], limit(a, 20)),
             "impact": lambda e, a: e.impact(a["target"], limit(a, 50), vendor(a)),
             "callers": lambda e, a: e.callers(a["target"], limit(a, 50), vendor(a)),
             "callees": lambda e, a: e.callees(a["target"], limit(a, 50), vendor(a)),
             "trace": lambda e, a: e.trace(a["from"], a.get("to"), a.get("max_hops", 3), a.get("limit"), vendor(a)),
             "tests": lambda e, a: e.tests(a["path"], limit(a, 50)),
-            "explain": lambda e, a: e.explain(a["topic"], limit(a, 12), int(a.get("depth", 1))),
+            "explain": lambda e, a: brief(e.explain(a["topic"], limit(a, 12), int(a.get("depth", 1))), LONG),
             "status": lambda e, a: e.status(),
         }[name]
 
@@ -111,7 +117,10 @@ def serve(spark, pinned: str | None = None, source: TextIO = sys.stdin, sink: Te
     server = Server(spark, pinned)
     for line in source:
         if line.strip():
-            answer = server.handle(json.loads(line))
+            try:
+                answer = server.handle(json.loads(line))
+            except Exception as e:  # noqa: BLE001  a line that is no request has an answer too, and the next one counts
+                answer = {"jsonrpc": "2.0", "id": None, "error": {"code": -32603, "message": str(e)}}
             if answer is not None:
                 print(json.dumps(answer), file=sink, flush=True)
 

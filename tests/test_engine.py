@@ -119,3 +119,33 @@ def test_watch_merges_changed_files_once(spark, tmp_path):
     write("2", [("a.py", "x"), ("b.py", "new")])
     run()
     assert sorted(seen) == ["a.py", "b.py", "b.py"]
+
+
+def test_short_lists_fallback_and_bad_lines(engine, monkeypatch):
+    import io
+    import json
+
+    from codeloom.operators import providers
+    from codeloom.plans import server
+    from codeloom.plans.engine import LONG, SHORT, brief
+
+    assert list(brief({"files": [{"id": "a", "kind": "file", "edge_kind": "calls"}]}, SHORT)["files"][0].items()) == [("kind", "file"), ("name", None), ("path", None), ("line", None), ("edge", "calls")]
+    assert set(brief({"x": [{"id": "a"}], "y": 1}, LONG)["x"][0]) == set(LONG)
+    found = engine.ask("invoice creation", term_only=True)
+    assert found and all(x["score_source"] in ("bm25", "local-hash", "hybrid") for x in found) and "snippet" in found[0]
+    sink = io.StringIO()
+    server.serve(engine.spark, source=io.StringIO('{bad\n\n{"method": "tools/list", "id": 7}\n'), sink=sink)
+    first, second = map(json.loads, sink.getvalue().splitlines())
+    assert first["error"]["code"] == -32603 and first["id"] is None and second["id"] == 7
+    sent = []
+
+    class Answer(io.BytesIO):
+        pass
+
+    def post(request, timeout):
+        sent.append((request.full_url, json.loads(request.data), timeout))
+        return Answer(json.dumps({"data": [{"index": 1, "embedding": [2]}, {"index": 0, "embedding": [1]}]}).encode())
+
+    monkeypatch.setattr(providers.urllib.request, "urlopen", post)
+    assert providers.connect("openai", "m", 4, {"OPENAI_API_KEY": "k"}).embed(["a", "b"]) == [[1.0], [2.0]]
+    assert sent == [("https://api.openai.com/v1/embeddings", {"model": "m", "input": ["a", "b"], "dimensions": 4}, 60)]
