@@ -6,7 +6,6 @@ reach, so a lost executor costs at most the tasks it was running.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from typing import TypeVar
 
@@ -14,22 +13,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-T = TypeVar("T")
-
-#: Used only where the session names no shared folder and runs on one machine, as in tests.
-LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
-
+from codeloom.sources.staging import new_path
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a session on a cluster must name one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.split("[")[0] == "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return (named or LOCAL_CHECKPOINTS).rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/codeloom-{name}-{uuid.uuid4().hex}"
+T = TypeVar("T")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
