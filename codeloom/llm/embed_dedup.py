@@ -87,7 +87,7 @@ def distinct_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
         .withColumn("norm", norm)
         .where("norm > 0")
     )
-    keyed = stage(unit.dropDuplicates(["vec_id"]).withColumn("key", F.sha2(F.concat_ws(",", "x"), 256)), "embed")
+    keyed = stage(unit.groupBy("vec_id").agg(F.min(F.struct("x", "norm")).alias("r")).select("vec_id", "r.*").withColumn("key", F.sha2(F.concat_ws(",", "x"), 256)), "embed")
     same = keyed.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     members = keyed.select("vec_id", "key").join(same, "key").select("vec_id", "rep", "copies")
     reps = keyed.join(same.select(F.col("rep").alias("vec_id"), "copies"), "vec_id").select(
@@ -165,7 +165,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, tables: int = TABLE
     Links are pairs of other vectors with cosine >= ``cosine``, in double precision, that share a
     bucket. Null vectors, zero vectors and vectors with null or non-finite components link with
     nothing, nor do vectors of another length. Equal vectors link with each other, and are hashed
-    once. A repeated vec_id counts once. A null vec_id has a null component_id and is kept. Extra
+    once. Rows that share a vec_id count once, with the smallest of their vectors. A null vec_id has a null component_id and is kept. Extra
     columns are ignored; an empty table gives no rows.
     """
     members, reps = distinct_vectors(vectors)

@@ -11,7 +11,8 @@ scores. All lists of a vector lie in one task, so only bounds travel:
 3. of these, the vectors whose upper bound reaches the cutoff get their remaining parts and their exact
    score; each task passes on its k best, and the k best of those are the answer.
 
-Queries go through in blocks of at most ``QUERY_BLOCK`` rows, which bounds what is broadcast.
+Queries go through in blocks of at most ``QUERY_BLOCK`` rows and ``QUERY_NUMBERS`` components, which bounds
+what is broadcast. A block's results are written and its broadcasts go before the next one comes.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import stage
+from codeloom.sources.staging import new_path
 
 GROUPS = 4
-#: Queries of one pass: with 64 dimensions their matrix is 16 MB.
-QUERY_BLOCK = 32_768
+#: Queries of one pass, and their components: a matrix of 16 MB at most.
+QUERY_BLOCK, QUERY_NUMBERS = 32_768, 1 << 21
 #: Queries and vectors whose partial scores are held at once.
 TILE_Q, TILE_V = 512, 4_096
 
@@ -74,7 +76,8 @@ def _partials(queries: np.ndarray, vectors: np.ndarray, cuts: list[tuple[int, in
     return np.stack([queries[:, a:b] @ vectors[:, a:b].T for a, b in cuts])
 
 
-def _search_block(candidates: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
+def _search_block(candidates: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int, path: str) -> None:
+    """Append the answers of a block of queries to the table at ``path``."""
     sc, width = candidates.sparkSession.sparkContext, queries.shape[1]
     shared = sc.broadcast((query_ids, queries))
     cuts = _cuts(width)
@@ -119,20 +122,15 @@ def _search_block(candidates: DataFrame, query_ids: np.ndarray, queries: np.ndar
             for at in range(0, len(qid), TILE_Q):
                 p = _partials(q[at : at + TILE_Q], v, cuts)
                 mine = t[at : at + TILE_Q]
-                share = mine / len(cuts)
-                enough = p >= share[None, :, None]
-                seen = enough.any(0) & (qid[at : at + TILE_Q, None] != vid[None, :])
-                rows, cols = np.nonzero(seen)
-                if not len(rows):
-                    continue
-                upper = np.where(enough[:, rows, cols], p[:, rows, cols], share[rows]).sum(0)
-                keep = (upper >= mine[rows]) | np.isneginf(mine[rows])
-                rows, cols = rows[keep], cols[keep]
-                score = p[:, rows, cols].sum(0)
-                keep = score >= mine[rows]
-                rows, cols, score = rows[keep], cols[keep], score[keep]
+                # enough are the entries of at least their share of the cutoff; the rest of their parts is added to these
+                enough = p.max(0) >= (mine / len(cuts))[:, None]
+                score = p.sum(0)
+                enough &= score >= mine[:, None]
+                enough &= qid[at : at + TILE_Q, None] != vid[None, :]
+                rows, cols = np.nonzero(enough)
                 if not len(rows):
                     continue
+                score = score[rows, cols]
                 order = np.lexsort((vid[cols], -score, rows))
                 rows, ids, score = rows[order], vid[cols[order]], score[order]
                 first = np.searchsorted(rows, rows)
@@ -150,37 +148,37 @@ def _search_block(candidates: DataFrame, query_ids: np.ndarray, queries: np.ndar
             [pa.array(qid[rows]), pa.array(best_v[rows, col]), pa.array(best_s[rows, col].astype(np.int64))], names=["query_id", "vec_id", "score"]
         )
 
-    return candidates.mapInArrow(resolve, "query_id long, vec_id long, score long")
+    found = candidates.mapInArrow(resolve, "query_id long, vec_id long, score long")
+    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found.withColumn("rank", order.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)
+    shared.destroy()
+    cutoff.destroy()
 
 
 def search(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """The ``k`` highest scores of each vector whose id is divisible by ``every``: query_id, rank,
     vec_id, score. Ties go to the smaller vec_id; all rows but the query's own are candidates.
 
-    Rows that ``quantized`` leaves out, and rows of another length than most queries' first, take no
-    part. Repeated ids count once, as the same row. Fewer than k candidates give fewer rows; an
-    empty table gives none.
+    Rows that ``quantized`` leaves out take no part; vectors meet those of their own length. Rows that
+    share an id count once, with the smallest of their vectors. Fewer than k candidates give fewer
+    rows; an empty table gives none. Extra columns are ignored.
     """
-    all_rows = stage(quantized(vectors).dropDuplicates(["vec_id"]), "topk")
-    first = all_rows.select(F.size("q").alias("n")).groupBy("n").count().orderBy(F.desc("count"), "n").first()
-    width = first.n if first else 1
-    usable = all_rows.where(F.size("q") == width)
-    wanted = usable.where(F.col("vec_id") % every == 0)
-    out, after = None, None
-    while True:
-        part = wanted if after is None else wanted.where(F.col("vec_id") > after)
-        block = part.orderBy("vec_id").limit(QUERY_BLOCK).toPandas()
-        if not len(block):
-            break
-        found = _search_block(usable, block.vec_id.to_numpy(np.int64), np.array(block.q.tolist(), float), k)
-        out = found if out is None else out.unionByName(found)
-        after = int(block.vec_id.iloc[-1])
-        if len(block) < QUERY_BLOCK:
-            break
-    if out is None:
-        out = usable.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0).cast("long").alias("score")).limit(0)
-    ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", ranked).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    spark = vectors.sparkSession
+    usable = stage(quantized(vectors).groupBy("vec_id").agg(F.min("q").alias("q")), "topk")
+    path = new_path(spark, "topk-found")
+    widths = [r.n for r in usable.where(F.col("vec_id") % every == 0).select(F.size("q").alias("n")).distinct().orderBy("n").collect()]
+    for width in widths:
+        candidates = usable.where(F.size("q") == width)
+        wanted, after, size = candidates.where(F.col("vec_id") % every == 0), None, max(1, min(QUERY_BLOCK, QUERY_NUMBERS // width))
+        while True:
+            block = (wanted if after is None else wanted.where(F.col("vec_id") > after)).orderBy("vec_id").limit(size).toPandas()
+            if len(block):
+                _search_block(candidates, block.vec_id.to_numpy(np.int64), np.array(block.q.tolist(), float), k, path)
+                after = int(block.vec_id.iloc[-1])
+            if len(block) < size:
+                break
+    schema = "query_id long, rank int, vec_id long, score long"
+    return spark.read.schema(schema).parquet(path) if widths else spark.range(0).selectExpr("id query_id", "cast(id as int) rank", "id vec_id", "id score")
 
 
 ORACLE = """

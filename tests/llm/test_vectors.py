@@ -34,6 +34,13 @@ def test_topk_blocks_and_small_tables(spark, monkeypatch):
     assert topk.search(table(spark, x[:1])).collect() == []
 
 
+def test_topk_of_several_lengths(spark):
+    rows = [(i, [float((i * 7 + k) % 5) for k in range(3 if i % 100 == 50 else 8)], 0, 0) for i in range(200)] + [(50, [9.0, 9.0, 9.0], 0, 0)]
+    got = topk.search(spark.createDataFrame(rows, SCHEMA)).collect()
+    by_query = {q: sorted((r["rank"], r.vec_id) for r in got if r.query_id == q) for q in (0, 50, 100, 150)}
+    assert [len(v) for v in by_query.values()] == [5, 1, 5, 1] and by_query[50] == [(1, 150)]
+
+
 def test_near_duplicates_against_all_pairs(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(400, 64))
