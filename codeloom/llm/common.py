@@ -6,6 +6,7 @@ reach, so a lost executor costs at most the tasks it was running.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from typing import TypeVar
 
@@ -18,10 +19,22 @@ from codeloom.sources.staging import new_path
 T = TypeVar("T")
 
 
+#: Seconds between collections of the driver's garbage by ``stage``.
+COLLECT_SECONDS = 3.0
+_collected = [0.0]
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here."""
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here.
+
+    Spark deletes a job's shuffle files and broadcasts when the driver's garbage is collected, which a
+    driver with memory to spare seldom does. A table that ends the lineage is the time for it.
+    """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    if time.monotonic() - _collected[0] > COLLECT_SECONDS:
+        df.sparkSession._jvm.System.gc()
+        _collected[0] = time.monotonic()
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._staged_at = path
     return back
