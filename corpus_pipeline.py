@@ -69,5 +69,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's columns, and every document's slot and place in the mixture, in that order."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, function in STAGES[:-2]:
-        docs = stage(function(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, stage(function(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(before)
     return encode_mixed(stage(mixing.mix(docs, WEIGHTS), "mixing"))
