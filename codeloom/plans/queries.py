@@ -13,8 +13,8 @@ from codeloom.plans import derived
 from codeloom.plans.derived import SQL as G
 from codeloom.plans.derived import table
 from codeloom.schema import kind_order, node_meta
+from codeloom.sources.files import describe, has_extension, is_test_path, matches_glob, not_ignored
 from codeloom.sources.staging import new_path, stored
-from codeloom.sources.files import has_extension, is_test_path, matches_glob, not_ignored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -473,7 +473,7 @@ def header_extract(spark, sf_dir):
 @query("content_hash", "SELECT doc_id, sha1(text) AS sha1, CAST(length(text) AS INTEGER) AS size FROM documents WHERE text IS NOT NULL")
 def content_hash(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("text is not null")
-    return d.select("doc_id", F.sha1(F.encode("text", "UTF-8")).alias("sha1"), F.length("text").alias("size"))
+    return describe(d.select("doc_id", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))).select("doc_id", "sha1", "size")
 
 
 @query("dedupe_last_wins", "SELECT user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1")

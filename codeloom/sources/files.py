@@ -76,10 +76,13 @@ def scan(spark: SparkSession, root: str, extensions=EXTENSIONS, ignores=IGNORES,
     Paths are relative and POSIX. Extension and ignore filters run on the listing's paths.
     """
     root = root.rstrip("/")
+    base = root.split("://")[-1] + "/"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rel = F.expr(f"substring(path, instr(path, '{root.split('://')[-1]}/') + {len(root.split('://')[-1]) + 1})")
+    rel = F.substr(F.col("path"), F.instr("path", base) + len(base))
     own = raw.withColumn("rel", rel).where(has_extension(F.col("rel"), extensions) & not_ignored(F.col("rel"), ignores))
-    return own.select(F.col("rel").alias("path"), decode_leniently(F.when(F.col("length") <= max_bytes, F.col("content"))).alias("content"))
+    # the source compares lengths before it opens a file, and reads none whose content isn't asked for
+    small = own.where(F.col("length") <= max_bytes).select(F.col("rel").alias("path"), decode_leniently("content").alias("content"))
+    return small.unionByName(own.where(F.col("length") > max_bytes).select(F.col("rel").alias("path"), F.lit(None).cast("string").alias("content")))
 
 
 def describe(files: DataFrame) -> DataFrame:
