@@ -1,4 +1,8 @@
-"""The corpus queries: thin readers of the operators' results, over whole tables."""
+"""The corpus queries: thin readers of the operators' results, over whole tables.
+
+Nulls, empty and very long texts, ties, repeated rows, empty tables and further columns are as the
+operators' docstrings say: a query adds no rule of its own.
+"""
 
 from __future__ import annotations
 
