@@ -78,17 +78,6 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(gone.select(F.col("doc_id").alias(name)).distinct(), F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
-#: Tasks that the rows of one key are dealt to.
-SPREAD = 8
-
-
-def join_spread(rows: DataFrame, per_key: DataFrame, key: str, by: str) -> DataFrame:
-    """``rows`` joined with the one row per key of ``per_key``, repeated for each of ``SPREAD`` parts of a key's rows
-    by the hash of ``by``: no task reads a whole key."""
-    parts = per_key.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    return rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(SPREAD)).cast("int")).join(parts, [key, "_part"]).drop("_part")
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, which is worked out once although ``body`` uses it often or in inner functions."""
     return F.get(F.transform(F.array(value), body), 0)
@@ -123,7 +112,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
 
     Alternates the large-star and small-star contractions until every node has one parent and no
     parent has one. A hub's neighbours are never gathered: its minimum is a map-side-combined
-    aggregate that is joined back to parts of them.
+    aggregate that is joined back.
     """
     now = stage(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct(), "cc")
     while True:
@@ -133,12 +122,12 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = join_spread(both.where("v > u"), low, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # a node's own minimum, so that chains fold as well
         large = large.unionByName(low.where("m < u").select("u", F.col("m").alias("v")))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            join_spread(large, least, "u", "v")
+            large.join(least, "u")
             .select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
             .select("e.u", F.col("e.m").alias("v"))
             .where("u <> v")

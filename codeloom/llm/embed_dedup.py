@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import connected_components, discard, join_spread, stage
+from codeloom.llm.common import connected_components, discard, stage
 
 #: Tables, vertices that make up a hash, and visited buckets besides a vector's own. Of random pairs of
 #: 64 dimensions at cosine 0.9 a table joins 44 %, so eight tables miss 0.9 % of them; at 0.95, none of 3,000.
@@ -190,7 +190,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, tables: int = TABLE
     sizes = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     # a row of a large bucket is in one of its blocks; every block meets itself and every other one
     placed = (
-        join_spread(entries, sizes, "bucket", "rep")
+        entries.join(sizes, "bucket")
         .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("rep", "bucket"), F.col("blocks")).cast("int"))
     )

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import connected_components, discard, join_spread, mix64, shingle_set, stage, without
+from codeloom.llm.common import connected_components, discard, mix64, shingle_set, stage, without
 
 #: 32 bands of 6 rows: a pair at similarity 0.8 shares a bucket with probability 0.99994.
 BANDS, ROWS = 32, 6
@@ -144,11 +144,11 @@ def compare_rest(open_: DataFrame, signed: DataFrame, texts: DataFrame, words: i
     """Links (u, v) between members of a bucket that are in different components: ``open_`` has key, rep, class."""
     sizes = open_.groupBy("key", "class").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "class")).alias("top")).select("key", F.col("top.class").alias("top"))
-    members = join_spread(open_.join(signed.select(F.col("doc_id").alias("rep"), "n_shingles"), "rep"), largest, "key", "rep").withColumn("few", F.col("class") != F.col("top"))
+    members = open_.join(signed.select(F.col("doc_id").alias("rep"), "n_shingles"), "rep").join(largest, "key").withColumn("few", F.col("class") != F.col("top"))
     blocks = F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int")
     counts = members.groupBy("key").agg(blocks.alias("blocks"))
     # every block of the few meets every block of all members; a row's block is drawn by its hash
-    placed = join_spread(members, counts, "key", "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    placed = members.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     sent = placed.select("key", "rep", "class", "few", "block", F.explode(every).alias("other"))
     sides = F.array(F.struct(F.col("block").alias("i"), F.col("other").alias("j"), F.lit(True).alias("left")), F.struct(F.col("other").alias("i"), F.col("block").alias("j"), F.lit(False).alias("left")))
@@ -206,7 +206,7 @@ def _open_buckets(buckets: DataFrame, classes: DataFrame) -> DataFrame:
     """``buckets`` (key, rep) with ``class``, the component; only buckets that hold several."""
     marked = buckets.join(classes, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("class"))
     several = marked.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("key")
-    return join_spread(marked, several, "key", "rep")
+    return marked.join(several, "key")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     reps = signed.join(alike.withColumnRenamed("digest", "_d"), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("_d")))
     keys = reps.select("rep", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").drop("last")
-    buckets = stage(join_spread(keys, shared, "key", "rep").select("key", "rep", "hub").distinct(), "minhash-buckets")
+    buckets = stage(keys.join(shared, "key").select("key", "rep", "hub").distinct(), "minhash-buckets")
     wanted = buckets.select(F.col("rep").alias("id")).distinct()
     texts = stage(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(wanted, "id", "left_semi"), "minhash-texts")
 
@@ -233,7 +233,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     # a star around a hub of the bucket's own, for members that are not in its component yet
     now = stage(_open_buckets(buckets.select("key", "rep"), classes), "minhash-open")
     drawn = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "rep").alias("order"), "rep", "class")).alias("h"))
-    again = join_spread(now, drawn, "key", "rep").where("class <> h.class").select(F.col("h.rep").alias("hub"), F.col("rep").alias("doc")).distinct()
+    again = now.join(drawn, "key").where("class <> h.class").select(F.col("h.rep").alias("hub"), F.col("rep").alias("doc")).distinct()
     more = stage(links.unionByName(confirm(again, texts, words, percent)), "minhash-links")
     discard(classes, links, buckets)
     classes = connected_components(more)
