@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, embed_dedup, html_extract, line_dedup, minhash, mixing, secrets, topk, toxicity, warc
+from codeloom.llm import ball_kmeans, bpe, embed_dedup, html_extract, line_dedup, minhash, mixing, secrets, topk, toxicity, warc
 from codeloom.llm.common import new_path
 
 #: Target weights of the mixture by source; a source not named has weight 1.
@@ -80,6 +80,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster of 40, by exact k-means of five rounds."""
+    return ball_kmeans.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -92,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_line_dedup": op9_line_dedup,
         "op10_bpe": op10_bpe,
+        "op11_ball_kmeans": op11_ball_kmeans,
     }
 
 
@@ -101,4 +107,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_mixing": mixing.ORACLE,
         "op6_topk": topk.ORACLE,
         "op9_line_dedup": line_dedup.ORACLE,
+        "op11_ball_kmeans": ball_kmeans.oracle(),
     }
