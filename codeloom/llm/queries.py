@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import ball_kmeans, bpe, embed_dedup, html_extract, line_dedup, minhash, mixing, secrets, topk, toxicity, warc
+from codeloom.llm import ball_kmeans, bpe, embed_dedup, html_extract, line_dedup, minhash, mixing, secrets, spelling, topk, toxicity, warc
 from codeloom.llm.common import new_path
 
 #: Target weights of the mixture by source; a source not named has weight 1.
@@ -85,6 +85,11 @@ def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_kmeans.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the documents and their common spelling; where 97 divides a word's checksum it loses a letter first."""
+    return spelling.variants(table(spark, sf_dir, "documents"), least_letters=5, least_count=3, every=97, ratio=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -98,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_dedup": op9_line_dedup,
         "op10_bpe": op10_bpe,
         "op11_ball_kmeans": op11_ball_kmeans,
+        "op12_spelling": op12_spelling,
     }
 
 
