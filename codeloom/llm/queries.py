@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import ball_kmeans, bpe, embed_dedup, html_extract, line_dedup, minhash, mixing, secrets, spelling, topk, toxicity, warc
+from codeloom.llm import ball_kmeans, bpe, embed_dedup, html_extract, line_dedup, minhash, mixing, pii, secrets, spelling, topk, toxicity, warc
 from codeloom.llm.common import new_path
 
 #: Target weights of the mixture by source; a source not named has weight 1.
@@ -90,6 +90,11 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"), least_letters=5, least_count=3, every=97, ratio=2)
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base patterns, and what trusted contexts discover."""
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -104,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_bpe": op10_bpe,
         "op11_ball_kmeans": op11_ball_kmeans,
         "op12_spelling": op12_spelling,
+        "op13_pii": op13_pii,
     }
 
 
