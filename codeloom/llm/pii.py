@@ -97,13 +97,15 @@ def shapes(value: str) -> int:
     return (2 if _PARTS.fullmatch(value) else 0) | (4 if 8 <= digits <= 19 else 0) | (8 if 6 <= digits <= 15 else 0)
 
 
-def _value(value: str, kind: int) -> str:
-    """What makes two spans of a kind the same identifier."""
-    return "".join(c for c in value if "0" <= c <= "9") if kind in (2, 3) else value.lower()
+def _value(span: str) -> str:
+    """What makes two spans the same identifier: the digits, if it consists of them and marks between, else the whole."""
+    if "@" in span or any(c.isalpha() for c in span) or _PARTS.fullmatch(span):
+        return span.lower()
+    return "".join(c for c in span if "0" <= c <= "9")
 
 
-def _hash(kind: int, value: str) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{kind}:{_value(value, kind)}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def _hash(span: str) -> int:
+    return int.from_bytes(hashlib.blake2b(_value(span).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def _raw(text: str) -> bytes:
@@ -158,7 +160,7 @@ Seen = tuple[int, int, int, int, int, list[int]]
 
 
 def identifiers(text: str) -> tuple[list[tuple[int, int, int]], list[Seen]]:
-    """Base spans, and (start, end, kind or -1, shapes, hashes of the values by kind) and contexts of all seeds and candidates."""
+    """Base spans, and (start, end, kind or -1, kind by shape, hash of the value, contexts) of all seeds and candidates."""
     if not _WORTH.search(text):
         return [], []
     base = base_spans(text)
@@ -167,12 +169,12 @@ def identifiers(text: str) -> tuple[list[tuple[int, int, int]], list[Seen]]:
     for s, kind, e in base:
         first = bisect_right(tokens, (s, len(text) + 1)) - 1
         last = bisect_right(tokens, (e - 1, len(text) + 1)) - 1
-        found.append((s, e, kind, 0, _hash(kind, text[s:e]), first, last))
+        found.append((s, e, kind, 0, _hash(text[s:e]), first, last))
     for s, e, first, last in candidates(text, tokens, base):
         kinds = shapes(text[s:e]) if s < e else 0
         for kind in range(len(KINDS)):
             if kinds >> kind & 1:
-                found.append((s, e, -1, kind, _hash(kind, text[s:e]), first, last))
+                found.append((s, e, -1, kind, _hash(text[s:e]), first, last))
     if not found:
         return base, []
     h = np.concatenate([np.zeros(2, np.uint64), word_hashes(_raw(text)), np.zeros(1, np.uint64)])
