@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codeloom.sources import shared_files
+
 #: Used only where the session names no shared folder and runs on one machine, as in tests.
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
 
-_STORED: dict[tuple[str, str], str] = {}
+#: Tables that one application keeps at a time.
+MOST_STORED = 32
+
+_STORED: dict[tuple[str, str], tuple[str, tuple]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,18 +37,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stored(spark: SparkSession, key: str, build: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
+def stored(spark: SparkSession, key: str, build: Callable[[], DataFrame], by: str | None = None, sources: Iterable[str] = ()) -> DataFrame:
     """The table of ``build()``, written once in an application and read by all that ask for ``key`` later,
-    in folders by the column ``by``."""
+    in folders by the column ``by``.
+
+    ``sources`` are the paths that it is made from: when a file there has another name, length or time, the table is
+    made anew. At most ``MOST_STORED`` tables are kept; the one asked for longest ago goes first.
+    """
     at = spark.sparkContext.applicationId, key
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    if at in _STORED:
-        p = fs_path(_STORED[at])
-        if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-            del _STORED[at]
-    if at not in _STORED:
+    made_of = tuple(shared_files.fingerprint(spark, p) for p in sources)
+    path, known = _STORED.pop(at, (None, None))
+    if path and (known != made_of or not shared_files.exists(spark, path)):
+        shared_files.delete(spark, path)
+        path = None
+    if not path:
         path = new_path(spark, "stored")
         writer = build().write
         (writer.partitionBy(by) if by else writer).parquet(path)
-        _STORED[at] = path
-    return spark.read.parquet(_STORED[at])
+    _STORED[at] = path, made_of
+    while len(_STORED) > MOST_STORED:
+        (application, _), (old, _) = next(iter(_STORED.items()))
+        if application == at[0]:
+            shared_files.delete(spark, old)
+        del _STORED[next(iter(_STORED))]
+    return spark.read.parquet(path)
