@@ -164,8 +164,8 @@ class TextIndex:
         chosen = Layered(self.spark, self.postings.folder, ["node_id"], self.postings.bucket, _pack, lambda blocks: _unpack(blocks.join(spans, "span", "left_semi")))
         return chosen.read(buckets_of(self.spark, terms, BUCKETS), number=self.documents.meta("postings")).where(F.col("term").isin(sorted(set(terms))))
 
-    def top(self, terms: list[str], k: int, weights: dict[str, float] | None = None, kind: str | None = None, probed: int = PROBED) -> tuple[DataFrame, Counts]:
-        """(node_id, bm25) of the ``k`` best documents and of all that equal the last of them, and what was read."""
+    def top(self, terms: list[str], k: int, weights: dict[str, float] | None = None, kind: str | None = None, within: float = 0.0, probed: int = PROBED) -> tuple[DataFrame, Counts]:
+        """(node_id, bm25) of the ``k`` best documents and of all at most ``within`` below the last of them, and what was read."""
         weights, idf = weights or fts.WEIGHTS, self._idf(terms)
         if not idf or k < 1:
             return self.spark.createDataFrame([], "node_id string, bm25 double"), Counts()
@@ -179,8 +179,8 @@ class TextIndex:
         bounds = self.spark.read.schema(bound.schema).parquet(path)
         first = bounds.orderBy(F.desc("bound"), "span").limit(probed).select("span")
         floor_rows = self.bm25(terms, weights, kind, first).orderBy(F.desc("bm25")).limit(k).select("bm25").collect()  # k numbers
-        floor = floor_rows[-1].bm25 * (1 - 1e-12) if len(floor_rows) == k else 0.0
+        floor = floor_rows[-1].bm25 * (1 - 1e-12) - within if len(floor_rows) == k else 0.0
         chosen = bounds.where(F.col("bound") >= floor * (1 - 1e-9)).select("span")
         scored = self.bm25(terms, weights, kind, chosen)
-        kth = scored.where(F.col("bm25") >= floor).orderBy(F.desc("bm25")).limit(k).agg(F.min("bm25")).scalar()
+        kth = scored.where(F.col("bm25") >= floor).orderBy(F.desc("bm25")).limit(k).agg(F.min("bm25") - within).scalar()
         return scored.where(F.col("bm25") >= kth), Counts(bounds.count(), chosen.count(), floor)

@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def paths(sf_dir: str, *names: str) -> list[str]:
+    """Where the tables ``names`` lie, or all that the graph is made of."""
+    names = names or ("part", "orders", "customer", "supplier", "nation", "region", "pages", "lineitem")
+    return [f"{sf_dir}/{n}.parquet" for n in names]
+
+
 def _node(df: DataFrame, node_id, kind: str, name, path=None, line=None, **meta) -> DataFrame:
     none = F.lit(None).cast("string")
     return df.select(
@@ -38,11 +44,11 @@ CUSTOMER, SUPPLIER = ("=file:customer/", "c_mktsegment", "=/", "c_custkey"), ("=
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The graph's nodes, written once in an application as an index run would."""
-    return stored(spark, f"nodes of {sf_dir}", lambda: _nodes(spark, sf_dir))
+    return stored(spark, f"nodes of {sf_dir}", lambda: _nodes(spark, sf_dir), sources=paths(sf_dir))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, f"edges of {sf_dir}", lambda: _edges(spark, sf_dir))
+    return stored(spark, f"edges of {sf_dir}", lambda: _edges(spark, sf_dir), sources=paths(sf_dir))
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

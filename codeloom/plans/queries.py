@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codeloom.functions import text
+from codeloom.functions import lexicon, text
 from codeloom.operators import extract, fts, graph, hybrid, resolve, traverse, vectors
+from codeloom.operators.text_index import TextIndex
 from codeloom.plans import derived
 from codeloom.plans.derived import SQL as G
 from codeloom.plans.derived import table
 from codeloom.schema import kind_order, node_meta
 from codeloom.sources.files import describe, has_extension, is_test_path, matches_glob, not_ignored
-from codeloom.sources.staging import new_path, stored
+from codeloom.sources.staging import new_path, stored, stored_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -274,13 +275,10 @@ def _doc_fields(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("node_id"), F.lit("file").alias("kind"), F.coalesce("source", F.lit("")).alias("f_name"), F.coalesce("text", F.lit("")).alias("f_body"))
 
 
-def _doc_index(spark, sf_dir) -> DataFrame:
-    """Their postings, indexed once in an application and stored by term."""
-    return stored(spark, f"postings of {sf_dir}", lambda: fts.bucketed(fts.postings(_doc_fields(spark, sf_dir), ("name", "body"))), "bucket")
-
-
-def _doc_stats(spark, sf_dir) -> DataFrame:
-    return stored(spark, f"lengths of {sf_dir}", lambda: fts.doc_lengths(_doc_fields(spark, sf_dir), ("name", "body")))
+def _doc_index(spark, sf_dir) -> TextIndex:
+    """Their text index, made once in an application."""
+    index = lambda path: TextIndex(spark, path, ("name", "body"))
+    return index(stored_folder(spark, f"text index of {sf_dir}", lambda path: index(path).build(_doc_fields(spark, sf_dir)), derived.paths(sf_dir, "documents")))
 
 
 FOLD = f"translate(lower({{c}}), '{text.ACCENTED}', '{text.PLAIN}')"
@@ -307,21 +305,80 @@ def fts_docs_stats(spark, sf_dir):
     return terms.select(one.select("n_docs").scalar().alias("n_docs"), one.select("avgdl").scalar().alias("avgdl"), "n_terms", "n_tokens")
 
 
-def _bm25(name: str, weights: dict[str, float], weight_sql: str):
-    def run(spark, sf_dir):
-        found = fts.bm25(_doc_index(spark, sf_dir), _doc_stats(spark, sf_dir), list(TERMS), weights)
-        return found.select("node_id", F.round("bm25", 6).alias("score")).orderBy(F.desc("score"), "node_id").limit(25)
+def _best(index: TextIndex, terms, weights=None) -> DataFrame:
+    """The 25 best documents; scores are told apart to six places, so equals of the last one count."""
+    found, _ = index.top(list(terms), 25, weights, within=1e-5)
+    return found.select("node_id", F.round("bm25", 6).alias("score")).orderBy(F.desc("score"), "node_id").limit(25)
+
+
+BEST_SQL = " SELECT node_id, round(score, 6) AS score FROM sc ORDER BY score DESC, node_id LIMIT 25"
 
-    query(name, "WITH " + BM25.replace("@weight@", weight_sql).replace("@terms@", IN_TERMS) + " SELECT node_id, round(score, 6) AS score FROM sc ORDER BY score DESC, node_id LIMIT 25")(run)
+
+def _bm25(name: str, weights: dict[str, float], weight_sql: str):
+    query(name, "WITH " + BM25.replace("@weight@", weight_sql).replace("@terms@", IN_TERMS) + BEST_SQL)(lambda spark, sf_dir: _best(_doc_index(spark, sf_dir), TERMS, weights))
 
 
 _bm25("bm25_topk", {"name": 1, "body": 1}, "1")
 _bm25("bm25_weighted_fields", {"name": 10, "body": 1}, "CASE field WHEN 'name' THEN 10 ELSE 1 END")
 
 
+def _eight_fields(spark, sf_dir) -> DataFrame:
+    """Documents with something in all eight fields, word forms among them."""
+    d = table(spark, sf_dir, "documents")
+    body, source = F.coalesce("text", F.lit("")), F.coalesce("source", F.lit(""))
+    meta = node_meta(signature=F.concat(F.lit("read_"), "lang", F.lit("/"), source), docstring=F.substring(body, 1, 80), decorators=F.array("lang"), body_preview=body, neighbors=F.array(source))
+    nodes = d.select(F.col("doc_id").cast("string").alias("id"), F.lit("file").alias("kind"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), F.concat(F.lit("doc/"), source).alias("path"), meta.alias("meta"))
+    return fts.index_documents(nodes)
+
+
+def _sql_list(items) -> str:
+    return ", ".join(f"('{x}')" if isinstance(x, str) else str(x) for x in items)
+
+
+EIGHT = rf"""RAW AS (SELECT CAST(doc_id AS VARCHAR) AS node_id, 'doc' || doc_id AS f_name, 'read_' || lang || '/' || coalesce(source, '') AS f_signature, left(coalesce(text, ''), 80) AS f_docstring, lang AS f_decorators,
+    'doc/' || coalesce(source, '') AS f_path, coalesce(text, '') AS f_body, coalesce(source, '') AS f_neighbors FROM documents),
+VALS AS ({" UNION ALL ".join(f"SELECT node_id, '{f}' AS field, translate(f_{f}, '/.-', '   ') AS v FROM RAW" for f in fts.WEIGHTS if f != "morph")}),
+SPL AS (SELECT *, regexp_replace(translate(v, '_', ' '), '([a-z0-9])([A-Z])', ' ', 'g') AS s FROM VALS),
+PLAIN AS (SELECT node_id, field, unnest(regexp_extract_all({FOLD.format(c="CASE WHEN s = v THEN v ELSE v || ' ' || s END")}, '[\p{{L}}\p{{N}}\p{{Co}}_]+')) AS term FROM SPL),
+WORDS AS (SELECT DISTINCT node_id, lower(unnest(regexp_extract_all(regexp_replace(translate(concat_ws(' ', {", ".join(f"f_{f}" for f in fts.WEIGHTS if f != "morph")}), '_-/.', '    '), '([a-z0-9])([A-Z])', ' ', 'g'), '[A-Za-z][A-Za-z0-9]{{1,}}'))) AS token FROM RAW),
+VOC AS (SELECT DISTINCT token FROM WORDS),
+BASES AS (SELECT token, token AS base FROM VOC UNION SELECT token, base FROM VOC JOIN (VALUES {", ".join(f"('{k}', '{v}')" for k, vs in lexicon.FAMILIES.items() for v in vs)}) AS fam(token, base) USING (token)
+  UNION SELECT token, left(token, length(token) - length(e)) || p FROM VOC, (VALUES {_sql_list(lexicon.SUFFIXES)}) AS suf(e, p) WHERE suffix(token, e) AND length(token) > length(e) + 3),
+FORMS AS (SELECT DISTINCT token, {"replace(" * len(lexicon.DOUBLED)}base || e{"".join(f", '{a}', '{b}')" for a, b in lexicon.DOUBLED)} AS form FROM BASES, (VALUES {_sql_list(lexicon.ENDINGS)}) AS ends(e)),
+post AS (SELECT node_id, field, term, count(*) AS tf FROM PLAIN GROUP BY ALL UNION ALL SELECT DISTINCT node_id, 'morph', form, 1 FROM WORDS JOIN FORMS USING (token) WHERE length(form) > 1),
+st AS (SELECT node_id, sum(tf) AS n_tokens FROM post GROUP BY node_id), tot AS (SELECT count(*) AS n, sum(n_tokens) / count(*) AS avgdl FROM st)"""
+EIGHT_TERMS = ("the", "haed", "reads", "src3", "ands", "doc77")
+EIGHT_WEIGHT = "CASE field " + " ".join(f"WHEN '{f}' THEN {w}" for f, w in fts.WEIGHTS.items()) + " END"
+
+
+@query("bm25_eight_fields", "WITH " + BM25.replace(INDEX, EIGHT).replace("@weight@", EIGHT_WEIGHT).replace("@terms@", ", ".join(f"'{t}'" for t in EIGHT_TERMS)) + BEST_SQL)
+def bm25_eight_fields(spark, sf_dir):
+    """The best documents over all eight weighted fields, word forms among them, by spans whose bound reaches the floor."""
+    index = lambda path: TextIndex(spark, path)
+    path = stored_folder(spark, f"eight fields of {sf_dir}", lambda path: index(path).build(_eight_fields(spark, sf_dir)), derived.paths(sf_dir, "documents"))
+    return _best(index(path), EIGHT_TERMS)
+
+
+EDITED = "(SELECT doc_id, source, CASE WHEN doc_id % 10 = 3 THEN coalesce(text, '') || ' tion haed edited_' || doc_id ELSE text END AS text FROM documents WHERE doc_id % 20 <> 7)"
+
+
+@query("bm25_after_edits", "WITH " + BM25.replace("FROM documents", f"FROM {EDITED}").replace("@weight@", "1").replace("@terms@", "'the', 'haed', 'edited_13', 'tion'") + BEST_SQL)
+def bm25_after_edits(spark, sf_dir):
+    """The index after a tenth of the documents has changed and a twentieth is gone, without a rebuild."""
+    index, docs = lambda path: TextIndex(spark, path, ("name", "body")), _doc_fields(spark, sf_dir)
+    n = F.col("node_id").cast("long")
+
+    def build(path: str) -> None:
+        index(path).build(docs)
+        index(path).update(docs.where(n % 10 == 3).withColumn("f_body", F.concat("f_body", F.lit(" tion haed edited_"), "node_id")), docs.where(n % 20 == 7).select("node_id"))
+
+    path = stored_folder(spark, f"edited text index of {sf_dir}", build, derived.paths(sf_dir, "documents"))
+    return _best(index(path), ("the", "haed", "edited_13", "tion"), {"name": 1, "body": 1})
+
+
 @query("reference_and_search", f"WITH {INDEX} SELECT node_id FROM post WHERE term IN ('tion', 'ther', 'src3') GROUP BY node_id HAVING count(DISTINCT term) = 3")
 def reference_and_search(spark, sf_dir):
-    return fts.reference_hits(_doc_index(spark, sf_dir), "tion/ther_src3")
+    return fts.reference_hits(_doc_index(spark, sf_dir).of_terms(text.reference_terms("tion/ther_src3")), "tion/ther_src3")
 
 
 # ---- vectors and fusion ---------------------------------------------------------------------------
@@ -356,7 +413,8 @@ def knn_l2(spark, sf_dir):
     SELECT id, round(raw / max(raw) OVER (), 4) AS score, CASE WHEN k > 1 THEN 'hybrid' ELSE one END AS score_source FROM s""",
 )
 def rrf_fusion(spark, sf_dir):
-    a = fts.bm25(_doc_index(spark, sf_dir), _doc_stats(spark, sf_dir), list(TERMS), {"name": 1, "body": 1}).select(F.col("node_id").alias("id"), F.round("bm25", 6).alias("s")).orderBy(F.desc("s"), "id").limit(50)
+    found, _ = _doc_index(spark, sf_dir).top(list(TERMS), 50, {"name": 1, "body": 1}, within=1e-5)
+    a = found.select(F.col("node_id").alias("id"), F.round("bm25", 6).alias("s")).orderBy(F.desc("s"), "id").limit(50)
     a = a.select("id", F.lit("bm25").alias("source"), F.row_number().over(Window.partitionBy().orderBy(F.desc("s"), "id")).alias("rank"))
     b = table(spark, sf_dir, "documents").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(50)
     b = b.select(F.col("doc_id").cast("string").alias("id"), F.lit("length").alias("source"), F.row_number().over(Window.partitionBy().orderBy(F.desc("n_chars"), "doc_id")).alias("rank"))

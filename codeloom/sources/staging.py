@@ -37,12 +37,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stored(spark: SparkSession, key: str, build: Callable[[], DataFrame], by: str | None = None, sources: Iterable[str] = ()) -> DataFrame:
-    """The table of ``build()``, written once in an application and read by all that ask for ``key`` later,
-    in folders by the column ``by``.
+def stored_folder(spark: SparkSession, key: str, build: Callable[[str], None], sources: Iterable[str] = ()) -> str:
+    """The folder that ``build`` has filled, once in an application, for all that ask for ``key``.
 
-    ``sources`` are the paths that it is made from: when a file there has another name, length or time, the table is
-    made anew. At most ``MOST_STORED`` tables are kept; the one asked for longest ago goes first.
+    ``sources`` are the paths that it is made from: when a file there has another name, length or time, it is
+    made anew. At most ``MOST_STORED`` folders are kept; the one asked for longest ago goes first.
     """
     at = spark.sparkContext.applicationId, key
     made_of = tuple(shared_files.fingerprint(spark, p) for p in sources)
@@ -52,12 +51,21 @@ def stored(spark: SparkSession, key: str, build: Callable[[], DataFrame], by: st
         path = None
     if not path:
         path = new_path(spark, "stored")
-        writer = build().write
-        (writer.partitionBy(by) if by else writer).parquet(path)
+        build(path)
     _STORED[at] = path, made_of
     while len(_STORED) > MOST_STORED:
         (application, _), (old, _) = next(iter(_STORED.items()))
         if application == at[0]:
             shared_files.delete(spark, old)
         del _STORED[next(iter(_STORED))]
-    return spark.read.parquet(path)
+    return path
+
+
+def stored(spark: SparkSession, key: str, build: Callable[[], DataFrame], by: str | None = None, sources: Iterable[str] = ()) -> DataFrame:
+    """The table of ``build()`` in a ``stored_folder``, in folders by the column ``by``."""
+
+    def write(path: str) -> None:
+        writer = build().write
+        (writer.partitionBy(by) if by else writer).parquet(path)
+
+    return spark.read.parquet(stored_folder(spark, key, write, sources))
