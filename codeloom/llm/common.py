@@ -6,12 +6,11 @@ reach, so a lost executor costs at most the tasks it was running.
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from typing import TypeVar
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.sources.staging import new_path
@@ -19,22 +18,10 @@ from codeloom.sources.staging import new_path
 T = TypeVar("T")
 
 
-#: Seconds between collections of the driver's garbage by ``stage``.
-COLLECT_SECONDS = 3.0
-_collected = [0.0]
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here.
-
-    Spark deletes a job's shuffle files and broadcasts when the driver's garbage is collected, which a
-    driver with memory to spare seldom does. A table that ends the lineage is the time for it.
-    """
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    if time.monotonic() - _collected[0] > COLLECT_SECONDS:
-        df.sparkSession._jvm.System.gc()
-        _collected[0] = time.monotonic()
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._staged_at = path
     return back
@@ -107,20 +94,32 @@ def chunked_walk(items: Column, state: Column, step: Callable[[Column, Column],
     return let(items, walk)
 
 
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
+
+
+def rough_components(edges: DataFrame) -> DataFrame:
+    """(node, component) that holds nodes of one component together where they are two steps from the smallest id, and
+    never nodes of two: what stars around hubs need. Three aggregates, no rounds."""
+    least = _both_ways(edges.select("u", "v")).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    further = least.select(F.col("u").alias("m"), F.col("m").alias("component"))
+    return least.join(further, "m").select(F.col("u").alias("node"), "component")
+
+
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """Smallest reachable id of every node that has an edge: columns ``node``, ``component``.
 
-    Alternates the large-star and small-star contractions until every node has one parent and no
-    parent has one. A hub's neighbours are never gathered: its minimum is a map-side-combined
-    aggregate that is joined back.
+    Alternates the large-star and small-star contractions until the edges stay as they are, which the job
+    that writes them observes. A hub's neighbours are never gathered: its minimum is a map-side-combined aggregate that is joined back.
     """
-    now = stage(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct(), "cc")
-    while True:
-        roles = F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("child")), F.struct(F.col("v").alias("node"), F.lit(0).alias("child")))).alias("r")
-        seen = now.select(roles).select("r.*").groupBy("node").agg(F.sum("child").alias("parents"), F.min("child").alias("least"))
-        if seen.where("parents > 1 or (parents = 1 and least = 0)").isEmpty():
-            break
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+    def written(df: DataFrame) -> tuple[DataFrame, dict]:
+        seen = Observation()
+        return stage(df.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("mix")), "cc"), seen.get
+
+    now, mark = written(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct())
+    while mark["n"]:
+        both = _both_ways(now)
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # a node's own minimum, so that chains fold as well
@@ -133,9 +132,11 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
             .where("u <> v")
             .distinct()
         )
-        after = stage(small, "cc")
-        discard(now)
-        now = after
+        before, last = now, mark
+        now, mark = written(small)
+        discard(before)
+        if mark == last:
+            break
     out = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     out._staged_at = now._staged_at
     return out

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import connected_components, discard, mix64, shingle_set, stage, without
+from codeloom.llm.common import connected_components, discard, mix64, rough_components, shingle_set, stage, without
 
 #: 32 bands of 6 rows: a pair at similarity 0.8 shares a bucket with probability 0.99994.
 BANDS, ROWS = 32, 6
@@ -228,22 +228,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     # a star around the first of each bucket: one order for all, so a group has few hubs
     stars = buckets.where("rep <> hub").select("hub", F.col("rep").alias("doc")).distinct()
     links = stage(confirm(stars, texts, words, percent), "minhash-links")
-    classes = connected_components(links)
 
     # a star around a hub of the bucket's own, for members that are not in its component yet
-    now = stage(_open_buckets(buckets.select("key", "rep"), classes), "minhash-open")
+    now = stage(_open_buckets(buckets.select("key", "rep"), rough_components(links)), "minhash-open")
     drawn = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "rep").alias("order"), "rep", "class")).alias("h"))
     again = now.join(drawn, "key").where("class <> h.class").select(F.col("h.rep").alias("hub"), F.col("rep").alias("doc")).distinct()
     more = stage(links.unionByName(confirm(again, texts, words, percent)), "minhash-links")
-    discard(classes, links, buckets)
-    classes = connected_components(more)
+    discard(links, buckets)
 
     # members outside their bucket's largest component meet the other components' members
-    left = stage(_open_buckets(now.select("key", "rep"), classes), "minhash-open")
+    left = stage(_open_buckets(now.select("key", "rep"), rough_components(more)), "minhash-open")
     rest = compare_rest(left, reps.select("doc_id", "n_shingles", "bands", "bitmap"), texts, words, percent, bands)
     links = stage(more.unionByName(rest), "minhash-links")
     components = connected_components(links)
-    discard(now, left, classes, more, links, texts)
+    discard(now, left, more, links, texts)
     result = signed.select("doc_id", "n_shingles", "digest").join(alike, "digest", "left")
     result = result.join(components.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return result.select(
