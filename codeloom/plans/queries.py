@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import lexicon, text
 from codeloom.operators import extract, fts, graph, hybrid, resolve, traverse, vectors
 from codeloom.operators.text_index import TextIndex
+from codeloom.operators.vector_index import VectorIndex
 from codeloom.plans import derived
 from codeloom.plans.derived import SQL as G
 from codeloom.plans.derived import table
@@ -391,18 +392,51 @@ def _first_vector(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first().embedding
 
 
-@query("knn_cosine", f"SELECT vec_id, round(list_cosine_similarity([CAST(x AS DOUBLE) for x in embedding], [CAST(x AS DOUBLE) for x in {FIRST_VECTOR}]), 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 20")
+KNN_COSINE = f"SELECT vec_id, round(list_cosine_similarity([CAST(x AS DOUBLE) for x in embedding], [CAST(x AS DOUBLE) for x in {FIRST_VECTOR}]), 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 20"
+KNN_L2 = f"SELECT vec_id, round(list_distance([CAST(x AS DOUBLE) for x in embedding], [CAST(x AS DOUBLE) for x in {FIRST_VECTOR}]), 6) AS distance FROM embeddings ORDER BY distance, vec_id LIMIT 20"
+
+
+@query("knn_cosine", KNN_COSINE)
 def knn_cosine(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     return vectors.knn(e, _first_vector(spark, sf_dir), 20, "cosine", "vec_id", "embedding").select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query("knn_l2", f"SELECT vec_id, round(list_distance([CAST(x AS DOUBLE) for x in embedding], [CAST(x AS DOUBLE) for x in {FIRST_VECTOR}]), 6) AS distance FROM embeddings ORDER BY distance, vec_id LIMIT 20")
+@query("knn_l2", KNN_L2)
 def knn_l2(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     return vectors.knn(e, _first_vector(spark, sf_dir), 20, "l2", "vec_id", "embedding").select("vec_id", F.round("distance", 6).alias("distance"))
 
 
+def _vector_index(spark, sf_dir, metric: str) -> VectorIndex:
+    make = lambda path: VectorIndex(spark, path, 64, metric, "vec_id", "embedding")
+    return make(stored_folder(spark, f"{metric} index of {sf_dir}", lambda path: make(path).build(table(spark, sf_dir, "embeddings")), derived.paths(sf_dir, "embeddings")))
+
+
+@query("knn_cosine_indexed", KNN_COSINE)
+def knn_cosine_indexed(spark, sf_dir):
+    return _vector_index(spark, sf_dir, "cosine").search(_first_vector(spark, sf_dir), 20)[0].select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("knn_l2_indexed", KNN_L2)
+def knn_l2_indexed(spark, sf_dir):
+    return _vector_index(spark, sf_dir, "l2").search(_first_vector(spark, sf_dir), 20)[0].select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query("knn_after_upsert", KNN_L2.replace("FROM embeddings ORDER", "FROM (SELECT vec_id, CASE WHEN vec_id % 10 = 3 THEN [-x for x in embedding] ELSE embedding END AS embedding FROM embeddings WHERE vec_id % 20 <> 7) ORDER"))
+def knn_after_upsert(spark, sf_dir):
+    """Neighbours after a tenth of the vectors was turned round and a twentieth is gone, the rest of the index as it was."""
+    e = table(spark, sf_dir, "embeddings")
+
+    def build(path: str) -> None:
+        index = VectorIndex(spark, path, 64, "l2", "vec_id", "embedding")
+        index.build(e)
+        index.upsert(e.where("vec_id % 10 = 3").withColumn("embedding", F.transform("embedding", lambda x: -x)), e.where("vec_id % 20 = 7"))
+
+    path = stored_folder(spark, f"changed vectors of {sf_dir}", build, derived.paths(sf_dir, "embeddings"))
+    return VectorIndex(spark, path, 64, "l2", "vec_id", "embedding").search(_first_vector(spark, sf_dir), 20)[0].select("vec_id", F.round("distance", 6).alias("distance"))
+
+
 @query(
     "rrf_fusion",
     "WITH "
