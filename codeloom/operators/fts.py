@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import expand_query, fts_text, fts_tokens, identifier_tokens, morphology_table, reference_terms
+from codeloom.operators import trigrams
 from codeloom.schema import kind_order
 from codeloom.sources.files import matches_glob
+from codeloom.sources.layers import Layered
 
 WEIGHTS = {"name": 10, "signature": 5, "docstring": 4, "decorators": 5, "path": 2, "body": 1, "neighbors": 1, "morph": 1}
 K1, B = 1.2, 0.75
@@ -103,14 +105,18 @@ def bm25(index: DataFrame, stats: DataFrame, terms: list[str], weights: dict[str
 
 
 def search_bm25(nodes: DataFrame, index: DataFrame, stats: DataFrame, query: str, candidates: int = 32, kind: str | None = None, glob: str | None = None) -> DataFrame:
-    """Nodes with ``score`` and ``rank``: the best ``candidates`` by score, kind, path and name; the glob
-    filters after the cut, so ranks keep their places."""
-    terms = expand_query(query)
-    hits = bm25(index, stats, terms, kinds=kind).withColumn("score", F.round(F.col("bm25") * SCALE, 4))
+    """Nodes with ``score`` and ``rank``: the best ``candidates`` by the full score of all documents with any term."""
+    return ranked(nodes, bm25(index, stats, expand_query(query), kinds=kind), candidates, glob)
+
+
+def ranked(nodes: DataFrame, scored: DataFrame, candidates: int = 32, glob: str | None = None) -> DataFrame:
+    """Nodes of ``scored`` (node_id, bm25) with ``score`` and ``rank``: the best ``candidates`` by score, kind, path and
+    name; the glob filters after the cut, so ranks keep their places."""
+    hits = scored.withColumn("score", F.round(F.col("bm25") * SCALE, 4))
     order = [F.desc("bm25"), kind_order(), F.asc_nulls_first("path"), "name", "id"]
     top = nodes.join(hits, nodes.id == hits.node_id).drop("node_id").orderBy(*order).limit(candidates)
-    ranked = top.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(*order))).drop("bm25")
-    return ranked.where(matches_glob(F.col("path"), glob)) if glob else ranked
+    out = top.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(*order))).drop("bm25")
+    return out.where(matches_glob(F.col("path"), glob)) if glob else out
 
 
 def over_fetch(limit: int, glob: str | None = None) -> int:
@@ -124,9 +130,10 @@ def contains(c: Column, query: str) -> Column:
     return F.translate(c, upper, lower).like(pattern)
 
 
-def name_hits(nodes: DataFrame, query: str) -> DataFrame:
+def name_hits(nodes: DataFrame, query: str, grams: Layered | None = None) -> DataFrame:
+    """Nodes whose name, path or id contains ``query``; with a trigram index only its candidates are matched."""
     hit = contains(F.col("name"), query) | F.coalesce(contains(F.col("path"), query), F.lit(False)) | contains(F.col("id"), query)
-    return nodes.where(hit)
+    return trigrams.narrowed(nodes, grams, query).where(hit)
 
 
 def reference_hits(index: DataFrame, query: str) -> DataFrame:
@@ -136,9 +143,9 @@ def reference_hits(index: DataFrame, query: str) -> DataFrame:
     return found.where(F.col("n") == len(set(terms))).where(F.lit(bool(terms))).select("node_id")
 
 
-def search(nodes: DataFrame, index: DataFrame, query: str, limit: int = 20) -> DataFrame:
+def search(nodes: DataFrame, index: DataFrame, query: str, limit: int = 20, grams: Layered | None = None) -> DataFrame:
     """Nodes with ``match``: those whose name, path or id contains the query, then those that refer to it."""
-    by_name = name_hits(nodes, query).withColumn("match", F.lit("name"))
+    by_name = name_hits(nodes, query, grams).withColumn("match", F.lit("name"))
     refers = nodes.join(reference_hits(index, query), F.col("id") == F.col("node_id"), "left_semi").join(by_name.select("id"), "id", "left_anti")
     both = by_name.unionByName(refers.withColumn("match", F.lit("reference")))
     branch = F.when(F.col("match") == "name", 0).otherwise(1)

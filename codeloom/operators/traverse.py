@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.operators.fts import contains
+from codeloom.operators import trigrams
+from codeloom.operators.fts import contains, name_hits
 from codeloom.schema import kind_order, kind_rank
+from codeloom.sources.layers import Layered
 from codeloom.sources.staging import stage
 
 MAX_HOPS = 10
@@ -21,9 +23,10 @@ def not_vendored(path: Column) -> Column:
     return path.isNull() | ~path.rlike(r"(?i)(^|/)(\.venv|venv|vendor|node_modules)/")
 
 
-def resolve_targets(nodes: DataFrame, value: str, limit: int = 25) -> DataFrame:
+def resolve_targets(nodes: DataFrame, value: str, limit: int = 25, grams: Layered | None = None) -> DataFrame:
     """Nodes that ``value`` means: by id, path or name; else by an id whose prefix was left out; else by
-    ``path:symbol``; else by a part of name, path or id. One job: the first stage that has rows wins."""
+    ``path:symbol``; else by a part of name, path or id, for which a trigram index names the candidates.
+    One job: the first stage that has rows wins."""
     if not value:
         return nodes.limit(0)
     exact = (F.col("id") == value) | F.coalesce(F.col("path") == value, F.lit(False)) | F.coalesce(F.col("name") == value, F.lit(False))
@@ -34,13 +37,13 @@ def resolve_targets(nodes: DataFrame, value: str, limit: int = 25) -> DataFrame:
     head, _, tail = value.rpartition(":")
     if head and not value.startswith(ALL_PREFIXES):
         stage = stage.when((F.col("kind") == "symbol") & (F.col("path") == head) & (F.col("name") == tail), 4)
-    fragment = contains(F.col("name"), value) | F.coalesce(contains(F.col("path"), value), F.lit(False)) | contains(F.col("id"), value)
-    staged = nodes.withColumn("stage", stage.when(fragment, 5)).where("stage is not null")
+    exactly = nodes.withColumn("stage", stage).where("stage is not null")
+    # only the last stage is cut, and it is the only one that may be long
+    parts = name_hits(nodes, value, grams).orderBy(kind_order(), "name", "id").limit(limit).withColumn("stage", F.lit(5))
+    staged = exactly.unionByName(parts)
     best = staged.agg(F.min("stage")).scalar()
     order = F.row_number().over(Window.partitionBy("stage").orderBy(kind_order(), "name", "id"))
-    # only the last stage is cut, and it is the only one that may be long
-    parts = staged.where("stage < 5").unionByName(staged.where("stage = 5").orderBy(kind_order(), "name", "id").limit(limit))
-    return parts.where(F.col("stage") == best).withColumn("nth", order).where((F.col("stage") < 5) | (F.col("nth") <= limit)).drop("stage", "nth")
+    return staged.where(F.col("stage") == best).withColumn("nth", order).where((F.col("stage") < 5) | (F.col("nth") <= limit)).drop("stage", "nth")
 
 
 def best_match(targets: DataFrame) -> DataFrame:
@@ -103,8 +106,8 @@ def related_tests(nodes: DataFrame, edges: DataFrame, ids: DataFrame, limit: int
     return rows.select(*nodes.columns).dropDuplicates(["id"]).orderBy(F.asc_nulls_first("path"), "name", "id").limit(limit)
 
 
-def symbols(nodes: DataFrame, name: str, limit: int = 20) -> DataFrame:
-    return nodes.where((F.col("kind") == "symbol") & contains(F.col("name"), name)).orderBy("name", "id").limit(limit)
+def symbols(nodes: DataFrame, name: str, limit: int = 20, grams: Layered | None = None) -> DataFrame:
+    return trigrams.narrowed(nodes, grams, name, ("name",)).where((F.col("kind") == "symbol") & contains(F.col("name"), name)).orderBy("name", "id").limit(limit)
 
 
 def default_trace_limit(max_hops: int) -> int:
@@ -147,7 +150,7 @@ def trace_hops(nodes: DataFrame, edges: DataFrame, start: DataFrame, max_hops: i
     return out
 
 
-def trace(nodes: DataFrame, edges: DataFrame, source: str, target: str | None = None, max_hops: int = 3, limit: int | None = None, vendor: bool = False) -> tuple[DataFrame, DataFrame]:
+def trace(nodes: DataFrame, edges: DataFrame, source: str, target: str | None = None, max_hops: int = 3, limit: int | None = None, vendor: bool = False, grams: Layered | None = None) -> tuple[DataFrame, DataFrame]:
     """(paths, counts) of a trace from ``source``.
 
     ``paths`` are the ones that reach ``target`` (any without one, or if it means nothing), ``limit`` per
@@ -156,11 +159,11 @@ def trace(nodes: DataFrame, edges: DataFrame, source: str, target: str | None =
     """
     max_hops = max(1, min(int(max_hops), MAX_HOPS))
     limit = default_trace_limit(max_hops) if limit is None else max(1, int(limit))
-    starts = symbol_ids(stage(resolve_targets(nodes, source), "trace-source")).join(nodes.select("id", "kind", "path", "name"), "id")
+    starts = symbol_ids(stage(resolve_targets(nodes, source, grams=grams), "trace-source")).join(nodes.select("id", "kind", "path", "name"), "id")
     start = starts.withColumn("place", F.row_number().over(Window.partitionBy().orderBy(kind_rank(), F.coalesce("path", F.lit("")), "name", "id")))
     explored = hits = trace_hops(nodes, edges, stage(start.select("id", "place"), "trace-start"), max_hops, vendor)
     if target:
-        goals = stage(resolve_targets(nodes, target).select("id", "kind", "path"), "trace-target")
+        goals = stage(resolve_targets(nodes, target, grams=grams).select("id", "kind", "path"), "trace-target")
         if not goals.isEmpty():
             ids = goals.select(F.col("id").alias("last"))
             files = goals.where("kind = 'file'").select(F.col("path").alias("dst_path")).distinct()

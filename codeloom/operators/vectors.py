@@ -141,16 +141,16 @@ def knn(embeddings: DataFrame, query: list[float] | Column, k: int, metric: str
     return scored.withColumn("score", 1 / (1 + F.col("distance"))).orderBy("distance", key).limit(k)
 
 
-def search(nodes: DataFrame, embeddings: DataFrame, query: list[float], candidates: int, metric: str = "l2", kind: str | None = None, glob: str | None = None, prefilter: bool = False) -> DataFrame:
+def search(nodes: DataFrame, embeddings: DataFrame, query: list[float], candidates: int, metric: str = "l2", kind: str | None = None, glob: str | None = None, prefilter: bool = False, near: DataFrame | None = None) -> DataFrame:
     """Nodes with score and rank by distance. Kind and glob filter what the neighbours are, after the cut,
-    unless ``prefilter`` asks for them before it."""
+    unless ``prefilter`` asks for them before it. ``near`` are the neighbours, if an index has found them."""
     wanted = nodes
     if kind:
         wanted = wanted.where(F.col("kind") == kind)
     if glob:
         wanted = wanted.where(matches_glob(F.col("path"), glob))
     pool = embeddings.join(wanted.select(F.col("id").alias("node_id")), "node_id", "left_semi") if prefilter else embeddings
-    near = knn(pool, query, candidates, metric)
+    near = knn(pool, query, candidates, metric) if near is None else near
     order = [F.desc("raw"), kind_rank(), F.coalesce("path", F.lit("")), "name", "id"]
     found = wanted.join(near.select(F.col("node_id").alias("id"), F.col("score").alias("raw"), *(["distance"] if metric == "l2" else [])), "id")
     out = found.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(*order))).withColumn("score", F.round("raw", 4)).drop("raw")

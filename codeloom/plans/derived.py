@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.operators import trigrams
 from codeloom.schema import edge_meta, node_meta
-from codeloom.sources.staging import stored
+from codeloom.sources.layers import Layered
+from codeloom.sources.staging import stored, stored_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +53,11 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, f"edges of {sf_dir}", lambda: _edges(spark, sf_dir), sources=paths(sf_dir))
 
 
+def grams(spark: SparkSession, sf_dir: str) -> Layered:
+    """The nodes' trigram index."""
+    return trigrams.table(spark, stored_folder(spark, f"trigrams of {sf_dir}", lambda path: trigrams.table(spark, path).write(trigrams.rows(nodes(spark, sf_dir))), paths(sf_dir)))
+
+
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
     host = F.regexp_extract("url", HOST, 1)

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.functions.text import expand_query
-from codeloom.operators import extract, fts, graph, hybrid, providers, traverse, vectors
+from codeloom.functions.text import expand_query, reference_terms
+from codeloom.operators import extract, fts, graph, hybrid, providers, traverse, trigrams, vectors
+from codeloom.operators.text_index import TextIndex
+from codeloom.operators.vector_index import VectorIndex
 from codeloom.schema import EDGES, EMBEDDINGS, NODES, compact_meta
 from codeloom.sources import catalog, files
+from codeloom.sources.layers import Layered
+from codeloom.sources.staging import discard, stage
 
 
 def _checked(limit: int) -> int:
@@ -38,6 +43,8 @@ class Engine:
     def __init__(self, spark: SparkSession, config: catalog.Config):
         self.spark, self.config = spark, config
         self.tables = catalog.Tables(spark, config.tables)
+        self.text = TextIndex(spark, f"{config.tables}/text")
+        self.grams = trigrams.table(spark, f"{config.tables}/trigrams")
 
     @classmethod
     def open(cls, spark: SparkSession, repo: str) -> Engine:
@@ -53,11 +60,26 @@ class Engine:
         if source is None:
             source = files.scan(self.spark, self.config.repo, tuple(self.config.extensions), tuple(self.config.ignore))
         commit = catalog.current_commit(self.config.repo)
-        nodes, edges = graph.assemble(source, extract.extract(source), self.config.features)
-        if not reset and self.tables.exists():
-            nodes, edges = graph.merge_nodes(self.nodes, nodes), graph.merge_edges(self.edges, edges)
-        self.tables.write(nodes=nodes, edges=edges)
-        self._write_index()
+        # read and parsed once; nodes and edges take their parts from the records
+        source = stage(source.select("path", "content"), "files")
+        records = stage(extract.extract(source), "records")
+        nodes, edges = graph.assemble(source, records, self.config.features)
+        self.tables.migrate()
+        before = self.tables.read("nodes") if self.text.exists() and self.grams.exists() else None
+        if reset or not self.tables.exists():
+            self.tables.write(nodes=nodes, edges=edges)
+            if before is None:
+                self._build_index()
+            else:
+                self._change_index(self.nodes, before.join(self.nodes, "id", "left_anti").select("id"), before)
+        else:
+            known = self.edges.select(*self.tables.KEYS["edges"])
+            self.tables.change(nodes=(nodes, None), edges=(edges.join(known, self.tables.KEYS["edges"], "left_anti"), None))
+            if before is None:
+                self._build_index()
+            else:
+                self._change_index(self.nodes.join(nodes.select("id"), "id", "left_semi"), nodes.select("id").limit(0), before)
+        discard(source, records)
         counts = self.stats()
         stamp = time.time()
         result = {"files": counts.get("file", 0) + counts.get("test", 0), "symbols": counts.get("symbol", 0), **counts}
@@ -68,13 +90,51 @@ class Engine:
             catalog.Registry().register(self.config.repo, tables=self.config.tables)
         return result
 
-    def _write_index(self) -> None:
-        documents = fts.index_documents(self.tables.read("nodes"))
-        self.tables.write(postings=fts.postings(documents))
-        self.tables.write(doc_stats=fts.doc_stats(self.tables.read("postings")))
+    def _build_index(self) -> None:
+        self.text.build(fts.index_documents(self.nodes))
+        self.grams.write(trigrams.rows(self.nodes))
+
+    def _change_index(self, nodes: DataFrame, gone: DataFrame, before: DataFrame) -> None:
+        """Index what differs between ``nodes`` and ``before``, and forget ``gone`` (id)."""
+        state = F.xxhash64(*NODES.names).alias("state")
+        differs = nodes.select("*", state).join(before.select("id", state), ["id", "state"], "left_anti").drop("state")
+        changed, gone = stage(differs.select(*NODES.names), "changed"), stage(gone, "gone")
+        if not changed.isEmpty() or not gone.isEmpty():
+            self.text.update(fts.index_documents(changed), gone.withColumnRenamed("id", "node_id"))
+            self.grams.change(trigrams.rows(changed), changed.select("id").unionByName(gone))
+        discard(changed, gone)
+
+    # ---- vectors ----------------------------------------------------------------------------
+
+    @property
+    def metric(self) -> str:
+        """``l2`` or ``cosine``, by the configuration."""
+        return self.config.embed.get("metric", "l2")
+
+    @property
+    def backend(self) -> str:
+        """``indexed`` or ``brute-force``, by the configuration; both find the same neighbours."""
+        return self.config.embed.get("backend", "indexed")
+
+    def _vector_index(self, provider: str, model: str, dimensions: int, metric: str) -> VectorIndex:
+        name = re.sub("[^A-Za-z0-9]+", "-", f"{provider}-{model}-{dimensions}-{metric}")
+        return VectorIndex(self.spark, f"{self.config.tables}/vectors/{name}", dimensions, metric)
+
+    def _of(self, provider: str, model: str) -> DataFrame:
+        return self.embeddings.where((F.col("provider") == provider) & (F.col("model") == model))
+
+    def neighbours(self, vector: list[float], k: int, provider: str, model: str, metric: str | None = None, backend: str | None = None) -> DataFrame:
+        """The ``k`` nearest of the vectors of one provider and model, by the index where there is one for the metric."""
+        metric, backend = metric or self.metric, backend or self.backend
+        if backend not in ("indexed", "brute-force"):
+            raise ValueError(f"no such backend: {backend}")
+        index = self._vector_index(provider, model, len(vector), metric)
+        if backend == "indexed" and index.exists():
+            return index.search(vector, k)[0]
+        return vectors.knn(self._of(provider, model), vector, k, metric)
 
     def embed(self, model: str = vectors.MODEL, dimensions: int = vectors.DIMENSIONS, force: bool = False, provider: vectors.Provider | None = None) -> dict:
-        """Vectors for all nodes whose text has none yet; others keep theirs.
+        """Vectors for all nodes whose text has none yet; others keep theirs. Lengths of 0 are the provider's own.
 
         A provider that fails gives way to the local hash, and the result says so.
         """
@@ -85,17 +145,30 @@ class Engine:
             except Exception as e:  # noqa: BLE001  any failure of a remote service is a reason to go on locally
                 name, reason, provider = "local", str(e), None
         model = provider.model if provider else model
-        documents = vectors.semantic_text(self.nodes)
-        old = self.embeddings.where((F.col("provider") == name) & (F.col("model") == model) & (F.col("dimensions") == dimensions))
-        wanted = documents if force else graph.pending(documents, old)
-        made = (vectors.embed_remote(wanted, provider) if provider else vectors.embed(wanted, model, dimensions)).join(wanted.select("node_id", "content_sha1"), "node_id")
-        new = made.select("node_id", F.lit(name).alias("provider"), F.lit(model).alias("model"), F.size("vector").alias("dimensions"), "content_sha1", "vector", F.current_timestamp().alias("updated_at"))
-        current = old.join(documents.select("node_id", "content_sha1"), ["node_id", "content_sha1"], "left_semi").select(*new.columns)
-        others = self.embeddings.join(old.select("node_id", "provider", "model"), ["node_id", "provider", "model"], "left_anti").select(*new.columns)
-        kept = current if not force else current.limit(0)
-        self.tables.write(embeddings=others.unionByName(kept).unionByName(new))
-        total, skipped = documents.count(), kept.count()
-        result = {"provider": name, "model": model, "documents": total, "embedded": total - skipped, "skipped": skipped, "fallback": reason is not None}
+        if not provider and dimensions <= 0:
+            dimensions = vectors.DIMENSIONS
+        documents = stage(vectors.semantic_text(self.nodes), "texts")
+        old = self._of(name, model)
+        fitting = old.where(F.col("dimensions") == dimensions) if dimensions > 0 else old
+        wanted = documents if force else graph.pending(documents, fitting)
+        made = vectors.embed_remote(wanted, provider) if provider else vectors.embed(wanted, model, dimensions)
+        # a service is asked once for a text, whatever reads the answer
+        new = stage(made.join(wanted.select("node_id", "content_sha1"), "node_id").select("node_id", F.lit(name).alias("provider"), F.lit(model).alias("model"), F.size("vector").alias("dimensions"), "content_sha1", "vector", F.current_timestamp().alias("updated_at")), "vectors")
+        gone = stage(old.join(documents, "node_id", "left_anti").select(*self.tables.KEYS["embeddings"]), "gone")
+        known = self.tables.read("embeddings") is not None
+        embedded, vanished = new.count(), gone.count()
+        if embedded or vanished or not known:
+            self.tables.change(embeddings=(new, new.select(*gone.columns).unionByName(gone)))
+        if self.backend == "indexed":
+            for (size,) in new.select("dimensions").distinct().collect() or ([(dimensions,)] if vanished and dimensions > 0 else []):
+                index = self._vector_index(name, model, size, self.metric)
+                if index.exists():
+                    index.upsert(new.where(F.col("dimensions") == size).select("node_id", "vector"), gone.select("node_id"))
+                else:
+                    index.build(self._of(name, model).select("node_id", "vector"))
+        total = documents.count()
+        discard(documents, new, gone)
+        result = {"provider": name, "model": model, "documents": total, "embedded": embedded, "skipped": total - embedded, "fallback": reason is not None}
         if reason:
             result["fallback_reason"] = reason
         self.tables.set(last_embed=result, embedded_snapshot=self.tables.state()["snapshots"].get("nodes"))
@@ -123,12 +196,12 @@ class Engine:
     def embeddings(self) -> DataFrame:
         return self._table("embeddings", EMBEDDINGS)
 
-    def _index_tables(self) -> tuple[DataFrame, DataFrame]:
-        """Postings and document lengths, made anew where they are missing or of an older layout."""
+    def _indexed(self) -> tuple[TextIndex, Layered]:
+        """Text and trigram index, made anew where they are missing or of an older layout."""
         self.tables.migrate()
-        if self.tables.read("postings") is None:
-            self._write_index()
-        return self.tables.read("postings"), self.tables.read("doc_stats")
+        if not self.text.exists() or not self.grams.exists():
+            self._build_index()
+        return self.text, self.grams
 
     # ---- queries ----------------------------------------------------------------------------
 
@@ -143,26 +216,34 @@ class Engine:
         return out
 
     def search(self, term: str, limit: int = 20) -> list[dict]:
-        return self._rows(fts.search(self.nodes, self._index_tables()[0], term, _checked(limit)))
-
-    def semantic(self, query: str, limit: int = 8, kind: str | None = None, glob: str | None = None, group: bool = True, vector: list[float] | None = None) -> list[dict]:
-        """Hybrid search; with ``vector``, from a provider that embedded the nodes too, its neighbours alone."""
+        index, grams = self._indexed()
+        return self._rows(fts.search(self.nodes, index.of_terms(reference_terms(term)), term, _checked(limit), grams))
+
+    def semantic(
+        self, query: str, limit: int = 8, kind: str | None = None, glob: str | None = None, group: bool = True, vector: list[float] | None = None,
+        provider: str = "local", model: str = vectors.MODEL, metric: str | None = None, backend: str | None = None,
+    ) -> list[dict]:
+        """Hybrid search; with ``vector``, its neighbours among the vectors of ``provider`` and ``model`` alone."""
         _checked(limit)
+        metric = metric or self.metric
+
+        def near(v: list[float], k: int) -> DataFrame:
+            return vectors.search(self.nodes, self.embeddings, v, k, metric, kind=kind, glob=glob, near=self.neighbours(v, k, provider, model, metric, backend))
+
         if vector is not None:
-            same = self.embeddings.where(F.size("vector") == len(vector))
-            found = vectors.search(self.nodes, same, vector, max(limit * 8, 100), kind=kind, glob=glob).withColumn("place", F.col("rank")).drop("rank")
+            found = near(vector, max(limit * 8, 100)).withColumn("place", F.col("rank")).drop("rank")
             return self._rows(self._shape(found, limit, group))
-        if not expand_query(query) or not limit:
+        terms = expand_query(query)
+        if not terms or not limit:
             return []
         candidates = fts.over_fetch(limit, glob)
-        index, stats = self._index_tables()
-        lexical = fts.search_bm25(self.nodes, index, stats, query, candidates, kind, glob)
-        local = (F.col("provider") == "local") & (F.col("model") == vectors.MODEL)
+        index, _ = self._indexed()
+        lexical = fts.ranked(self.nodes, index.top(terms, candidates, kind=kind)[0], candidates, glob)
         if self.tables.get("embedded_snapshot") != self.tables.state()["snapshots"].get("nodes"):
             self.embed()
-        near = vectors.search(self.nodes, self.embeddings.where(local), vectors.embed_query(self.spark, query), max(candidates * 8, 100), kind=kind, glob=glob).where(F.col("rank") <= candidates)
-        fused = hybrid.fuse(self.nodes, lexical, near, limit * 3).withColumn("snippet", fts.hit_snippet(expand_query(query)))
-        return self._rows(self._shape(fused, limit, group))
+        provider, model = "local", vectors.MODEL
+        fused = hybrid.fuse(self.nodes, lexical, near(vectors.embed_query(self.spark, query), max(candidates * 8, 100)).where(F.col("rank") <= candidates), limit * 3)
+        return self._rows(self._shape(fused.withColumn("snippet", fts.hit_snippet(terms)), limit, group))
 
     def ask(self, query: str, limit: int = 8, kind: str | None = None, glob: str | None = None, group: bool = True, provider: str | None = None, model: str | None = None, term_only: bool = False) -> list[dict]:
         """``semantic`` as a user asks it: by the vectors of the provider that embedded the nodes last (or of the
@@ -176,7 +257,7 @@ class Engine:
             if name != "local" and not self.embeddings.where((F.col("provider") == name) & (F.col("model") == chosen)).isEmpty():
                 try:
                     vector = providers.connect(name, chosen, size).embed([query])[0]
-                    return self.semantic(query, limit, kind, glob, group, vector)
+                    return self.semantic(query, limit, kind, glob, group, vector, name, chosen)
                 except Exception as e:  # noqa: BLE001  any failure of a remote service is a reason to go on locally
                     failure = str(e)
         found = self.semantic(query, limit, kind, glob, group)
@@ -186,10 +267,10 @@ class Engine:
         return (hybrid.group_by_file(found, limit) if group else found.orderBy("place").limit(limit)).drop("place")
 
     def symbols(self, name: str, limit: int = 20) -> list[dict]:
-        return self._rows(traverse.symbols(self.nodes, name, _checked(limit)))
+        return self._rows(traverse.symbols(self.nodes, name, _checked(limit), self._indexed()[1]))
 
     def targets(self, value: str) -> DataFrame:
-        return traverse.resolve_targets(self.nodes, value)
+        return traverse.resolve_targets(self.nodes, value, grams=self._indexed()[1])
 
     def _target(self, value: str) -> tuple[dict | None, list[dict]]:
         found = self.targets(value)
@@ -223,7 +304,7 @@ class Engine:
             return {"source": None, "target": None, "paths": []}
         goal, goals = self._target(target) if target else (None, [])
         hops = max(1, min(int(max_hops), traverse.MAX_HOPS))
-        paths, counts = traverse.trace(self.nodes, self.edges, source, target, hops, limit, vendor)
+        paths, counts = traverse.trace(self.nodes, self.edges, source, target, hops, limit, vendor, self._indexed()[1])
         found, total = paths.collect(), counts.first()
         ids = sorted({i for p in found for i in p.path} | {x["id"] for x in (start, goal) if x})
         shown = self._rows(self.nodes.where(F.col("id").isin(ids)))
@@ -279,11 +360,10 @@ class Engine:
 
     def stats(self) -> dict:
         out = {r.key: r.n for r in graph.stats(self.nodes, self.edges, self.embeddings).collect()}
-        return out | {"vector_backend": "brute-force l2"}
+        return out | {"vector_backend": f"{self.backend} {self.metric}"}
 
     def status(self) -> dict:
-        index = self.tables.read("doc_stats")
-        health = graph.fts_health(self.nodes, index.count() if index is not None else 0)
+        health = graph.fts_health(self.nodes, self.text.totals()[0] if self.text.exists() else 0)
         commit, indexed = catalog.current_commit(self.config.repo), self.tables.get("indexed_at")
         return {
             "repo": self.config.repo,

@@ -70,7 +70,7 @@ def graph_stats(spark, sf_dir):
 
 @query("symbols_like", f"WITH {G} SELECT id, name, path, line FROM nodes WHERE kind = 'symbol' AND lower(name) LIKE '%ing%' ORDER BY name, id LIMIT 20")
 def symbols_like(spark, sf_dir):
-    return traverse.symbols(derived.nodes(spark, sf_dir), "ING", 20).select("id", "name", "path", "line")
+    return traverse.symbols(derived.nodes(spark, sf_dir), "ING", 20, derived.grams(spark, sf_dir)).select("id", "name", "path", "line")
 
 
 @query(
@@ -79,7 +79,12 @@ def symbols_like(spark, sf_dir):
     ORDER BY {KIND_SQL}, name, id LIMIT 50""",
 )
 def search_like_ranked(spark, sf_dir):
-    return fts.name_hits(derived.nodes(spark, sf_dir), "R_1").orderBy(kind_order(), "name", "id").limit(50).select(*NODE)
+    return fts.name_hits(derived.nodes(spark, sf_dir), "R_1", derived.grams(spark, sf_dir)).orderBy(kind_order(), "name", "id").limit(50).select(*NODE)
+
+
+@query("search_wildcards", f"WITH {G} SELECT id, kind, name, path, line FROM nodes WHERE lower(name) LIKE '%mer#%0_7%' OR lower(path) LIKE '%mer#%0_7%' OR lower(id) LIKE '%mer#%0_7%'")
+def search_wildcards(spark, sf_dir):
+    return fts.name_hits(derived.nodes(spark, sf_dir), "MER#%0_7", derived.grams(spark, sf_dir)).select(*NODE)
 
 
 @query("kind_filter", f"WITH {G} SELECT id, name FROM nodes WHERE kind = 'route'")
@@ -141,7 +146,7 @@ def _target(name: str, value: str, condition: str):
     sql = f"WITH {G} SELECT id, kind, name, path, line FROM nodes WHERE {condition}"
 
     def run(spark, sf_dir):
-        return traverse.resolve_targets(derived.nodes(spark, sf_dir), value).select(*NODE)
+        return traverse.resolve_targets(derived.nodes(spark, sf_dir), value, grams=derived.grams(spark, sf_dir)).select(*NODE)
 
     query(name, sql)(run)
 

@@ -1,7 +1,6 @@
 """Configuration, the registry of repositories, snapshots of tables, metadata and staleness.
 
-These are small driver-side files. Tables are Parquet snapshots: a write makes a new folder and then
-moves a pointer file, so readers see one whole snapshot or the next.
+Configuration and registry are small files of the user's machine. Tables may lie in any store that Spark reads.
 """
 
 from __future__ import annotations
@@ -16,13 +15,15 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codeloom.sources import shared_files
 from codeloom.sources.files import EXTENSIONS, IGNORES
+from codeloom.sources.layers import Conflict, Layered, hash_bucket
 
 CONFIG_FILE = "codeloom.config.json"
 LOCAL_DIR = ".codeloom"
 HOME_ENV, REPO_ENV = "CODELOOM_HOME", "CODELOOM_REPO"
 WATCH_SECONDS = 300
-SCHEMA_VERSION = 2
+SCHEMA_VERSION = 3
 
 
 @dataclass
@@ -154,28 +155,42 @@ def current_commit(repo: str) -> str | None:
 
 
 class Tables:
-    """Snapshots of a repository's tables below one folder, and their metadata."""
+    """A repository's tables below one folder, in any store that Spark reads: nodes, edges and embeddings as layered tables,
+    and metadata. A numbered state file names the tables' manifests that belong together, so readers see one whole
+    snapshot or the next, and a change writes only what it changes."""
 
-    NAMES = ("nodes", "edges", "postings", "doc_stats", "embeddings")
+    KEYS = {"nodes": ["id"], "edges": ["src", "dst", "kind"], "embeddings": ["node_id", "provider", "model"]}
+    BUCKETS = 64
+    #: What can be made from nodes and edges: folders, and layered tables.
+    DERIVED = ("text", "trigrams", "vectors")
+    #: States that stay behind the last one.
+    KEPT = 4
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self.layered = {name: Layered(spark, f"{self.folder}/{name}", key, hash_bucket(key[0], self.BUCKETS)) for name, key in self.KEYS.items()}
 
-    @property
-    def _pointer(self) -> Path:
-        return Path(self.folder) / "pointer.json"
+    def _numbers(self) -> list[int]:
+        return sorted(int(n[6:-5]) for n in shared_files.names(self.spark, self.folder) if n.startswith("state-") and n.endswith(".json"))
+
+    def _path(self, number: int) -> str:
+        return f"{self.folder}/state-{number:09d}.json"
 
     def state(self) -> dict:
+        """The last state; an empty one where there is none, or where it can't be read."""
+        numbers = self._numbers()
         try:
-            return json.loads(self._pointer.read_text())
-        except (OSError, ValueError):
+            return json.loads(shared_files.read(self.spark, self._path(numbers[-1]))) if numbers else {"snapshots": {}, "meta": {}}
+        except ValueError:
             return {"snapshots": {}, "meta": {}}
 
     def _save(self, state: dict) -> None:
-        Path(self.folder).mkdir(parents=True, exist_ok=True)
-        new = self._pointer.with_suffix(f".{uuid.uuid4().hex}")
-        new.write_text(json.dumps(state, sort_keys=True))
-        new.replace(self._pointer)
+        numbers = self._numbers()
+        number = max(numbers, default=0) + 1
+        if not shared_files.write_once(self.spark, self._path(number), json.dumps(state, sort_keys=True)):
+            raise Conflict(self.folder)
+        for old in numbers[: 1 - self.KEPT]:
+            shared_files.delete(self.spark, self._path(old))
 
     def exists(self) -> bool:
         return "nodes" in self.state()["snapshots"]
@@ -184,15 +199,21 @@ class Tables:
         """New snapshots of the given tables, seen together once all are written."""
         state = self.state()
         for name, df in tables.items():
-            path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
-            df.write.parquet(path)
-            state["snapshots"][name] = path
+            state["snapshots"][name] = self.layered[name].write(df)
+        state["meta"] |= {"schema_version": SCHEMA_VERSION}
+        self._save(state)
+
+    def change(self, **tables: tuple[DataFrame, DataFrame | None]) -> None:
+        """(rows, keys) of the given tables in place of the rows of these keys; what is not touched stays as it lies."""
+        state = self.state()
+        for name, (rows, keys) in tables.items():
+            state["snapshots"][name] = self.layered[name].change(rows, keys, state["snapshots"].get(name))
         state["meta"] |= {"schema_version": SCHEMA_VERSION}
         self._save(state)
 
     def read(self, name: str) -> DataFrame | None:
-        path = self.state()["snapshots"].get(name)
-        return self.spark.read.parquet(path) if path else None
+        number = self.state()["snapshots"].get(name)
+        return self.layered[name].read(number=number) if number else None
 
     def get(self, key: str, default=None):
         return self.state()["meta"].get(key, default)
@@ -203,10 +224,12 @@ class Tables:
         self._save(state)
 
     def drop_derived(self) -> None:
-        """Forget tables that can be made from nodes and edges; also what a newer layout asks for."""
+        """Forget what can be made from nodes and edges; also what a newer layout asks for."""
         state = self.state()
         state["snapshots"] = {k: v for k, v in state["snapshots"].items() if k in ("nodes", "edges")}
         self._save(state)
+        for name in self.DERIVED:
+            shared_files.delete(self.spark, f"{self.folder}/{name}")
 
     def migrate(self) -> bool:
         old = self.exists() and self.get("schema_version") != SCHEMA_VERSION

@@ -34,7 +34,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read back: lineage ends here."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._staged_at = path
+    return back
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in staged:
+        shared_files.delete(df.sparkSession, df._staged_at)
 
 
 def stored_folder(spark: SparkSession, key: str, build: Callable[[str], None], sources: Iterable[str] = ()) -> str:
