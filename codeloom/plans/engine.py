@@ -174,6 +174,31 @@ class Engine:
         self.tables.set(last_embed=result, embedded_snapshot=self.tables.state()["snapshots"].get("nodes"))
         return result
 
+    def forget(self, paths: DataFrame, incoming: bool = True) -> None:
+        """Take the nodes of ``paths`` (path) and the edges that start at them out of tables and indexes; with
+        ``incoming``, the edges that end at them too."""
+        held = self.nodes.join(paths.select("path").distinct(), "path", "left_semi").select("id")
+        routes = self.edges.where("kind = 'handled_by'").join(held.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id"))
+        ids = stage(held.unionByName(routes).distinct(), "forget")
+        keys = self.tables.KEYS["edges"]
+        ends = [self.edges.join(ids.withColumnRenamed("id", end), end, "left_semi").select(*keys) for end in (("src", "dst") if incoming else ("src",))]
+        edges = stage(ends[0].unionByName(ends[-1]).distinct(), "forget")
+        self.tables.change(nodes=(self.nodes.limit(0), ids), edges=(self.edges.limit(0), edges))
+        if self.text.exists() and self.grams.exists():
+            self._change_index(self.nodes.limit(0), ids, self.nodes)
+        discard(ids, edges)
+
+    def follow(self, batch: DataFrame, number: int = 0) -> None:
+        """A batch of ``watch.changes``: changed files take the place of what they were, those that are gone are forgotten."""
+        batch = stage(batch.select("path", "content", "gone"), "batch")
+        if self.tables.exists():
+            self.forget(batch.where("not gone"), incoming=False)
+            self.forget(batch.where("gone"))
+        changed = batch.where("not gone")
+        if not changed.isEmpty():
+            self.index(changed, reset=not self.tables.exists(), register=False)
+        discard(batch)
+
     def update(self) -> dict:
         due, reason = catalog.should_reindex(self.config, self.tables)
         return {"updated": due, "reason": reason, **(self.index() if due else {})}

@@ -747,3 +747,28 @@ def incremental_watch(spark, sf_dir):
 
     watch.watch(stream, merge, f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(state["path"])
+
+
+@query(
+    "watch_changes",
+    """SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 10 = 3 THEN 3 WHEN doc_id % 20 = 7 THEN 2 ELSE 1 END AS n_changes, doc_id % 20 = 7 AS gone,
+    CASE WHEN doc_id % 20 <> 7 THEN sha1(text) END AS sha1 FROM documents WHERE text IS NOT NULL""",
+)
+def watch_changes(spark, sf_dir):
+    """Documents as watched files: a tenth is edited and put back, a twentieth is removed. Each path's changes and last state."""
+    from codeloom.streaming import watch
+
+    base = new_path(spark, "watch")
+    n = F.col("path").cast("long")
+    first = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    edited = first.where(n % 10 == 3)
+    turns = [first, edited.withColumn("content", F.concat("content", F.lit(" edited"))).unionByName(first.where(n % 20 == 7).withColumn("content", F.lit(None).cast("string"))).unionByName(first.where(n % 10 == 1)), edited]
+
+    def merge(batch: DataFrame, number: int) -> None:
+        batch.select("path", "sha1", "gone", F.lit(number).alias("number")).write.mode("overwrite").parquet(f"{base}/changes/number={number}")
+
+    for i, rows in enumerate(turns):
+        rows.write.parquet(f"{base}/landing/{i}")
+        watch.watch(watch.changes(watch.file_stream(spark, f"{base}/landing/*")), merge, f"{base}/checkpoint").awaitTermination()
+    seen = spark.read.option("basePath", f"{base}/changes").parquet(f"{base}/changes/*")
+    return seen.groupBy("path").agg(F.count("*").cast("int").alias("n_changes"), F.max_by("gone", "number").alias("gone"), F.max_by("sha1", "number").alias("sha1"))
