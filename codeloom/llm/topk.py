@@ -51,19 +51,18 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _tiles(batches, width: int):
-    """Ids and matrix of up to TILE_V vectors at a time."""
-    ids, rows, n = [], [], 0
+    """Row numbers, ids and matrix of up to TILE_V vectors at a time."""
+    held, n = [], 0
     for batch in batches:
         for at in range(0, batch.num_rows, TILE_V):
             part = batch.slice(at, TILE_V)
-            ids.append(part.column(0).to_numpy())
-            rows.append(_matrix(part.column(1), width))
+            held.append((part.column(0).to_numpy(), part.column(1).to_numpy(), _matrix(part.column(2), width)))
             n += part.num_rows
             if n >= TILE_V:
-                yield np.concatenate(ids), np.concatenate(rows)
-                ids, rows, n = [], [], 0
+                yield tuple(map(np.concatenate, zip(*held)))
+                held, n = [], 0
     if n:
-        yield np.concatenate(ids), np.concatenate(rows)
+        yield tuple(map(np.concatenate, zip(*held)))
 
 
 def _cuts(width: int) -> list[tuple[int, int]]:
@@ -76,23 +75,23 @@ def _partials(queries: np.ndarray, vectors: np.ndarray, cuts: list[tuple[int, in
     return np.stack([queries[:, a:b] @ vectors[:, a:b].T for a, b in cuts])
 
 
-def _search_block(candidates: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int, path: str) -> None:
-    """Append the answers of a block of queries to the table at ``path``."""
+def _search_block(candidates: DataFrame, query_rows: np.ndarray, queries: np.ndarray, k: int, path: str) -> None:
+    """Append the answers of a block of queries (by the numbers of their rows) to the table at ``path``."""
     sc, width = candidates.sparkSession.sparkContext, queries.shape[1]
-    shared = sc.broadcast((query_ids, queries))
+    shared = sc.broadcast((query_rows, queries))
     cuts = _cuts(width)
 
     def bounds(batches):
         qid, q = shared.value
         best = np.full((len(qid), k), -np.inf)
         least = np.full((len(cuts), len(qid)), np.inf)
-        for vid, v in _tiles(batches, width):
+        for row, _, v in _tiles(batches, width):
             for at in range(0, len(qid), TILE_Q):
                 p = _partials(q[at : at + TILE_Q], v, cuts)
                 low = p.min(2)
                 least[:, at : at + TILE_Q] = np.minimum(least[:, at : at + TILE_Q], low)
-                p[:, qid[at : at + TILE_Q, None] == vid[None, :]] = -np.inf  # a query is no candidate of its own
-                n = min(k, len(vid))
+                p[:, qid[at : at + TILE_Q, None] == row[None, :]] = -np.inf  # a query is no candidate of its own
+                n = min(k, len(row))
                 top = np.argpartition(-p, n - 1, axis=2)[:, :, :n]
                 # an entry is known in the lists whose best it is among, and elsewhere at least the least
                 r = np.arange(p.shape[1])[:, None]
@@ -107,18 +106,18 @@ def _search_block(candidates: DataFrame, query_ids: np.ndarray, queries: np.ndar
                 both = np.concatenate([best[at : at + TILE_Q], known], 1)
                 best[at : at + TILE_Q] = -np.partition(-both, k - 1, axis=1)[:, :k]
         rows, col = np.nonzero(np.isfinite(best))
-        yield pa.RecordBatch.from_arrays([pa.array(qid[rows]), pa.array(best[rows, col])], names=["query_id", "bound"])
+        yield pa.RecordBatch.from_arrays([pa.array(qid[rows]), pa.array(best[rows, col])], names=["query", "bound"])
 
-    local = candidates.mapInArrow(bounds, "query_id long, bound double")
-    ranked = local.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound")))).where(F.col("r") == k)
-    cutoffs = dict(ranked.select("query_id", "bound").toPandas().itertuples(index=False, name=None))  # at most a row per query of the block
-    cutoff = sc.broadcast(np.array([cutoffs.get(i, -np.inf) for i in query_ids.tolist()]))
+    local = candidates.mapInArrow(bounds, "query long, bound double")
+    ranked = local.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bound")))).where(F.col("r") == k)
+    cutoffs = dict(ranked.select("query", "bound").toPandas().itertuples(index=False, name=None))  # at most a row per query of the block
+    cutoff = sc.broadcast(np.array([cutoffs.get(i, -np.inf) for i in query_rows.tolist()]))
 
     def resolve(batches):
         qid, q = shared.value
         t = cutoff.value
         best_s, best_v = np.full((len(qid), k), -np.inf), np.full((len(qid), k), np.iinfo(np.int64).max)
-        for vid, v in _tiles(batches, width):
+        for row, vid, v in _tiles(batches, width):
             for at in range(0, len(qid), TILE_Q):
                 p = _partials(q[at : at + TILE_Q], v, cuts)
                 mine = t[at : at + TILE_Q]
@@ -126,7 +125,7 @@ def _search_block(candidates: DataFrame, query_ids: np.ndarray, queries: np.ndar
                 enough = p.max(0) >= (mine / len(cuts))[:, None]
                 score = p.sum(0)
                 enough &= score >= mine[:, None]
-                enough &= qid[at : at + TILE_Q, None] != vid[None, :]
+                enough &= qid[at : at + TILE_Q, None] != row[None, :]
                 rows, cols = np.nonzero(enough)
                 if not len(rows):
                     continue
@@ -145,12 +144,12 @@ def _search_block(candidates: DataFrame, query_ids: np.ndarray, queries: np.ndar
                 best_s[at + touched], best_v[at + touched] = np.take_along_axis(s, order, 1), np.take_along_axis(w, order, 1)
         rows, col = np.nonzero(np.isfinite(best_s))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(qid[rows]), pa.array(best_v[rows, col]), pa.array(best_s[rows, col].astype(np.int64))], names=["query_id", "vec_id", "score"]
+            [pa.array(qid[rows]), pa.array(best_v[rows, col]), pa.array(best_s[rows, col].astype(np.int64))], names=["query", "vec_id", "score"]
         )
 
-    found = candidates.mapInArrow(resolve, "query_id long, vec_id long, score long")
-    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    found.withColumn("rank", order.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)
+    found = candidates.mapInArrow(resolve, "query long, vec_id long, score long")
+    order = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    found.withColumn("rank", order.cast("int")).where(F.col("rank") <= k).select("query", "rank", "vec_id", "score").write.mode("append").parquet(path)
     shared.destroy()
     cutoff.destroy()
 
@@ -160,25 +159,26 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     vec_id, score. Ties go to the smaller vec_id; all rows but the query's own are candidates.
 
     Rows that ``quantized`` leaves out take no part; vectors meet those of their own length. Rows that
-    share an id count once, with the smallest of their vectors. Fewer than k candidates give fewer
-    rows; an empty table gives none. Extra columns are ignored.
+    share an id are each a candidate, for one another too, and each a query if the id is one: each has its ``k`` answers. Fewer
+    than k candidates give fewer rows; an empty table gives none. Extra columns are ignored.
     """
     spark = vectors.sparkSession
-    usable = stage(quantized(vectors).groupBy("vec_id").agg(F.min("q").alias("q")), "topk")
+    usable = stage(quantized(vectors).select(F.monotonically_increasing_id().alias("row"), "vec_id", "q"), "topk")
     path = new_path(spark, "topk-found")
-    widths = [r.n for r in usable.where(F.col("vec_id") % every == 0).select(F.size("q").alias("n")).distinct().orderBy("n").collect()]
+    queries = usable.where(F.col("vec_id") % every == 0)
+    widths = [r.n for r in queries.select(F.size("q").alias("n")).distinct().orderBy("n").collect()]
     for width in widths:
         candidates = usable.where(F.size("q") == width)
-        wanted, after, size = candidates.where(F.col("vec_id") % every == 0), None, max(1, min(QUERY_BLOCK, QUERY_NUMBERS // width))
+        wanted, after, size = queries.where(F.size("q") == width), None, max(1, min(QUERY_BLOCK, QUERY_NUMBERS // width))
         while True:
-            block = (wanted if after is None else wanted.where(F.col("vec_id") > after)).orderBy("vec_id").limit(size).toPandas()
+            block = (wanted if after is None else wanted.where(F.col("row") > after)).orderBy("row").limit(size).toPandas()
             if len(block):
-                _search_block(candidates, block.vec_id.to_numpy(np.int64), np.array(block.q.tolist(), float), k, path)
-                after = int(block.vec_id.iloc[-1])
+                _search_block(candidates, block.row.to_numpy(np.int64), np.array(block.q.tolist(), float), k, path)
+                after = int(block.row.iloc[-1])
             if len(block) < size:
                 break
-    schema = "query_id long, rank int, vec_id long, score long"
-    return spark.read.schema(schema).parquet(path) if widths else spark.range(0).selectExpr("id query_id", "cast(id as int) rank", "id vec_id", "id score")
+    found = spark.read.schema("query long, rank int, vec_id long, score long").parquet(path) if widths else spark.range(0).selectExpr("id query", "cast(id as int) rank", "id vec_id", "id score")
+    return found.join(queries.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id")), "query").select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """

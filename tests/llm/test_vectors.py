@@ -14,7 +14,7 @@ def test_topk_against_all_scores(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(0, 0.3, (600, 16)).astype(np.float32)
     x[100:130] = x[50]  # ties
-    odd = [(1000, None, 0, 0), (1050, [1.0, None] + [0.0] * 14, 0, 0), (1100, [float("nan")] * 16, 0, 0), (1150, [float("inf")] * 16, 0, 0), (1200, [], 0, 0), (None, [1.0] * 16, 0, 0), (50, [float(v) for v in x[50]], 0, 0)]
+    odd = [(1000, None, 0, 0), (1050, [1.0, None] + [0.0] * 14, 0, 0), (1100, [float("nan")] * 16, 0, 0), (1150, [float("inf")] * 16, 0, 0), (1200, [], 0, 0), (None, [1.0] * 16, 0, 0)]
     got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.search(table(spark, x, odd)).collect()}
     q = np.floor(256 * x.astype(float)).astype(int)
     scores = q @ q.T
@@ -35,12 +35,24 @@ def test_topk_blocks_and_small_tables(spark, monkeypatch):
 
 
 def test_topk_of_several_lengths(spark):
-    rows = [(i, [float((i * 7 + k) % 5) for k in range(3 if i % 100 == 50 else 8)], 0, 0) for i in range(200)] + [(50, [9.0, 9.0, 9.0], 0, 0)]
+    rows = [(i, [float((i * 7 + k) % 5) for k in range(3 if i % 100 == 50 else 8)], 0, 0) for i in range(200)]
     got = topk.search(spark.createDataFrame(rows, SCHEMA)).collect()
     by_query = {q: sorted((r["rank"], r.vec_id) for r in got if r.query_id == q) for q in (0, 50, 100, 150)}
     assert [len(v) for v in by_query.values()] == [5, 1, 5, 1] and by_query[50] == [(1, 150)]
 
 
+def test_topk_takes_all_rows_of_repeated_ids(spark):
+    gen = np.random.default_rng(4)
+    rows = [(int(i), gen.integers(-3, 4, 6).astype(float).tolist(), 0, 0) for i in gen.integers(0, 60, 300)]
+    rows += [(50, [0.9, 0.1, 0.0, 0.0, 0.0, 0.0], 0, 0), (1, [0.9] * 6, 0, 0), (1, [0.5] * 6, 0, 0)]
+    want = []
+    for n, (i, v, *_) in enumerate(rows):
+        if i % 50 == 0:
+            scored = [(-sum(int(np.floor(256 * a)) * int(np.floor(256 * b)) for a, b in zip(v, w)), j) for m, (j, w, *_) in enumerate(rows) if m != n]
+            want += [(i, rank, j, -s) for rank, (s, j) in enumerate(sorted(scored)[:5], 1)]
+    assert sorted(map(tuple, topk.search(spark.createDataFrame(rows, SCHEMA)).collect())) == sorted(want)
+
+
 def test_near_duplicates_against_all_pairs(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(400, 64))
