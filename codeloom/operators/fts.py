@@ -157,21 +157,3 @@ def snippet(meta: str = "meta") -> Column:
     """The first of docstring, signature and body that isn't blank."""
     m = F.col(meta)
     return F.coalesce(*[F.nullif(F.trim(x), F.lit("")) for x in (m.docstring, m.signature, m.body_preview)])
-
-
-def window_snippet(text: Column, terms: list[str], width: int = 18) -> Column:
-    """The first ``width``-token window that begins at a hit (or the text's beginning), dots where cut."""
-    tokens = F.regexp_extract_all(text, F.lit(r"\S+"), 0)
-    bare = F.transform(tokens, lambda t: F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}_]+", ""))
-    first = F.array_position(F.transform(bare, lambda t: t.isin(terms)), True)
-    begin = F.greatest(F.lit(1), F.least(first.cast("int"), F.size(tokens) - width + 1))
-    cut = F.array_join(F.slice(tokens, begin, width), " ")
-    return F.concat(F.when(begin > 1, "... ").otherwise(""), cut, F.when(begin + width <= F.size(tokens), " ...").otherwise(""))
-
-
-def hit_snippet(terms: list[str], meta: str = "meta") -> Column:
-    """The window of the body, else the docstring, else the signature that begins at a hit; without one, ``snippet``."""
-    m = F.col(meta)
-    asked = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
-    windows = [F.when(F.arrays_overlap(fts_tokens(x), asked), window_snippet(x, terms)) for x in (m.body_preview, m.docstring, m.signature)]
-    return F.coalesce(*windows, snippet(meta))

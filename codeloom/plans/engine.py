@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import expand_query, reference_terms
-from codeloom.operators import extract, fts, graph, hybrid, providers, traverse, trigrams, vectors
+from codeloom.operators import extract, fts, graph, hybrid, providers, snippets, traverse, trigrams, vectors
 from codeloom.operators.text_index import TextIndex
 from codeloom.operators.vector_index import VectorIndex
 from codeloom.schema import EDGES, EMBEDDINGS, NODES, compact_meta
@@ -268,7 +268,7 @@ class Engine:
             self.embed()
         provider, model = "local", vectors.MODEL
         fused = hybrid.fuse(self.nodes, lexical, near(vectors.embed_query(self.spark, query), max(candidates * 8, 100)).where(F.col("rank") <= candidates), limit * 3)
-        return self._rows(self._shape(fused.withColumn("snippet", fts.hit_snippet(terms)), limit, group))
+        return self._rows(self._shape(fused.withColumn("snippet", snippets.hit_snippet(terms)), limit, group))
 
     def ask(self, query: str, limit: int = 8, kind: str | None = None, glob: str | None = None, group: bool = True, provider: str | None = None, model: str | None = None, term_only: bool = False) -> list[dict]:
         """``semantic`` as a user asks it: by the vectors of the provider that embedded the nodes last (or of the

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import lexicon, text
-from codeloom.operators import extract, fts, graph, hybrid, resolve, traverse, vectors
+from codeloom.operators import extract, fts, graph, hybrid, resolve, snippets, traverse, vectors
 from codeloom.operators.text_index import TextIndex
 from codeloom.operators.vector_index import VectorIndex
 from codeloom.plans import derived
@@ -387,6 +387,26 @@ def reference_and_search(spark, sf_dir):
     return fts.reference_hits(_doc_index(spark, sf_dir).of_terms(text.reference_terms("tion/ther_src3")), "tion/ther_src3")
 
 
+SNIPPET_TERMS = ("the", "tion", "haed", "licensed", "version")
+
+
+@query(
+    "best_snippets",
+    rf"""WITH t AS (SELECT doc_id, regexp_extract_all({FOLD.format(c="coalesce(text, '')")}, '(?:[.:][ \t\n\r]+)?[\p{{L}}\p{{N}}\p{{Co}}_]+') AS ts FROM documents),
+    n AS (SELECT doc_id, ts, len(ts) AS n FROM t), u AS (SELECT doc_id, n, unnest(ts) AS m, unnest(range(n)) AS pos FROM n),
+    k AS (SELECT doc_id, n, pos, pos = 0 OR regexp_matches(m, '^[.:]') AS starts, regexp_extract(m, '[\p{{L}}\p{{N}}\p{{Co}}_]+$') AS term FROM u),
+    s AS (SELECT *, max(CASE WHEN starts THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos) AS sentence FROM k), h AS (SELECT * FROM s WHERE term IN ({", ".join(f"'{t}'" for t in SNIPPET_TERMS)})),
+    w AS (SELECT doc_id, n, pos, 0 AS o, pos AS begin, 0 AS bonus FROM h UNION ALL SELECT doc_id, n, pos, 1, sentence, CASE sentence WHEN 0 THEN 120 ELSE 100 END FROM h WHERE sentence < pos AND n > 18 AND pos < sentence + 18),
+    c AS (SELECT w.doc_id, w.n, w.pos, w.o, w.begin, any_value(bonus) + 999 * count(DISTINCT h.term) + count(*) AS score, min(h.pos) AS f, max(h.pos) + 1 AS l FROM w JOIN h ON h.doc_id = w.doc_id AND h.pos >= w.begin AND h.pos < w.begin + 18 GROUP BY ALL),
+    b AS (SELECT *, CASE o WHEN 0 THEN greatest(least(f - (18 - (l - f)) // 2, n - 18), 0) ELSE begin END AS at FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos, o) = 1)
+    SELECT n.doc_id, CAST(coalesce(b.at, 0) AS INTEGER) AS begin, CAST(coalesce(b.score, 0) AS INTEGER) AS score FROM n LEFT JOIN b USING (doc_id)""".replace("\\", "\\"),
+)
+def best_snippets(spark, sf_dir):
+    """Where each document's best window of 18 tokens begins, and its score."""
+    d = table(spark, sf_dir, "documents").select("doc_id", snippets.best_begin(F.col("text"), list(SNIPPET_TERMS)).alias("w"))
+    return d.select("doc_id", "w.begin", "w.score")
+
+
 # ---- vectors and fusion ---------------------------------------------------------------------------
 
 FIRST_VECTOR = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
