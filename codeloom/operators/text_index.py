@@ -26,7 +26,7 @@ from codeloom.sources.layers import Layered, buckets_of, hash_bucket
 from codeloom.sources.shared_files import delete
 from codeloom.sources.staging import new_path
 
-BUCKETS = 64
+BUCKETS = 32
 #: Documents of a span.
 SPAN = 32
 #: Spans whose documents are scored first.

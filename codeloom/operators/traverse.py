@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.operators import trigrams
 from codeloom.operators.fts import contains, name_hits
 from codeloom.schema import kind_order, kind_rank
-from codeloom.sources.layers import Layered
+from codeloom.sources.layers import Layered, hash_bucket
 from codeloom.sources.staging import stage
 
 MAX_HOPS = 10
@@ -114,63 +114,104 @@ def default_trace_limit(max_hops: int) -> int:
     return max(25, 100 // max(1, max_hops))
 
 
-def ordered_calls(nodes: DataFrame, edges: DataFrame, vendor: bool = False) -> DataFrame:
-    """Calls with both ends known: src, dst, r (the place among the source's calls), call_line, dst_path."""
-    ends = nodes.select("id", F.col("kind").alias("k"), F.col("path").alias("p"), F.col("name").alias("n"))
-    calls = edges.where("kind = 'calls'").select("src", "dst", F.col("meta.line").alias("call_line"))
-    rows = calls.join(ends.select(F.col("id").alias("src"), F.col("p").alias("src_path")), "src").join(ends.withColumnRenamed("id", "dst"), "dst")
-    if not vendor:
-        rows = rows.where(not_vendored(F.col("src_path")) & not_vendored(F.col("p")))
-    order = Window.partitionBy("src").orderBy(F.asc_nulls_first("call_line"), "k", F.asc_nulls_first("p"), "n", "dst")
-    return rows.select("src", "dst", F.row_number().over(order).alias("r"), "call_line", F.col("p").alias("dst_path"))
+#: Folders of the stored calls.
+CALL_BUCKETS = 32
 
 
-def trace_hops(nodes: DataFrame, edges: DataFrame, start: DataFrame, max_hops: int = 3, vendor: bool = False) -> list[DataFrame]:
-    """All simple call paths from ``start`` (id, place), a staged table for each number of hops up to ``max_hops``:
-    path, call_lines, ord, last, dst_path. Sorted by ord a table's paths come in breadth-first order.
+def call_table(spark: SparkSession, folder: str) -> Layered:
+    """The stored calls of ``call_rows``, in folders by their source: a hop opens those of its ends."""
+    return Layered(spark, folder, ["src"], hash_bucket("src", CALL_BUCKETS))
 
-    A hop reads the last one's table and puts in order only the calls of the nodes that its paths end in; a hot
-    node is split by the adaptive planner.
+
+def call_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Calls with both ends known: src, dst, call_line, dst_path, and ``r`` and ``own``, the place among the source's
+    calls and among those of them that touch nothing vendored (null for the others)."""
+    ends = nodes.select("id", F.col("kind").alias("k"), F.col("path").alias("p"), F.col("name").alias("n"))
+    calls = edges.where("kind = 'calls'").select("src", "dst", F.col("meta.line").alias("call_line"))
+    rows = calls.join(ends.select(F.col("id").alias("src"), F.col("p").alias("src_path")), "src").join(ends.withColumnRenamed("id", "dst"), "dst")
+    rows = rows.withColumn("kept", not_vendored(F.col("src_path")) & not_vendored(F.col("p")))
+    order = [F.asc_nulls_first("call_line"), "k", F.asc_nulls_first("p"), "n", "dst"]
+    r = F.row_number().over(Window.partitionBy("src").orderBy(*order))
+    own = F.when(F.col("kept"), F.row_number().over(Window.partitionBy("src", "kept").orderBy(*order)))
+    return rows.select("src", "dst", r.alias("r"), own.alias("own"), "call_line", F.col("p").alias("dst_path"))
+
+
+def _calls_of(nodes: DataFrame, edges: DataFrame, frontier: DataFrame, vendor: bool, calls: Layered | None) -> DataFrame:
+    """Ordered calls of the nodes that ``frontier`` ends in: from their folders, or made for the hop."""
+    if calls is not None:
+        ends = [r.b for r in frontier.select(hash_bucket("last", CALL_BUCKETS).alias("b")).distinct().collect()]
+        rows = calls.read(ends)
+    else:
+        rows = call_rows(nodes, edges.join(frontier.select(F.col("last").alias("src")).distinct(), "src", "left_semi"))
+    return rows.select("src", "dst", (F.col("r") if vendor else F.col("own")).alias("r"), "call_line", "dst_path").where("r is not null")
+
+
+def trace_hops(
+    nodes: DataFrame, edges: DataFrame, start: DataFrame, max_hops: int = 3, vendor: bool = False, calls: Layered | None = None, goals: DataFrame | None = None
+) -> list[tuple[DataFrame, DataFrame]]:
+    """All simple call paths from ``start`` (id, place): for each number of hops up to ``max_hops`` a staged table (path,
+    call_lines, ord, last, dst_path), and its count (n). Sorted by ord a table's paths come in breadth-first order.
+
+    A hop reads the last one's table and the calls of the nodes that its paths end in; a hot node is split by the adaptive
+    planner. With ``goals`` (id, path; a null path is no file's) the last hop, which is the largest, makes the paths that
+    arrive and only counts the others.
     """
     frontier = start.select(F.array("id").alias("path"), F.array().cast("array<int>").alias("call_lines"), F.array("place").alias("ord"), F.col("id").alias("last"))
-    out: list[DataFrame] = []
-    for _ in range(max(1, min(int(max_hops), MAX_HOPS))):
-        ends = frontier.select(F.col("last").alias("src")).distinct()
-        calls = ordered_calls(nodes, edges.join(ends, "src", "left_semi"), vendor)
-        step = (
-            frontier.join(calls, F.col("last") == F.col("src"))
-            .where(~F.array_contains("path", F.col("dst")))
-            .select(
-                F.concat("path", F.array("dst")).alias("path"), F.concat("call_lines", F.array("call_line")).alias("call_lines"),
-                F.concat("ord", F.array("r")).alias("ord"), F.col("dst").alias("last"), "dst_path",
-            )
-        )
-        out.append(stage(step, "trace"))
-        frontier = out[-1].drop("dst_path")
+    out: list[tuple[DataFrame, DataFrame]] = []
+    max_hops = max(1, min(int(max_hops), MAX_HOPS))
+    for hop in range(1, max_hops + 1):
+        rows = _calls_of(nodes, edges, frontier, vendor, calls)
+
+        def step(some: DataFrame) -> DataFrame:
+            return (
+                frontier.join(some, F.col("last") == F.col("src"))
+                .where(~F.array_contains("path", F.col("dst")))
+                .select(
+                    F.concat("path", F.array("dst")).alias("path"), F.concat("call_lines", F.array("call_line")).alias("call_lines"),
+                    F.concat("ord", F.array("r")).alias("ord"), F.col("dst").alias("last"), "dst_path",
+                )
+            )
+
+        if goals is not None and hop == max_hops:
+            made = stage(step(_arriving(rows, goals, "dst")), "trace")
+            counted = frontier.select("path", "last").join(rows.select("src", "dst"), F.col("last") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
+            out.append((made, counted.agg(F.count("*").alias("n"))))
+        else:
+            made = stage(step(rows), "trace")
+            out.append((made, made.agg(F.count("*").alias("n"))))
+        frontier = made.drop("dst_path")
     return out
 
 
-def trace(nodes: DataFrame, edges: DataFrame, source: str, target: str | None = None, max_hops: int = 3, limit: int | None = None, vendor: bool = False, grams: Layered | None = None) -> tuple[DataFrame, DataFrame]:
+def _arriving(rows: DataFrame, goals: DataFrame, end: str) -> DataFrame:
+    """``rows`` that end in one of ``goals``, or in any node of a path of theirs."""
+    by_id, by_path = goals.select(F.col("id").alias(end), F.lit(True).alias("_a")).distinct(), goals.where("path is not null").select(F.col("path").alias("dst_path"), F.lit(True).alias("_b")).distinct()
+    return rows.join(by_id, end, "left").join(by_path, "dst_path", "left").where("_a or _b").select(*rows.columns)
+
+
+def trace(
+    nodes: DataFrame, edges: DataFrame, source: str, target: str | None = None, max_hops: int = 3, limit: int | None = None, vendor: bool = False, grams: Layered | None = None, calls: Layered | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(paths, counts) of a trace from ``source``.
 
     ``paths`` are the ones that reach ``target`` (any without one, or if it means nothing), ``limit`` per
     number of hops. A file as target is reached by any node of that path. Paths go on beyond a target.
-    ``counts`` has explored, remaining and truncated.
+    ``counts`` has explored, remaining and truncated. ``grams`` and ``calls`` are the stored indexes of nodes and calls.
     """
     max_hops = max(1, min(int(max_hops), MAX_HOPS))
     limit = default_trace_limit(max_hops) if limit is None else max(1, int(limit))
     starts = symbol_ids(stage(resolve_targets(nodes, source, grams=grams), "trace-source")).join(nodes.select("id", "kind", "path", "name"), "id")
     start = starts.withColumn("place", F.row_number().over(Window.partitionBy().orderBy(kind_rank(), F.coalesce("path", F.lit("")), "name", "id")))
-    explored = hits = trace_hops(nodes, edges, stage(start.select("id", "place"), "trace-start"), max_hops, vendor)
+    goals = None
     if target:
-        goals = stage(resolve_targets(nodes, target, grams=grams).select("id", "kind", "path"), "trace-target")
-        if not goals.isEmpty():
-            ids = goals.select(F.col("id").alias("last"))
-            files = goals.where("kind = 'file'").select(F.col("path").alias("dst_path")).distinct()
-            hits = [x.join(ids, "last", "left_semi").unionByName(x.join(files, "dst_path", "left_semi").select("last", *[c for c in x.columns if c != "last"])).dropDuplicates(["ord"]) for x in explored]
+        meant = resolve_targets(nodes, target, grams=grams).select("id", F.when(F.col("kind") == "file", F.col("path")).alias("path"))
+        goals = stage(meant, "trace-target")
+        goals = None if goals.isEmpty() else goals
+    hops = trace_hops(nodes, edges, stage(start.select("id", "place"), "trace-start"), max_hops, vendor, calls, goals)
+    hits = [x if goals is None else _arriving(x, goals, "last") for x, _ in hops]
     first = [x.orderBy("ord").limit(limit).select(F.lit(hop).alias("hops"), "path", "call_lines", "ord") for hop, x in enumerate(hits, 1)]
     paths = reduce(DataFrame.unionByName, first).orderBy("hops", "ord")
-    total = reduce(DataFrame.unionByName, [x.agg(F.count("*").alias("n")) for x in explored]).agg(F.sum("n").alias("paths_explored"))
+    total = reduce(DataFrame.unionByName, [n for _, n in hops]).agg(F.sum("n").alias("paths_explored"))
     rest = reduce(DataFrame.unionByName, [x.agg(F.greatest(F.count("*") - limit, F.lit(0)).alias("n")) for x in hits]).agg(F.sum("n").alias("paths_remaining"))
     counts = total.select("paths_explored", rest.select("paths_remaining").scalar().alias("paths_remaining")).withColumn("truncated", F.col("paths_remaining") > 0)
     return paths, counts

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from codeloom.sources.layers import Layered, buckets_of, hash_bucket
 
 FIELDS = ("name", "path", "id")
-BUCKETS = 64
+BUCKETS = 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

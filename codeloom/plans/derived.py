@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.operators import trigrams
+from codeloom.operators import traverse, trigrams
 from codeloom.schema import edge_meta, node_meta
 from codeloom.sources.layers import Layered
 from codeloom.sources.staging import stored, stored_folder
@@ -58,6 +58,11 @@ def grams(spark: SparkSession, sf_dir: str) -> Layered:
     return trigrams.table(spark, stored_folder(spark, f"trigrams of {sf_dir}", lambda path: trigrams.table(spark, path).write(trigrams.rows(nodes(spark, sf_dir))), paths(sf_dir)))
 
 
+def calls(spark: SparkSession, sf_dir: str) -> Layered:
+    """The graph's ordered calls by source."""
+    return traverse.call_table(spark, stored_folder(spark, f"calls of {sf_dir}", lambda path: traverse.call_table(spark, path).write(traverse.call_rows(nodes(spark, sf_dir), edges(spark, sf_dir))), paths(sf_dir)))
+
+
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
     host = F.regexp_extract("url", HOST, 1)

@@ -45,6 +45,7 @@ class Engine:
         self.tables = catalog.Tables(spark, config.tables)
         self.text = TextIndex(spark, f"{config.tables}/text")
         self.grams = trigrams.table(spark, f"{config.tables}/trigrams")
+        self._calls = traverse.call_table(spark, f"{config.tables}/calls")
 
     @classmethod
     def open(cls, spark: SparkSession, repo: str) -> Engine:
@@ -94,6 +95,15 @@ class Engine:
         self.text.build(fts.index_documents(self.nodes))
         self.grams.write(trigrams.rows(self.nodes))
 
+    @property
+    def calls(self) -> Layered:
+        """The ordered calls of the current nodes and edges: made when first asked for after these have changed."""
+        state = self.tables.state()["snapshots"]
+        of = [state.get("nodes"), state.get("edges")]
+        if not self._calls.exists() or self._calls.meta("of") != of:
+            self._calls.write(traverse.call_rows(self.nodes, self.edges), of=of)
+        return self._calls
+
     def _change_index(self, nodes: DataFrame, gone: DataFrame, before: DataFrame) -> None:
         """Index what differs between ``nodes`` and ``before``, and forget ``gone`` (id)."""
         state = F.xxhash64(*NODES.names).alias("state")
@@ -329,7 +339,7 @@ class Engine:
             return {"source": None, "target": None, "paths": []}
         goal, goals = self._target(target) if target else (None, [])
         hops = max(1, min(int(max_hops), traverse.MAX_HOPS))
-        paths, counts = traverse.trace(self.nodes, self.edges, source, target, hops, limit, vendor, self._indexed()[1])
+        paths, counts = traverse.trace(self.nodes, self.edges, source, target, hops, limit, vendor, self._indexed()[1], self.calls)
         found, total = paths.collect(), counts.first()
         ids = sorted({i for p in found for i in p.path} | {x["id"] for x in (start, goal) if x})
         shown = self._rows(self.nodes.where(F.col("id").isin(ids)))

@@ -224,7 +224,7 @@ PATH_SQL = "SELECT hops, array_to_string(path, ' > ') AS path, array_to_string(c
 
 def _trace(name: str, hops: int, limit: int, target: str | None = None, where: str = ""):
     def run(spark, sf_dir):
-        paths, _ = traverse.trace(*both(spark, sf_dir), SOURCE, target, hops, limit)
+        paths, _ = traverse.trace(*both(spark, sf_dir), SOURCE, target, hops, limit, grams=derived.grams(spark, sf_dir), calls=derived.calls(spark, sf_dir))
         return paths.select("hops", F.array_join("path", " > ").alias("path"), F.array_join("call_lines", ",").alias("call_lines"))
 
     query(name, TRACE.format(hops=hops, where=where) + PATH_SQL.format(limit=limit))(run)
@@ -239,7 +239,13 @@ _trace("trace_to_target", 3, 1000, "supplier/3", " WHERE last = 'file:supplier/3
 
 @query("trace_stats", TRACE.format(hops=3, where="") + "SELECT (SELECT count(*) FROM hit) AS paths_explored, (SELECT count(*) FROM ranked WHERE nth > 33) AS paths_remaining, (SELECT count(*) FROM ranked WHERE nth > 33) > 0 AS truncated")
 def trace_stats(spark, sf_dir):
-    return traverse.trace(*both(spark, sf_dir), SOURCE, None, 3, traverse.default_trace_limit(3))[1]
+    return traverse.trace(*both(spark, sf_dir), SOURCE, None, 3, traverse.default_trace_limit(3), grams=derived.grams(spark, sf_dir), calls=derived.calls(spark, sf_dir))[1]
+
+
+@query("trace_target_stats", TRACE.format(hops=3, where=" WHERE last = 'file:supplier/3'") + "SELECT (SELECT count(*) FROM hit) AS paths_explored, (SELECT count(*) FROM ranked WHERE nth > 2) AS paths_remaining, (SELECT count(*) FROM ranked WHERE nth > 2) > 0 AS truncated")
+def trace_target_stats(spark, sf_dir):
+    """Counts of a trace to a target: paths that don't arrive are counted in the last hop, not made."""
+    return traverse.trace(*both(spark, sf_dir), SOURCE, "supplier/3", 3, 2, grams=derived.grams(spark, sf_dir), calls=derived.calls(spark, sf_dir))[1]
 
 
 # ---- text -----------------------------------------------------------------------------------------

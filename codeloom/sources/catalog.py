@@ -160,9 +160,9 @@ class Tables:
     snapshot or the next, and a change writes only what it changes."""
 
     KEYS = {"nodes": ["id"], "edges": ["src", "dst", "kind"], "embeddings": ["node_id", "provider", "model"]}
-    BUCKETS = 64
+    BUCKETS = 32
     #: What can be made from nodes and edges: folders, and layered tables.
-    DERIVED = ("text", "trigrams", "vectors")
+    DERIVED = ("text", "trigrams", "calls", "vectors")
     #: States that stay behind the last one.
     KEPT = 4
 
