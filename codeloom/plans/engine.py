@@ -65,6 +65,7 @@ class Engine:
         source = stage(source.select("path", "content"), "files")
         records = stage(extract.extract(source), "records")
         nodes, edges = graph.assemble(source, records, self.config.features)
+        nodes, edges = stage(nodes, "nodes"), stage(edges, "edges")
         self.tables.migrate()
         before = self.tables.read("nodes") if self.text.exists() and self.grams.exists() else None
         if reset or not self.tables.exists():
@@ -80,7 +81,7 @@ class Engine:
                 self._build_index()
             else:
                 self._change_index(self.nodes.join(nodes.select("id"), "id", "left_semi"), nodes.select("id").limit(0), before)
-        discard(source, records)
+        discard(source, records, nodes, edges)
         counts = self.stats()
         stamp = time.time()
         result = {"files": counts.get("file", 0) + counts.get("test", 0), "symbols": counts.get("symbol", 0), **counts}

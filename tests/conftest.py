@@ -21,3 +21,15 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="session", autouse=True)
+def few_buckets():
+    """Tables of a few rows need few folders."""
+    from codeloom.operators import text_index, traverse, trigrams
+    from codeloom.sources import catalog
+
+    with pytest.MonkeyPatch.context() as patch:
+        for owner, name in ((text_index, "BUCKETS"), (trigrams, "BUCKETS"), (traverse, "CALL_BUCKETS"), (catalog.Tables, "BUCKETS")):
+            patch.setattr(owner, name, 3)
+        yield
