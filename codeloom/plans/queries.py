@@ -622,65 +622,7 @@ def upsert_nodes(spark, sf_dir):
     return graph.merge_nodes(n, n.where("kind = 'package'").withColumn("name", F.lower("name"))).select("id", "kind", "name")
 
 
-# ---- resolution on a small source tree ------------------------------------------------------------
-
-TREE = [
-    ("pkg/__init__.py", ""),
-    ("pkg/helpers.py", "def load():\n    return 1\n\ndef shared():\n    return load()\n"),
-    ("pkg/service.py", "from . import helpers\nfrom pkg.helpers import load as fetch\nimport json\n\ndef run():\n    helpers.load()\n    fetch()\n    only_here()\n    shared()\n    json.dumps({})\n\ndef only_here():\n    return run()\n"),
-    ("other.py", "def unique_name():\n    pass\n\ndef twice():\n    pass\n"),
-    ("left.py", "def twice():\n    unique_name()\n    missing()\n"),
-    ("test_helpers.py", "import pkg.helpers\n\ndef test_load():\n    twice()\n"),
-    ("web/app.ts", "import { make } from './make'\nrouter.get('/items', make)\n"),
-    ("web/make.ts", "export function make() {\n  return build()\n}\nconst build = () => 1\n"),
-    ("notes.md", "call unique_name() here\n"),
-]
-
-
-def _tree(spark) -> tuple[DataFrame, DataFrame]:
-    files = spark.createDataFrame(TREE, "path string, content string")
-    return files, extract.extract(files)
-
-
-def _values(rows: list[tuple], names: str) -> str:
-    return f"SELECT * FROM (VALUES {', '.join(str(r) for r in rows)}) AS t({names})"
-
-
-@query(
-    "import_resolve",
-    _values(
-        [("pkg/service.py", "file:pkg/helpers.py"), ("pkg/service.py", "package:json"), ("test_helpers.py", "file:pkg/helpers.py"), ("web/app.ts", "file:web/make.ts")],
-        "path, dst",
-    ),
-)
-def import_resolve(spark, sf_dir):
-    files, records = _tree(spark)
-    return resolve.imports(records, files.select("path")).select("path", "dst").distinct()
-
-
-@query(
-    "call_resolve",
-    _values(
-        [
-            ("symbol:pkg/helpers.py:shared", "symbol:pkg/helpers.py:load"),
-            ("symbol:pkg/service.py:run", "symbol:pkg/helpers.py:load"),
-            ("symbol:pkg/service.py:run", "symbol:pkg/service.py:only_here"),
-            ("symbol:pkg/service.py:run", "symbol:pkg/helpers.py:shared"),
-            ("symbol:pkg/service.py:only_here", "symbol:pkg/service.py:run"),
-            ("symbol:left.py:twice", "symbol:other.py:unique_name"),
-            ("symbol:web/make.ts:make", "symbol:web/make.ts:build"),
-        ],
-        "src, dst",
-    ),
-)
-def call_resolve(spark, sf_dir):
-    files, records = _tree(spark)
-    return resolve.calls(records, files.select("path")).select("src", "dst").distinct()
-
-
-@query("test_link_by_stem", _values([("file:test_helpers.py", "file:pkg/helpers.py")], "src, dst"))
-def test_link_by_stem(spark, sf_dir):
-    return resolve.tests(_tree(spark)[0].select("path"))
+# ---- resolution on a source tree ----------------------------------------------------------------
 
 
 # A tree of Python files over the suppliers: each module calls one of another module under a name of its own,
@@ -734,10 +676,19 @@ def feature_edges(spark, sf_dir):
     return graph.feature_tables(files, {"cars": ["customer/AUTO*", "*99"], "sites": ["pages/*"]})[1].select("src", "dst")
 
 
-@query("assembled_graph")
-def assembled_graph(spark, sf_dir):
-    files, records = _tree(spark)
-    return graph.assemble(files, records, {"web": ["web/*"]})[1].select("src", "dst", "kind", F.col("meta.line").alias("line"))
+TREE_IMPORTS, TREE_CALLS, TREE_TESTS = (ORACLES[name] for name in ("import_resolve_tree", "call_resolve_tree", "test_link_tree"))
+
+
+@query(
+    "assembled_tree",
+    f"""SELECT 'file:' || path AS src, dst, 'imports' AS kind FROM ({TREE_IMPORTS}) UNION ALL SELECT src, dst, 'calls' FROM ({TREE_CALLS}) UNION ALL SELECT src, dst, 'tests' FROM ({TREE_TESTS})
+    UNION ALL SELECT 'file:pkg/m' || s_suppkey || '.py', 'symbol:pkg/m' || s_suppkey || '.py:' || unnest(['work', 'helper']) || s_suppkey, 'defines' FROM supplier
+    UNION ALL SELECT 'file:tests/test_m' || s_suppkey || '.py', 'symbol:tests/test_m' || s_suppkey || '.py:test_work', 'defines' FROM supplier WHERE s_suppkey % 10 = 0""",
+)
+def assembled_tree(spark, sf_dir):
+    """All edges of the tree's graph, as an index run assembles them."""
+    files = _supplier_tree(spark, sf_dir)
+    return graph.assemble(files, extract.extract(files))[1].select("src", "dst", "kind")
 
 
 @query(
