@@ -140,3 +140,15 @@ def test_enclosing_scope(spark):
     symbols = spark.createDataFrame([("a", 3, "f"), ("a", 9, "g"), ("a", 9, "h")], "path string, line int, name string")
     calls = spark.createDataFrame([("a", 1, 0), ("a", 3, 1), ("a", 8, 2), ("a", 9, 3)], "path string, line int, row long")
     assert {r.row: r.scope for r in resolve.last_seen(symbols, calls).collect()} == {0: None, 1: "f", 2: "f", 3: "h"}
+
+
+def test_script_forms_by_tokens():
+    from codeloom.operators.extract import parse_script
+
+    text = "import type {A, b} from './a'\nimport 'side'\nconst q = require('lib'); const r = require( 'spaced')\nexport * from \"./m\"\nexport { x }\nfrom 'n'\nasync function go() {\n  $(1); $log(2); 3 (4)\n}\nexport class K {}\nconst one = async (a, b) => two(a)\nlet f = async => f(1)\nrouter.post('/p', go)\nx.router.get(\"/q\")\n"
+    found = parse_script(text)
+    assert found["imports"] == ["./a", "side", "lib", "./m", "n"]
+    assert [(n, k, line) for n, line, k in found["symbols"]] == [("go", "function", 7), ("one", "function", 11), ("f", "function", 12), ("K", "class", 10)]
+    assert found["routes"] == [("post", "/p", None), ("get", "/q", None)]
+    assert [(c[2], c[0], c[3]) for c in found["calls"] if c[2] in ("log", "two", "f")] == [("log", "go", 8), ("two", "one", 11), ("f", "f", 12)]
+    assert parse_script("") == parse_script(" \n") | {"docs": []}
