@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import fnmatch
+import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from codeloom.sources import tree
 
 MAX_FILE_BYTES = 2_000_000
+#: Text that a task holds before it passes a batch on, and the batch's types.
+READ_BYTES, READ_TYPES = 1 << 25, (pa.string(), pa.string(), pa.int64())
 
 #: What is scanned and what is not, unless the configuration says otherwise.
 EXTENSIONS = (".py", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".json", ".md")
@@ -64,25 +67,51 @@ def is_test_result(path: Column) -> Column:
     return F.lower(F.coalesce(path, F.lit(""))).rlike(r"/test/|/tests/|test_|_test\.|\.spec\.|/spec/|/specs/")
 
 
-@F.pandas_udf(T.StringType())
-def decode_leniently(content: pd.Series) -> pd.Series:
-    """Bytes as UTF-8, bytes that are not left out: no built-in function drops them."""
-    return content.map(lambda b: bytes(b).decode("utf-8", "ignore") if b is not None else None)
+def listing(spark: SparkSession, root: str, extensions=EXTENSIONS, ignores=IGNORES, stream: bool = False, overlap: float = tree.OVERLAP) -> DataFrame:
+    """(path, length, modified) of the files below ``root`` that are asked for; paths are relative and POSIX.
 
+    Ignored folders aren't listed. With ``stream``, a batch has the files changed since the last one, and those of
+    the last ``overlap`` seconds before it once more; a file that is moved in with an older time isn't seen.
+    """
+    spark.dataSource.register(tree.TreeSource)
+    reader = (spark.readStream if stream else spark.read).format(tree.NAME).option("ignores", json.dumps(list(ignores))).option("overlap", overlap)
+    return reader.load(root).where(has_extension(F.col("path"), extensions) & not_ignored(F.col("path"), ignores))
+
+
+def read(listed: DataFrame, root: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """(path, content, modified) of listed files, as UTF-8 without the bytes that aren't; files over the cap aren't
+    opened and have null, as have files that went since. A folder's files are dealt to all tasks."""
+
+    def contents(batches):
+        store, base = tree.open_tree(root)
+        names = ["path", "content", "modified"]
+        for batch in batches:
+            rows, held = [], 0
+            for path, length, modified in zip(*(batch.column(c).to_pylist() for c in ("path", "length", "modified"))):
+                text = None
+                if length <= max_bytes:
+                    try:
+                        with store.open_input_stream(f"{base}/{path}") as file:
+                            text = file.read().decode("utf-8", "ignore")
+                    except FileNotFoundError:
+                        pass
+                rows.append((path, text, modified))
+                held += len(text or "")
+                if held > READ_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), READ_TYPES)], names=names)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), READ_TYPES)], names=names)
+
+    spark = listed.sparkSession
+    # a number of its own, or the few bytes of the paths would be put together in one task
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return listed.repartition(tasks, "path").mapInArrow(contents, "path string, content string, modified long")
 
-def scan(spark: SparkSession, root: str, extensions=EXTENSIONS, ignores=IGNORES, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """(path, content, known) of the files below ``root``; ``content`` is null for files over the cap.
 
-    Paths are relative and POSIX. Extension and ignore filters run on the listing's paths.
-    """
-    root = root.rstrip("/")
-    base = root.split("://")[-1] + "/"
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rel = F.substr(F.col("path"), F.instr("path", base) + len(base))
-    own = raw.withColumn("rel", rel).where(has_extension(F.col("rel"), extensions) & not_ignored(F.col("rel"), ignores))
-    # the source compares lengths before it opens a file, and reads none whose content isn't asked for
-    small = own.where(F.col("length") <= max_bytes).select(F.col("rel").alias("path"), decode_leniently("content").alias("content"))
-    return small.unionByName(own.where(F.col("length") > max_bytes).select(F.col("rel").alias("path"), F.lit(None).cast("string").alias("content")))
+def scan(spark: SparkSession, root: str, extensions=EXTENSIONS, ignores=IGNORES, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """(path, content) of the files below ``root``; ``content`` is null for files over the cap."""
+    return read(listing(spark, root, extensions, ignores), root, max_bytes).select("path", "content")
 
 
 def describe(files: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from codeloom.schema import FILES
+from codeloom.sources import files, tree
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
 #: State that processors keep needs this store.
@@ -24,6 +25,20 @@ def file_stream(spark: SparkSession, folder: str, fmt: str = "parquet", schema=F
     return spark.readStream.schema(schema).format(fmt).load(folder)
 
 
+def tree_stream(spark: SparkSession, root: str, overlap: float = tree.OVERLAP, **filters) -> DataFrame:
+    """(path, content, modified) of the files below ``root`` as they change; ``changes`` takes out what comes twice.
+
+    A file that is removed sends no row; ``gone`` finds those."""
+    return files.read(files.listing(spark, root, stream=True, overlap=overlap, **filters), root)
+
+
+def gone(known: DataFrame, spark: SparkSession, root: str, **filters) -> DataFrame:
+    """Rows of ``changes`` for the paths of ``known`` (path) that the tree doesn't have any more."""
+    there = files.listing(spark, root, **filters).select("path")
+    text = F.lit(None).cast("string")
+    return known.select("path").distinct().join(there, "path", "left_anti").select("path", text.alias("content"), text.alias("sha1"), F.lit(True).alias("gone"))
+
+
 class LastSeen(StatefulProcessor):
     """The digest of each path's last content. A path that goes leaves no state behind."""
 
