@@ -3,8 +3,8 @@
 Each source's rows are cut into blocks of about ``block_chars`` characters. With integer weights w
 of total W a source's block i is released at slot floor(i * W / w) and due by ceil((i + 1) * W / w).
 In each slot the released block with the earliest deadline runs, which keeps every source within
-less than one block of its share at all times. The schedule repeats after W slots, so one period of
-it, W entries long, is all that has to be worked out.
+less than one block of its share at all times. The schedule repeats after W slots, so of one period of
+it the slots up to the latest deadline of the corpus's blocks are all that has to be worked out.
 
 Sources of one weight have the same releases and deadlines, so they take turns in the order of their
 names: the schedule walks a queue per weight, not per source. A period of any length goes through in
@@ -17,6 +17,7 @@ groups, and over the groups' totals, so no task ever holds a whole source.
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,18 +41,28 @@ def _div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
-def weighted(docs: DataFrame, weights: dict[str, int], default_weight: int) -> DataFrame:
-    """(key, weight) of each source of ``docs``."""
-    named = docs.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(weights)), "map<string,bigint>")).alias("name", "weight"))
+def weighted(keys: DataFrame, weights: dict[str, int], default_weight: int) -> DataFrame:
+    """``keys`` (a row each) with the weight of each source, divided by the weights' common divisor: in
+    so many times fewer slots every source has run the same blocks, so the schedule is the same."""
+    named = keys.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(weights)), "map<string,bigint>")).alias("name", "weight"))
     named = named.select(F.concat(F.lit("="), "name").alias("key"), "weight")
-    return docs.select(_key().alias("key")).distinct().join(named, "key", "left").select("key", F.coalesce("weight", F.lit(default_weight).cast("long")).alias("weight"))
+    found = keys.join(named, "key", "left").withColumn("weight", F.coalesce("weight", F.lit(default_weight).cast("long")))
+    used = [r.weight for r in found.select("weight").distinct().collect()]  # values of ``weights`` and the default
+    return found.withColumn("weight", _div(F.col("weight"), F.lit(math.gcd(*used) or 1).cast("long")))
 
 
-def schedule(sources: DataFrame) -> DataFrame:
-    """``sources`` (key, weight; a row each) to one period: key, seq (its block), slot, period.
+def latest_deadline(sources: DataFrame) -> int:
+    """Slots by which all blocks of ``sources`` (key, weight, blocks) are done, one period at most."""
+    total = sources.agg(F.sum("weight")).first()[0] or 0
+    need = F.when(F.col("blocks") >= F.col("weight"), F.lit(total)).otherwise(_div(F.col("blocks") * F.lit(total) + F.col("weight") - 1, F.col("weight")))
+    return sources.agg(F.max(need)).first()[0] or 0
+
+
+def schedule(sources: DataFrame, slots: int | None = None) -> DataFrame:
+    """``sources`` (key, weight; a row each) to one period, or its first ``slots``: key, seq (its block), slot, period.
 
     Ties of deadlines go to the earlier release, then the smaller key. The time grows with the
-    period's slots times the number of different weights; the memory doesn't grow with the period.
+    slots times the number of different weights; the memory doesn't grow with the period.
     """
     keys = F.sort_array(F.collect_list("key")).alias("members")
     queues = sources.groupBy("weight").agg(keys).agg(
@@ -61,9 +72,9 @@ def schedule(sources: DataFrame) -> DataFrame:
     first = state.select("period").first()
     if first is None:
         return sources.select("key", F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("slot"), F.lit(0).cast("long").alias("period")).limit(0)
-    out = None
-    for begin in range(0, first.period, SEGMENT):
-        walked = stage(state.withColumn("walk", _segment(begin, min(SEGMENT, first.period - begin))), "mix-segment")
+    out, end = None, first.period if slots is None else min(slots, first.period)
+    for begin in range(0, end, SEGMENT):
+        walked = stage(state.withColumn("walk", _segment(begin, min(SEGMENT, end - begin))), "mix-segment")
         ran = walked.select("period", F.posexplode("walk.out").alias("slot", "o")).select(
             F.col("o.weight").alias("weight"), F.col("o.n").alias("n"), (F.col("slot") + F.lit(begin)).cast("long").alias("slot"), "period"
         )
@@ -128,12 +139,14 @@ def _placed(docs: DataFrame, weights: dict[str, int], default_weight: int, block
         .withColumn("_mix_range_", F.coalesce(F.floor(F.col("doc_id") / ID_RANGE), F.lit(-(1 << 62))).cast("long"))
         .withColumn("_mix_len_", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
     )
-    totals = salted.groupBy(*group).agg(F.sum("_mix_len_").alias("_mix_sum_"))
+    totals = stage(salted.groupBy(*group).agg(F.sum("_mix_len_").alias("_mix_sum_")), "mix-totals")
     before = Window.partitionBy("_mix_src_").orderBy("_mix_salt_", "_mix_range_").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*group, F.coalesce(F.sum("_mix_sum_").over(before), F.lit(0)).alias("_mix_base_"))
     within = Window.partitionBy(*group).orderBy("doc_id", F.md5(F.col("text").cast("binary"))).rowsBetween(Window.unboundedPreceding, -1)
-    sources = stage(weighted(docs, weights, default_weight), "mix-sources")
-    period = stage(schedule(sources), "mix-period").select(
+    # an empty text behind the last character may open one block more
+    blocks = totals.groupBy(F.col("_mix_src_").alias("key")).agg((F.floor(F.sum("_mix_sum_") / block_chars) + 1).alias("blocks"))
+    sources = stage(weighted(blocks, weights, default_weight), "mix-sources")
+    period = stage(schedule(sources.select("key", "weight"), latest_deadline(sources)), "mix-period").select(
         F.col("key").alias("_mix_src_"), F.col("seq").alias("_mix_seq_"), F.col("slot").alias("_mix_slot_"), F.col("period").alias("_mix_period_")
     )
     return (

@@ -75,3 +75,26 @@ def test_ten_thousand_sources(spark):
     got = mixing.mix(docs, weights, block_chars=20)
     assert got.count() == 20_000 and got.where("source = 's3'").agg(F.max("slot")).first()[0] < sum(weights.values()) + 1_000
     assert got.groupBy("slot").agg(F.countDistinct("source").alias("n")).where("n > 1").isEmpty()
+
+
+@pytest.mark.parametrize("factor,more", [(100_000, 0), (1_000_000, 1), (1, 0)])
+def test_large_weights_walk_no_further_than_the_blocks(spark, factor, more, monkeypatch):
+    docs = spark.createDataFrame([(i, "x" * 40, "abc"[i % 3], "", 0) for i in range(90)], SCHEMA).drop("slot")
+    walked, plain = [], mixing._segment
+    monkeypatch.setattr(mixing, "_segment", lambda begin, slots: walked.append(slots) or plain(begin, slots))
+    got = {r.doc_id: (r.block, r.slot) for r in mixing.mix(docs, {"a": factor + more, "b": 2 * factor, "c": 3 * factor}, block_chars=100).collect()}
+    assert sum(walked) <= 80  # 13 blocks of a source, each six slots wide at most; 6 million in the period
+    total, slots = 6 * factor + more, {}
+    for i, (block, slot) in got.items():
+        w = factor + more if i % 3 == 0 else (i % 3 + 1) * factor
+        assert block * total // w <= slot < -(-(block + 1) * total // w)
+        assert slots.setdefault(slot, (i % 3, block)) == (i % 3, block)
+    if not more:
+        want = {(k, s): t for k, s, t in plain_schedule({"a": 60, "b": 120, "c": 180})}
+        assert all(want["abc"[i % 3], block] == slot for i, (block, slot) in got.items())
+
+
+def test_many_different_weights(spark):
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.lit("x" * 30).alias("text"), F.concat(F.lit("s"), F.col("id") % 300).alias("source"))
+    got = mixing.mix(docs, {f"s{i}": 1_000 + i for i in range(300)}, block_chars=40)
+    assert got.count() == 600 and got.groupBy("slot").agg(F.countDistinct("source").alias("n")).where("n > 1").isEmpty()
