@@ -14,8 +14,8 @@ from codeloom.operators.vector_index import VectorIndex
 from codeloom.plans import derived
 from codeloom.plans.derived import SQL as G
 from codeloom.plans.derived import table
-from codeloom.schema import kind_order, node_meta
-from codeloom.sources.files import describe, has_extension, is_test_path, matches_glob, not_ignored
+from codeloom.schema import compact_meta, kind_order, node_meta
+from codeloom.sources.files import describe, has_extension, is_test_path, is_test_result, matches_glob, not_ignored
 from codeloom.sources.staging import new_path, stored, stored_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -703,6 +703,90 @@ def enclosing_scope(spark, sf_dir):
     return resolve.last_seen(users, calls).select(F.col("path").alias("conv_id"), F.col("line").alias("turn"), "scope")
 
 
+# Scripts over the suppliers: a class with a method, a function whose calls lie in nested blocks, an arrow
+# function, a route, and words before a bracket that are no calls.
+SCRIPT = """import { make$o } from './s$o'
+// make$k(0) in a comment
+export class Box$k {
+  open(n) {
+    return make$o(n)
+  }
+}
+export function make$k(n) {
+  if (n) { wrap$k(n) }
+  while (n) { n = this.step$k(n) }
+  return wrap$k("call$k()")
+}
+const wrap$k = (n) => {
+  return late$k(n)
+}
+router.get('/items/$k', make$k)
+"""
+
+
+def _script_tree(spark, sf_dir) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").select("s_suppkey")
+    n = s.agg(F.count("*")).scalar()
+    s = s.withColumn("other", ((F.col("s_suppkey") * 7 + 3) % n).cast("string")).withColumn("key", F.col("s_suppkey").cast("string"))
+    content = F.replace(F.replace(F.lit(SCRIPT), F.lit("$o"), F.col("other")), F.lit("$k"), F.col("key"))
+    return s.select(F.concat(F.lit("web/s"), "key", F.lit(".ts")).alias("path"), content.alias("content"))
+
+
+@query(
+    "script_calls",
+    f"""WITH s AS (SELECT 'web/s' || s_suppkey || '.ts' AS path, string_split(replace(replace({"'" + SCRIPT.replace("'", "''") + "'"}, '$o', CAST({MODULE} AS VARCHAR)), '$k', CAST(s_suppkey AS VARCHAR)), chr(10)) AS lines FROM supplier),
+    l AS (SELECT path, unnest(range(1, len(lines) + 1)) AS line, unnest(lines) AS t FROM s),
+    d AS (SELECT *, last_value(nullif(regexp_extract(t, '^(export )?(class|function|const) ([A-Za-z0-9]+)', 3), '') IGNORE NULLS) OVER (PARTITION BY path ORDER BY line) AS scope FROM l),
+    c AS (SELECT path, scope, unnest(regexp_extract_all(t, '([A-Za-z0-9_]+) *[(]', 1)) AS name, CAST(line AS INTEGER) AS line FROM d)
+    SELECT * FROM c WHERE name NOT IN ('if', 'while')""",
+)
+def script_calls(spark, sf_dir):
+    """Calls of scripts with the definition that each is in."""
+    records = extract.extract(_script_tree(spark, sf_dir))
+    return records.select("path", F.explode("calls").alias("c")).select("path", "c.scope", "c.name", "c.line")
+
+
+META_LISTS = {"routes": 8, "exports": 12, "neighbors": 8}
+
+
+@query(
+    "summarised_nodes",
+    f"""WITH d AS (SELECT doc_id, text, ['file', 'symbol', 'route', 'package'][1 + doc_id % 4] AS kind, string_split(text, ' ')[1:doc_id % 20] AS l FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, kind, {", ".join(f"CASE WHEN kind = 'file' THEN array_to_string(l[1:{n}], ' ') END AS {c}, CASE WHEN kind = 'file' AND len(l) > {n} THEN true END AS {c}_truncated" for c, n in META_LISTS.items())},
+      CASE WHEN kind = 'file' THEN doc_id END AS size, CASE kind WHEN 'file' THEN string_split(trim(text, ' '), chr(10))[1] WHEN 'route' THEN text END AS docstring,
+      CASE WHEN kind IN ('symbol', 'route') THEN string_split(trim(text, ' '), chr(10))[1] END AS signature, CASE WHEN kind IN ('symbol', 'package') THEN 'p' || doc_id END AS parent,
+      CASE WHEN kind IN ('route', 'package') THEN 'h' || doc_id END AS handler, CASE WHEN kind = 'package' THEN 'i' || doc_id END AS import FROM d""",
+)
+def summarised_nodes(spark, sf_dir):
+    """What queries return of a node's meta, by kind: documents as nodes, with lists of up to 19 entries and texts of several lines."""
+    key, words = F.col("doc_id").cast("string"), F.slice(F.split("text", " "), F.lit(1), (F.col("doc_id") % 20).cast("int"))
+    meta = {
+        "routes": words, "exports": words, "neighbors": words, "size": F.col("doc_id"), "docstring": F.col("text"), "signature": F.col("text"),
+        "parent": F.concat(F.lit("p"), key), "handler": F.concat(F.lit("h"), key), "import": F.concat(F.lit("i"), key),
+    }
+    kind = F.get(F.array(*map(F.lit, ("file", "symbol", "route", "package"))), (F.col("doc_id") % 4).cast("int"))
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", kind.alias("kind"), node_meta(**meta).alias("meta")).withColumn("m", compact_meta())
+    lists = [c for name in META_LISTS for c in (F.array_join(f"m.{name}", " ").alias(name), F.col(f"m.{name}_truncated"))]
+    return d.select("doc_id", "kind", *lists, F.col("m.size").cast("long").alias("size"), *[f"m.{c}" for c in ("docstring", "signature", "parent", "handler", "import")])
+
+
+TEST_ENDINGS = ("/tests/a.py", ".spec.js", "_test.py", "/src/latest.py", "/Spec/y.ts", "/contest_1.py", "/specs.md", "/Test/b.js", ".testing.ts")
+
+
+@query(
+    "test_paths",
+    f"""WITH p AS (SELECT regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1) || {list(TEST_ENDINGS)}[1 + page_id % {len(TEST_ENDINGS)}] AS path FROM pages WHERE url IS NOT NULL),
+    l AS (SELECT path, lower(path) AS p FROM p)
+    SELECT path, len(list_filter(['test.', 'spec.', '_test.', 'test_', '/tests/', '/test/'], lambda x: contains(p, x))) > 0 AS is_test,
+      len(list_filter(['/test/', '/tests/', 'test_', '_test.', '.spec.', '/spec/', '/specs/'], lambda x: contains(p, x))) > 0 AS is_test_result FROM l""",
+)
+def test_paths(spark, sf_dir):
+    """Both tests of paths, over pages' paths with endings that one, both or none of them takes."""
+    ending = F.get(F.array(*map(F.lit, TEST_ENDINGS)), (F.col("page_id") % len(TEST_ENDINGS)).cast("int"))
+    p = table(spark, sf_dir, "pages").where("url is not null").select(F.concat(F.regexp_extract("url", "^[a-z]+://[^/]+/([^?#]*)", 1), ending).alias("path"))
+    return p.select("path", is_test_path(F.col("path")).alias("is_test"), is_test_result(F.col("path")).alias("is_test_result"))
+
+
 @query("incremental_watch", "SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY ALL")
 def incremental_watch(spark, sf_dir):
     """The events as a file stream, merged batch by batch into snapshots: last event of each user and type."""
