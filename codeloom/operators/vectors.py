@@ -33,35 +33,56 @@ def semantic_text(nodes: DataFrame) -> DataFrame:
 
 
 class HashedWords:
-    """A worker's memory of words: the buckets and signs of their features, in one array each."""
+    """A worker's memory of words: the buckets and signs of their features, in one array that grows by doubling."""
 
     REMEMBERED = 200_000
+    #: Pieces of words whose hashes are kept; words share most of theirs.
+    PIECES = 400_000
 
     def __init__(self, model: str, dimensions: int):
         self.key, self.dimensions = model.encode()[:16] or b"codeloom", dimensions
+        self.pieces: dict[str, int] = {}
         self.forget()
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.starts, self.bucket, self.sign = [0], [], []
+        self.starts, self.codes = np.zeros(1024, np.int64), np.empty(8192, np.int64)
 
     def features(self, word: str) -> list[str]:
         """The word itself, and the three- and four-letter pieces of it between ``^`` and ``$``."""
         padded = f"^{word}$"
         return [f"t:{word}", *(f"{n}:{padded[i : i + n]}" for n in (3, 4) for i in range(len(padded) - n + 1))]
 
+    def code(self, feature: str) -> int:
+        """Twice the feature's bucket, and one more if its sign is positive."""
+        digest = hashlib.blake2b(feature.encode(), digest_size=8, key=self.key).digest()
+        return int.from_bytes(digest[:4], "little") % self.dimensions * 2 + (digest[4] & 1)
+
     def places(self, words: list[str]) -> np.ndarray:
         if len(self.place) + len(words) > self.REMEMBERED:
             self.forget()
-        for w in words:
-            if w not in self.place:
-                for f in self.features(w):
-                    digest = hashlib.blake2b(f.encode(), digest_size=8, key=self.key).digest()
-                    self.bucket.append(int.from_bytes(digest[:4], "little") % self.dimensions)
-                    self.sign.append(1.0 if digest[4] & 1 else -1.0)
-                self.place[w] = len(self.starts) - 1
-                self.starts.append(len(self.bucket))
-        return np.array([self.place[w] for w in words], np.int64)
+        new, pieces = [w for w in dict.fromkeys(words) if w not in self.place], self.pieces
+        if new:
+            if len(pieces) > self.PIECES:
+                pieces.clear()
+            codes, sizes = [], []
+            for w in new:
+                whole, *rest = self.features(w)
+                codes.append(self.code(whole))
+                for f in rest:
+                    c = pieces.get(f)
+                    if c is None:
+                        c = pieces[f] = self.code(f)
+                    codes.append(c)
+                sizes.append(1 + len(rest))
+            n = len(self.place)
+            self.starts = _grown(self.starts, n + 1 + len(new))
+            at = int(self.starts[n])
+            self.codes = _grown(self.codes, at + len(codes))
+            self.codes[at : at + len(codes)] = codes
+            self.starts[n + 1 : n + 1 + len(new)] = at + np.cumsum(sizes)
+            self.place.update(zip(new, range(n, n + len(new))))
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
 
     def vectors(self, words: pa.ListArray) -> np.ndarray:
         """A unit vector of each list of words: signed counts of hashed features; zeros for an empty list."""
@@ -71,15 +92,31 @@ class HashedWords:
         document = np.repeat(np.arange(n), sizes)
         pair, count = np.unique(document * max(1, len(places)) + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
         document, word = np.divmod(pair, max(1, len(places)))
-        starts = np.array(self.starts)
-        begin, size = starts[places[word]], starts[places[word] + 1] - starts[places[word]]
+        begin, size = self.starts[places[word]], self.starts[places[word] + 1] - self.starts[places[word]]
         at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        cell = np.repeat(document, size) * self.dimensions + np.array(self.bucket, np.int64)[at]
-        sums = np.bincount(cell, np.repeat(count, size) * np.array(self.sign, float)[at], n * self.dimensions).astype(float).reshape(n, self.dimensions)
+        code = self.codes[at]
+        cell = np.repeat(document * self.dimensions, size) + (code >> 1)
+        sums = np.bincount(cell, np.repeat(count, size) * ((code & 1) * 2 - 1), n * self.dimensions).astype(float).reshape(n, self.dimensions)
         norm = np.sqrt((sums * sums).sum(1, keepdims=True))
         return np.divide(sums, norm, out=np.zeros_like(sums), where=norm > 0)
 
 
+def _grown(a: np.ndarray, n: int) -> np.ndarray:
+    """``a`` with room for ``n`` entries at the least."""
+    return a if n <= len(a) else np.concatenate([a, np.zeros(max(n - len(a), len(a)), a.dtype)])
+
+
+_HELD: dict[tuple[str, int], HashedWords] = {}
+
+
+def _held_words(model: str, dimensions: int) -> HashedWords:
+    """The worker's memory: tasks that it runs later find what earlier ones have hashed. One is held at a time."""
+    if (model, dimensions) not in _HELD:
+        _HELD.clear()
+        _HELD[model, dimensions] = HashedWords(model, dimensions)
+    return _HELD[model, dimensions]
+
+
 #: Words of documents whose features are spread out at a time.
 PORTION = 100_000
 
@@ -93,7 +130,7 @@ def embed(documents: DataFrame, model: str = MODEL, dimensions: int = DIMENSIONS
     dimensions = dimensions if dimensions > 0 else DIMENSIONS
 
     def run(batches):
-        words = HashedWords(model, dimensions)
+        words = _held_words(model, dimensions)
         for batch in batches:
             ids, lists = batch.column(0), batch.column(1)
             ends = np.searchsorted(np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)), np.arange(PORTION, len(lists.flatten()) + PORTION, PORTION))
