@@ -26,6 +26,8 @@ from codeloom.llm.common import discard, held_by_worker, mix64, stage, without
 MAX_ROWS = 8_000
 #: Characters that a task holds at once while it fits (at least one whole text); the rest of its piece follows.
 MAX_CHARS = 1 << 23
+#: Masks of 64 bits that tell which texts may have a label: one for four labels, up to four million labels; beyond, more texts pass.
+MAX_MASKS = 1 << 20
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 18, 8, 8, (1, 2, 3)
 #: Each round goes twice over what a task holds at once: six times over all rows.
 ROUNDS, PASSES, BATCH, RATE = 3, 2, 32, 0.1
@@ -226,16 +228,28 @@ def best_cuts(counts: DataFrame, *keys: str) -> DataFrame:
     return best.select(*keys, "hits", "n", (F.col("s.score") - F.col("s.gap") / 2).alias("cut"))
 
 
+def likely(texts: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """``texts`` without most rows whose doc_id is not among the ``n`` ``ids``; none of the others goes. The rows meet a
+    table of bits, which is bounded however many ids there are, and are not shuffled."""
+    slots = 64 * max(1, min(MAX_MASKS, -(-n // 4)))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots))
+    masks = ids.select(slot.alias("slot")).selectExpr("slot div 64 as at", "shiftleft(1L, cast(slot % 64 as int)) as bit").groupBy("at").agg(F.bit_or("bit").alias("mask"))
+    met = texts.withColumn("slot", slot).join(F.broadcast(masks), F.expr("slot div 64 = at"))
+    return met.where("shiftright(mask, cast(slot % 64 as int)) & 1 = 1").select(*texts.columns)
+
+
 def labelled(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     """All rows to learn from (doc_id, text, lang, toxic, part) in pieces of about ``max_rows``, which are partitions: a
     row's piece and place hang on its id and the number of labels alone."""
     part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
     usable = labels.where("toxic is not null and doc_id is not null").where(part > 0).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", part.alias("part"))
-    pieces = max(1, -(-usable.count() // max_rows))
-    usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.first("part").alias("part")).where("toxic in (0, 1)")
+    n = usable.count()
+    pieces = max(1, -(-n // max_rows))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
-    # labels meet the texts before these are dealt, so that only texts with a label are
-    rows = texts.where("doc_id is not null").join(usable, "doc_id").repartition(pieces, "doc_id").groupBy("doc_id", "toxic", "part").agg(F.min(F.struct("text", "lang")).alias("r"))
+    # both sides are dealt to the pieces before they meet, so that a text is shuffled once, and few without a label are
+    texts = likely(texts.where("doc_id is not null"), usable, n).repartition(pieces, "doc_id")
+    usable = usable.repartition(pieces, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.first("part").alias("part")).where("toxic in (0, 1)")
+    rows = texts.join(usable, "doc_id").groupBy("doc_id", "toxic", "part").agg(F.min(F.struct("text", "lang")).alias("r"))
     return rows.select("doc_id", "r.text", "r.lang", "toxic", "part").sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
 
 

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from codeloom.llm import toxicity
 
@@ -84,3 +85,37 @@ def test_cuts_in_spark(spark):
     counts = spark.createDataFrame([("a", 0.9, 2, 2), ("a", 0.6, 1, 1), ("a", 0.2, 5, 0), ("b", 0.5, 4, 1)], "lang string, score double, n long, hits long")
     got = {r.lang: (r.hits, r.n, round(r.cut, 9)) for r in toxicity.best_cuts(counts, "lang").collect()}
     assert got == {"a": (3, 8, 0.4), "b": (1, 4, 0.25)}
+
+
+def test_texts_are_shuffled_once_and_only_those_with_a_label(spark):
+    """However the labels' size makes Spark join: before, every text was shuffled to meet the labels and again to its piece."""
+    rows = corpus(900, seed=6)
+    docs = spark.createDataFrame([(i, t, g, 0, 0) for i, t, g, _ in rows], DOCS)
+    labels = spark.createDataFrame([(i, 1, y) for i, _, _, y in rows if i % 9 == 0], LABELS)
+    asked = sorted(i for i, *_ in rows if i % 9 == 0 and zlib.crc32(str(i).encode()) % 5 > 0)
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    try:
+        for threshold in ("-1", before):
+            spark.conf.set(name, threshold)
+            got = toxicity.labelled(docs, labels, 30)
+            mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+            steps = [x.split("Arguments")[0] for x in got._jdf.queryExecution().explainString(mode).split("\n\n") if x.startswith("(")]
+            assert sum(" Exchange\n" in x and "text#" in x for x in steps) == 1
+            assert sorted(r.doc_id for r in got.collect()) == asked and got.rdd.getNumPartitions() == -(-len(asked) // 30)
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_likely_keeps_every_id_and_few_others(spark, monkeypatch):
+    """Any id, negative and extreme ones too; beyond the bound of the table more rows pass, and none goes."""
+    ids = spark.createDataFrame([(i,) for i in [*range(0, 20_000, 10), -5, -(1 << 63), (1 << 63) - 1]], "doc_id long")
+    texts = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"), F.lit("en").alias("lang")).unionByName(ids.where("doc_id < 0 or doc_id > 20000").selectExpr("doc_id", "'b' as text", "null as lang"))
+    asked = {r.doc_id for r in ids.collect()}
+    for bound, most in ((toxicity.MAX_MASKS, 0.12), (100, 0.5)):
+        monkeypatch.setattr(toxicity, "MAX_MASKS", bound)
+        got = toxicity.likely(texts, ids, len(asked))
+        kept = [r.doc_id for r in got.collect()]
+        assert got.columns == texts.columns and len(kept) == len(set(kept)) and asked <= set(kept)
+        assert len(kept) - len(asked) < most * 20_000
+    assert toxicity.likely(texts, ids.limit(0), 0).count() == 0
